@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.llm.decontaminate import find_contamination
 from recollect.llm.line_dedup import drop_shared_lines
 from recollect.llm.packing import pack_documents
+from recollect.llm import pii, secrets
 from recollect.llm.quality_rules import quality_rules
 from recollect.llm.warc import read_warc, write_warc
 from recollect.session import scratch_path, table
@@ -22,6 +24,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _digest(spans: DataFrame, kinds: list[str]) -> DataFrame:
+    """doc_id, a count per base kind, the digest of the base spans and the text of all."""
+    said = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return spans.select(
+        "doc_id",
+        *[F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", said), ",").alias("spans"),
+    )
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -32,5 +58,5 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_shared_lines"), F.char_length("text").cast("long").alias("chars_left"), F.md5("text").alias("text_md5"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op6_quality_rules": op6_quality_rules, "op8_line_dedup": op8_line_dedup}
+QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op8_line_dedup": op8_line_dedup}
 ORACLES: dict[str, str] = {}
