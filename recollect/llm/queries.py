@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm.decontaminate import find_contamination
+from recollect.llm.jaccard_join import jaccard_components
 from recollect.llm.line_dedup import drop_shared_lines
 from recollect.llm.packing import pack_documents
 from recollect.llm import pii, secrets
@@ -58,5 +59,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_shared_lines"), F.char_length("text").cast("long").alias("chars_left"), F.md5("text").alias("text_md5"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op8_line_dedup": op8_line_dedup}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.col("class").alias("set_class"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join}
 ORACLES: dict[str, str] = {}
