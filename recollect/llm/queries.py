@@ -10,6 +10,8 @@ from recollect.llm.jaccard_join import jaccard_components
 from recollect.llm.line_dedup import drop_shared_lines
 from recollect.llm.packing import pack_documents
 from recollect.llm import pii, secrets
+from recollect.llm.ppm import score_texts
+from recollect.llm.quality_model import score_quality
 from recollect.llm.quality_rules import quality_rules
 from recollect.llm.warc import read_warc, write_warc
 from recollect.session import scratch_path, table
@@ -53,6 +55,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, the lines removed and the digest and length of the text that stays."""
     out = drop_shared_lines(table(spark, sf_dir, "documents"))
@@ -63,5 +69,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.col("class").alias("set_class"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join}
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_ppm": op10_ppm}
 ORACLES: dict[str, str] = {}
