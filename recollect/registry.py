@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from recollect.plans import dense, tables, texts
+
+QUERIES: dict = dense.QUERIES | texts.QUERIES | tables.QUERIES
+ORACLES: dict[str, str] = dense.ORACLES | texts.ORACLES | tables.ORACLES
