@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.bytes_np import LOWER, HashIndex, chunks, mix, span_hashes, windows, word_spans
@@ -32,6 +32,8 @@ from recollect.llm.components import components
 from recollect.session import stored
 
 WORDS = 5
+#: Linked documents meet in n / SHARE + 1 regions of level 0 at least; a smaller SHARE costs longer prefixes and lets fewer documents through.
+SHARE = 10
 _TOP = np.uint64(1 << 63)
 
 
@@ -106,7 +108,7 @@ def _signed(docs: DataFrame, hot, num: int, den: int) -> DataFrame:
         seen: set[int] = set()
         for part, data, offsets in chunks(batches, "text"):
             g, row, size, print_ = sets(data, offsets, index)
-            keep = size - -(-num * size // den) + size // 20 + 1
+            keep = size - -(-num * size // den) + size // SHARE + 1
             at = np.arange(len(g)) - (np.cumsum(size) - size)[row]
             new = np.array([x not in seen and not seen.add(x) for x in print_.tolist()]) & (size > 0)
             chosen = (at < keep[row]) & new[row]
@@ -117,36 +119,37 @@ def _signed(docs: DataFrame, hot, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, prefix array<long>")
 
 
-def _whole_sets(docs: DataFrame) -> DataFrame:
-    """Per row: class and its whole set, as sorted unsigned 64-bit numbers."""
+def _named_texts(docs: DataFrame) -> DataFrame:
+    """Per row: class and the text. Texts travel in place of sets: they are less than half as large, and a task makes sets of them again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in chunks(batches, "text"):
-            g, row, size, print_ = sets(data, offsets, None)
-            ends = np.cumsum(size)
-            blobs = [g[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(print_), pa.array(blobs, pa.binary())], names=["class", "elements"])
+        for part, data, offsets in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(sets(data, offsets, None)[3]), part.column(part.schema.get_field_index("text"))], names=["class", "text"])
 
-    return docs.select("text").mapInArrow(run, "class long, elements binary")
+    return docs.select("text").mapInArrow(run, "class long, text string")
 
 
-_WIRE = "region long, part int, turn int, node long, ring int, home boolean, near boolean, elements binary"
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list], list[np.ndarray]]]:
+    """The columns before the text, and each row's set as sorted numbers."""
+    for part, data, offsets in chunks(batches, "text"):
+        g, _, size, _ = sets(data, offsets, None)
+        ends = np.cumsum(size)
+        yield [c.to_pylist() for c in part.columns[:-1]], [g[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
 
 
 def _distances(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int) -> DataFrame:
     """members: region, pivot, node. Per row: near (within reach of the pivot), ring and, for the pivot itself, ring -1."""
     sized = members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region")
     parts = F.ceil(F.col("m") / cap).cast("int")
-    rows = sized.join(whole, F.col("node") == F.col("class")).select("region", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "node", "elements")
-    pivots = sized.where("node = pivot").join(whole, F.col("node") == F.col("class")).select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), "node", "elements")
+    rows = sized.join(whole, F.col("node") == F.col("class")).select("region", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "node", "text")
+    pivots = sized.where("node = pivot").join(whole, F.col("node") == F.col("class")).select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), "node", "text")
     dealt = rows.unionByName(pivots).repartition(F.col("region"), F.col("part")).sortWithinPartitions("region", "part", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, pivot_node = np.zeros(0, np.uint64), None
-        for batch in batches:
+        for (regions, _, turns, nodes), own_sets in _with_sets(batches):
             out = []
-            for region, turn, node, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                own = np.frombuffer(blob.as_py(), np.uint64)
+            for region, turn, node, own in zip(regions, turns, nodes, own_sets):
                 if turn == 0:
                     pivot, pivot_node = own, node
                 elif node == pivot_node:
@@ -209,7 +212,7 @@ def cell_links(nodes: list[int], own: list[np.ndarray], home: list[bool], near:
 
 def _cells(cells: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     """cells: cell (long, long), node, home, near. The links within each cell."""
-    rows = cells.join(whole, F.col("node") == F.col("class")).select("region", "part", "node", "home", "near", "elements")
+    rows = cells.join(whole, F.col("node") == F.col("class")).select("region", "part", "node", "home", "near", "text")
     dealt = rows.repartition(F.col("region"), F.col("part")).sortWithinPartitions("region", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +223,13 @@ def _cells(cells: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
             found = cell_links(list(nodes), list(own), list(home), list(near), num, den) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"]) if found else None
 
-        for batch in batches:
-            for region, part, node, home, near, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+        for columns, own_sets in _with_sets(batches):
+            for region, part, node, home, near, own in zip(*columns, own_sets):
                 if (region, part) != key:
                     if held and (made := flush()) is not None:
                         yield made
                     held, key = [], (region, part)
-                held.append((node, home, near, np.frombuffer(blob.as_py(), np.uint64)))
+                held.append((node, home, near, own))
         if held and (made := flush()) is not None:
             yield made
 
@@ -286,35 +289,33 @@ def jaccard_components(
     signed = stored(_signed(rows, hot, num, den), "signed")
     filled = signed.where("n_shingles > 0")
     classes = filled.groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    carried = filled.where("prefix IS NOT NULL")
-    chosen = carried.groupBy("class").agg(F.min("doc_id").alias("_id"))
-    one = carried.join(chosen, (carried["class"] == chosen["class"]) & carried["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
     # fewer meetings than a linked document of the least size would cause rule a link out
-    need = F.expr(f"n_shingles * {int(num)} div ({int(den)} * 20) + 1")
-    postings = one.select("class", need.alias("need"), F.explode("prefix").alias("s"))
+    need = F.expr(f"n_shingles * {int(num)} div ({int(den)} * {SHARE}) + 1")
+    postings = filled.select("class", need.alias("need"), F.explode("prefix").alias("s"))
     meet = stored(_met(postings), "meetings")
-    alive = meet.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("class")
-    again = _met(meet.select("class", "need", "s").join(alive, "class", "left_semi"))
-    members = again.select(F.col("pivot").alias("region"), "pivot", F.col("class").alias("node")).distinct()
+    for _ in range(3):  # who met only those that have dropped out drops out too
+        alive = meet.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("class")
+        meet = stored(_met(meet.select("class", "need", "s").join(alive, "class", "left_semi")), "meetings")
+    members = meet.select(F.col("pivot").alias("region"), "pivot", F.col("class").alias("node")).distinct()
     members = stored(members, "members")
     wanted = members.select(F.col("node").alias("class")).distinct().join(classes, "class")
     texts = rows.join(wanted.select(F.col("first_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    whole = stored(_whole_sets(texts).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    named = _named_texts(texts).join(wanted.select("class"), "class", "left_semi")
+    whole = stored(named.groupBy("class").agg(F.min("text").alias("text")), "texts")
     roots = components(_links(members, whole, num, den, cap, levels))
-    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "first_id")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(smallest, "root").select("class", "component_id")
+    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "first_id")
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    labels = rooted.join(smallest, "root").select("class", "component_id")
     out = filled.join(labels, "class").select("doc_id", "n_shingles", "class", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 
 
 def _met(postings: DataFrame) -> DataFrame:
-    """class, need, s and pivot of the postings (class, need, s) whose shingle has two classes or more; pivot is the smallest of them."""
-    from pyspark.sql import Window
-
+    """class, need, s and pivot of the postings (class, need, s) whose shingle has two classes or more, each once; pivot is the smallest of them."""
     w = Window.partitionBy("s")
-    return postings.select("*", F.max("class").over(w).alias("_last"), F.min("class").over(w).alias("pivot")).where("_last > pivot").drop("_last")
+    met = postings.select("*", F.max("class").over(w).alias("_last"), F.min("class").over(w).alias("pivot")).where("_last > pivot")
+    return met.groupBy("s", "class").agg(F.first("need").alias("need"), F.first("pivot").alias("pivot"))  # dealt by s already
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
