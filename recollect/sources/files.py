@@ -54,7 +54,7 @@ def text_folder(spark: SparkSession, folder: str, min_chars: int, max_chars: int
 def markdown_sections(text: Column) -> Column:
     """Structs (heading, body) of a text's sections, which begin at lines with #; what stands before the first has no heading."""
     parts = F.split(F.concat(F.lit("\n"), text), r"\n(?=#{1,6} )")
-    split = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^#{1,6} ([^\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace(p, r"^#{1,6} [^\n]*\n?", "")).alias("body")))
+    split = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^#{1,6} ([^\n]*)", 1)).alias("heading"), F.btrim(F.regexp_replace(p, r"^#{1,6} [^\n]*\n?", ""), F.lit(" \t\r\n")).alias("body")))
     return F.filter(split, lambda s: s["body"] != "")
 
 

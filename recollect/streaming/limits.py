@@ -46,12 +46,9 @@ def limited(events: DataFrame, limit: int, seconds: float = 60.0, client: str =
 
 
 def limited_stream(events: DataFrame, limit: int, seconds: float = 60.0, client: str = "user_id", event: str = "event_id", ts: str = "ts") -> DataFrame:
-    """The limiter over a stream, with the times of allowed hits as each client's state; idle clients' state is dropped."""
+    """The limiter over a stream, with the times of allowed hits as each client's state: at most `limit` numbers."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -59,11 +56,10 @@ def limited_stream(events: DataFrame, limit: int, seconds: float = 60.0, client:
             times, ok = _decide(times, t.timestamp(), limit, seconds)
             out.append(ok)
         state.update((times,))
-        state.setTimeoutDuration(int(seconds * 2000))
         yield rows.assign(client=key[0], allowed=out)[["client", "event_id", "ts", "allowed"]]
 
     rows = events.select(F.col(client).cast("long").alias("client"), F.col(event).cast("long").alias("event_id"), F.col(ts).cast("timestamp").alias("ts"))
-    return rows.groupBy("client").applyInPandasWithState(run, ALLOWED, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client").applyInPandasWithState(run, ALLOWED, "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_log(stream: DataFrame, folder: str, checkpoint: str):
