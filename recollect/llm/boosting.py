@@ -81,7 +81,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, ra
 
 
 def calibrated_threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least score from which isotonic regression of y on the score reaches `precision`; above 1 if it never does."""
+    """The score from which isotonic regression of y on the score reaches `precision`, midway to the score below it; above 1 if it never does."""
     if not len(score):
         return 2.0
     order = np.argsort(score, kind="stable")
@@ -95,7 +95,7 @@ def calibrated_threshold(score: np.ndarray, y: np.ndarray, precision: float) ->
             starts.pop()
             means[-1] = (means[-1] * counts[-1] + m * c) / (counts[-1] + c)
             counts[-1] += c
-    return next((float(s[a]) for m, a in zip(means, starts) if m >= precision), 2.0)
+    return next((float(s[a] + s[max(a - 1, 0)]) / 2 for m, a in zip(means, starts) if m >= precision), 2.0)
 
 
 @dataclass
