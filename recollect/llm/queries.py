@@ -12,7 +12,7 @@ from recollect.llm.packing import pack_documents
 from recollect.llm import pii, secrets
 from recollect.llm.ppm import score_texts
 from recollect.llm.quality_model import score_quality
-from recollect.llm.quality_rules import quality_rules
+from recollect.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from recollect.llm.warc import read_warc, write_warc
 from recollect.session import scratch_path, table
 
@@ -20,7 +20,7 @@ from recollect.session import scratch_path, table
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
-    return read_warc(spark, folder, payloads=False).select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read_warc(spark, folder, payloads=False).select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.col("class").alias("set_class"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,42 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_ppm": op10_ppm}
-ORACLES: dict[str, str] = {}
+_TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _rules_sql() -> str:
+    """op6 in SQL, with its conditions from the same table of thresholds."""
+    failed = ", ".join(
+        f"CASE WHEN n_words >= {start} AND (" + " OR ".join([f"{m} < {low}"] * (low is not None) + [f"{m} > {high}"] * (high is not None)) + f") THEN '{m}' END" for m, low, high, start in RULES
+    )
+    count = lambda c, cond: f"len(list_filter({c}, lambda x: {cond}))"
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} * 100.0 / {b} ELSE 0 END"
+    stops = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+    bare = f"trim(x, {_TRIM})"
+    return rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {bare} <> '') AS l FROM documents),
+v AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 7), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM a WHERE len(w) >= 8)), d AS (SELECT doc_id, p FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+c AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM d, (SELECT unnest(range(8)) AS j) GROUP BY doc_id),
+m AS (SELECT a.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS lines, w, l FROM a LEFT JOIN c ON a.doc_id = c.doc_id),
+r AS (SELECT *, {ratio("n_repeat_words", "n_words")} AS repeat_word_percent, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, {ratio("n_symbols", "n_words")} AS symbol_percent_of_words, {ratio("n_dup_lines", "lines")} AS dup_line_percent,
+{ratio(count("l", f"regexp_matches({bare}, '^[•*-]')"), "lines")} AS bullet_line_percent, {ratio(count("l", f"regexp_matches({bare}, '([.][.][.]|…)$')"), "lines")} AS ellipsis_line_percent, {ratio(count("w", f"list_contains({stops}, lower(x))"), "n_words")} AS stop_word_percent,
+{ratio(count("w", "x = upper(x) AND x <> lower(x) AND length(x) > 1"), "n_words")} AS upper_word_percent, {ratio(count("w", "x = '|'"), "n_words")} AS bar_percent_of_words, {ratio(count("w", "suffix(x, '!')"), "n_words")} AS exclaimed_word_percent FROM m),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed_rules FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed_rules) = 0 AS kept, failed_rules FROM f"""
+
+
+# Where SQL can say the same. The others are tested against plain versions in tests/llm.
+ORACLES: dict[str, str] = {
+    "op1_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), r AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS m FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to FROM r""",
+    "op6_quality_rules": _rules_sql(),
+    "op8_line_dedup": r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l), c AS (SELECT * FROM k WHERE len(regexp_extract_all(key, '[^\x20\x09-\x0D]+')) >= 3),
+s AS (SELECT key, min(doc_id) AS first FROM c GROUP BY key HAVING count(DISTINCT source) >= 3), g AS (SELECT c.doc_id, c.pos FROM c JOIN s USING (key) QUALIFY c.doc_id <> s.first OR row_number() OVER (PARTITION BY key, c.doc_id ORDER BY c.pos) > 1),
+o AS (SELECT k.doc_id, count(g.pos) AS n, coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (g.pos IS NULL), '') AS t FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.pos = g.pos GROUP BY k.doc_id)
+SELECT doc_id, n AS n_shared_lines, length(t) AS chars_left, md5(t) AS text_md5 FROM o""",
+    "op9_jaccard_join": r"""WITH RECURSIVE a AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM a WHERE len(w) > 0)),
+n AS (SELECT a.doc_id, count(g) AS n FROM a LEFT JOIN s ON a.doc_id = s.doc_id GROUP BY a.doc_id), p AS (SELECT x.doc_id AS i, y.doc_id AS j, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+k AS (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * c >= 80 * (a.n + b.n - c)), e AS (SELECT i, j FROM k UNION ALL SELECT j, i FROM k), r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.j, r.root FROM r JOIN e ON e.i = r.doc_id)
+SELECT r.doc_id, any_value(n.n) AS n_shingles, min(root) AS component_id FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+}
