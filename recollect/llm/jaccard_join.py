@@ -137,12 +137,17 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list],
         yield [c.to_pylist() for c in part.columns[:-1]], [g[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
 
 
-def _distances(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int) -> DataFrame:
+def _sent(narrow: DataFrame, most: int) -> DataFrame:
+    """`narrow`, to be sent to all tasks if it has `most` rows or fewer; else it is joined in the common way."""
+    return F.broadcast(narrow) if narrow.count() <= most else narrow
+
+
+def _distances(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int, most: int) -> DataFrame:
     """members: region, pivot, node. Per row: near (within reach of the pivot), ring and, for the pivot itself, ring -1."""
-    sized = members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region")
+    sized = _sent(stored(members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region"), "sized"), most)
     parts = F.ceil(F.col("m") / cap).cast("int")
-    rows = sized.join(whole, F.col("node") == F.col("class")).select("region", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "node", "text")
-    pivots = sized.where("node = pivot").join(whole, F.col("node") == F.col("class")).select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), "node", "text")
+    rows = whole.join(sized, F.col("node") == F.col("class")).select("region", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "node", "text")
+    pivots = whole.join(sized.where("node = pivot"), F.col("node") == F.col("class")).select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), "node", "text")
     dealt = rows.unionByName(pivots).repartition(F.col("region"), F.col("part")).sortWithinPartitions("region", "part", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +215,9 @@ def cell_links(nodes: list[int], own: list[np.ndarray], home: list[bool], near:
     return out
 
 
-def _cells(cells: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+def _cells(cells: DataFrame, whole: DataFrame, num: int, den: int, most: int) -> DataFrame:
     """cells: cell (long, long), node, home, near. The links within each cell."""
-    rows = cells.join(whole, F.col("node") == F.col("class")).select("region", "part", "node", "home", "near", "text")
+    rows = whole.join(_sent(cells, most), F.col("node") == F.col("class")).select("region", "part", "node", "home", "near", "text")
     dealt = rows.repartition(F.col("region"), F.col("part")).sortWithinPartitions("region", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +241,12 @@ def _cells(cells: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _links(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int, levels: int) -> DataFrame:
+def _links(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int, levels: int, most: int) -> DataFrame:
     """Links that join the documents of all regions into their components. members: region, pivot, node (stored)."""
     found = None
     add = lambda x: x if found is None else found.unionByName(x)
     for level in range(levels):
-        distances = stored(_distances(members, whole, num, den, cap), "distances")
+        distances = stored(_distances(members, whole, num, den, cap, most), "distances")
         pivots = distances.where("ring = -1").select("region", F.col("node").alias("pivot"))
         found = add(distances.where("near AND ring >= 0").join(pivots, "region").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         # what the pivot has not settled: regions with a document beyond its reach and a third one
@@ -251,29 +256,29 @@ def _links(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int, l
         copied = left.select("region", "node", "near", "ring", F.explode(F.array(*[F.struct((F.col("ring") + i).alias("part"), F.lit(i == 0).alias("home")) for i in range(3)])).alias("c")).select("region", "c.part", "node", "c.home", "near")
         sizes = copied.groupBy("region", "part").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col("home"), 1).otherwise(0)).alias("homes"), F.sum(F.when(~F.col("near"), 1).otherwise(0)).alias("far")).where("m > 1 AND homes > 0 AND far > 0")
         cells = stored(copied.join(sizes.select("region", "part", "m"), ["region", "part"]), "cells")
-        found = add(_cells(cells.where(F.col("m") <= cap), whole, num, den))
+        found = add(_cells(cells.where(F.col("m") <= cap), whole, num, den, most))
         large = cells.where(F.col("m") > cap)
         if large.isEmpty():
             return found
         cell = F.xxhash64("region", "part", F.lit(level))
         if level == levels - 1:
-            return add(_blocks(large.select(cell.alias("region"), "node", "home", "near", "m"), whole, num, den, cap))
+            return add(_blocks(large.select(cell.alias("region"), "node", "home", "near", "m"), whole, num, den, cap, most))
         first = large.groupBy("region", "part").agg(F.min_by("node", F.struct("near", F.xxhash64("node"))).alias("pivot"))
         members = stored(large.join(first, ["region", "part"]).select(cell.alias("region"), "pivot", "node").distinct(), "members")
     return found
 
 
-def _blocks(large: DataFrame, whole: DataFrame, num: int, den: int, cap: int) -> DataFrame:
+def _blocks(large: DataFrame, whole: DataFrame, num: int, den: int, cap: int, most: int) -> DataFrame:
     """Cells that pivots don't split: documents in blocks of about cap / 2, each pair of blocks one task's work."""
     n = F.ceil(F.col("m") * 2 / cap).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     placed = large.select("*", n.alias("n"), own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     part = (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).cast("int")
-    return _cells(placed.select("region", part.alias("part"), "node", "home", "near"), whole, num, den)
+    return _cells(placed.select("region", part.alias("part"), "node", "home", "near"), whole, num, den, most)
 
 
 def jaccard_components(
-    docs: DataFrame, num: int = 4, den: int = 5, cap: int = 4096, common: int = 1 << 16, levels: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, num: int = 4, den: int = 5, cap: int = 4096, common: int = 1 << 16, levels: int = 4, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles (the set's size), class (documents with equal sets share it) and component_id.
 
@@ -281,7 +286,8 @@ def jaccard_components(
     the whole sequence where there are fewer words. Two documents link if den * |intersection| >= num * |union|;
     component_id is the smallest doc_id that links reach. A null, empty or blank text has no shingles and links with nothing:
     its component is itself. Null ids are ignored as the smallest; a component of null ids alone gets null. Repeated
-    rows and ties share a component. No rows give none. Other columns are dropped.
+    rows and ties share a component. No rows give none. Other columns are dropped. broadcast_rows: tables of ids
+    with up to so many rows are sent to all tasks, so that texts travel once, to their regions; larger ones are joined.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -299,10 +305,12 @@ def jaccard_components(
     members = meet.select(F.col("pivot").alias("region"), "pivot", F.col("class").alias("node")).distinct()
     members = stored(members, "members")
     wanted = members.select(F.col("node").alias("class")).distinct().join(classes, "class")
-    texts = rows.join(wanted.select(F.col("first_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    named = _named_texts(texts).join(wanted.select("class"), "class", "left_semi")
+    wanted = stored(wanted, "wanted")
+    ids = _sent(wanted.select(F.col("first_id").alias("_id")).distinct(), broadcast_rows)
+    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    named = _named_texts(texts).join(_sent(wanted.select("class"), broadcast_rows), "class", "left_semi")
     whole = stored(named.groupBy("class").agg(F.min("text").alias("text")), "texts")
-    roots = components(_links(members, whole, num, den, cap, levels))
+    roots = components(_links(members, whole, num, den, cap, levels, broadcast_rows))
     rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "first_id")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(smallest, "root").select("class", "component_id")

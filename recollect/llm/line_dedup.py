@@ -8,7 +8,7 @@ occurrence, in the document with the smallest id, stays; the others go.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.session import stored
@@ -46,26 +46,21 @@ def drop_shared_lines(
 
     A line is divided by \\n, compared without white space at its ends, and counts from `min_words` words on. It is shared
     if it stands on `min_sites` sites or more. It stays at its first occurrence in the document of the smallest id (a null
-    id is smallest) and goes everywhere else; rows with equal ids are copies of one document and keep the same lines. A null
+    id is smallest) and goes everywhere else; rows with equal ids are one document, as are those without an id. A null
     site is a site of its own. A null text stays null, an empty one empty; no rows give none. Other columns pass
     through; names that begin with _l_ are taken.
     """
-    rows = docs.select("*", F.split(F.col(text_col).cast("string"), "\n", -1).alias("_l_lines"))
-    lines = rows.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("-")).alias("site"), F.explode("_l_lines").alias("line")).where(_counted(F.col("line"), min_words))
-    lines = stored(lines.select("id", "site", _hash(F.col("line")).alias("h")), "lines")
+    lines = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line")).where(_counted(F.col("line"), min_words))
+    lines = stored(lines.select("id", "site", "pos", _hash(F.col("line")).alias("h")), "lines")
     shared = shared_lines(lines, min_sites).select("h", "first_id")
-    hits = lines.join(shared, "h").select("id", "h", F.col("id").eqNullSafe(F.col("first_id")).alias("first")).distinct()
-    by_doc = hits.groupBy("id").agg(F.collect_list(F.when(F.col("first"), F.col("h"))).alias("_l_once"), F.collect_list(F.when(~F.col("first"), F.col("h"))).alias("_l_gone")).withColumnRenamed("id", "_l_id")
-    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("_l_id")), "left").withColumn("_l_lines", F.when(F.col("_l_id").isNotNull() | F.size("_l_once").isNotNull(), F.split(F.col(text_col).cast("string"), "\n", -1)))
-    joined = joined.withColumn("_l_hashes", F.transform("_l_lines", lambda x: F.when(_counted(x, min_words), _hash(x))))
-
-    def stays(line: Column, i: Column) -> Column:
-        h = F.get("_l_hashes", i)
-        gone = F.array_contains("_l_gone", h)
-        later = F.array_contains("_l_once", h) & (F.array_position("_l_hashes", h) != i + 1)
-        return h.isNull() | ~F.coalesce(gone | later, F.lit(False))
-
-    joined = joined.withColumn("_l_kept", F.filter("_l_lines", stays))
-    text = F.coalesce(F.array_join("_l_kept", "\n"), F.col(text_col))
+    hits = lines.select("id", "pos", "h").join(shared, "h").withColumn("_turn", F.dense_rank().over(Window.partitionBy("h", "id").orderBy("pos")))
+    gone = hits.where(~F.col("id").eqNullSafe(F.col("first_id")) | (F.col("_turn") > 1))
+    by_doc = gone.groupBy(F.col("id").alias("_l_id")).agg(F.collect_set(F.struct("pos", "h")).alias("_l_gone"))
+    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("_l_id")), "left")
+    # each line is looked up by its place and hash, both at hand where the line is: nothing is computed again for each line
+    all_lines = F.split(F.col(text_col).cast("string"), "\n", -1)
+    kept = F.filter(all_lines, lambda line, i: ~F.array_contains(F.col("_l_gone"), F.struct(i.alias("pos"), _hash(line).alias("h"))))
+    joined = joined.withColumn("_l_kept", F.when(F.col("_l_gone").isNotNull(), kept))
+    text = F.when(F.col("_l_kept").isNotNull(), F.array_join("_l_kept", "\n")).otherwise(F.col(text_col))
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size("_l_lines") - F.size("_l_kept"), F.lit(0)).cast("long").alias("n_shared_lines"))
+    return joined.select(*out, F.when(F.col("_l_kept").isNotNull(), F.size(all_lines) - F.size("_l_kept")).otherwise(0).cast("long").alias("n_shared_lines"))
