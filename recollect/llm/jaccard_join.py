@@ -34,6 +34,8 @@ from recollect.session import stored
 WORDS = 5
 #: Linked documents meet in n / SHARE + 1 regions of level 0 at least; a smaller SHARE costs longer prefixes and lets fewer documents through.
 SHARE = 10
+#: Documents of a region that one task compares with a copy of its pivot.
+BLOCK = 512
 _TOP = np.uint64(1 << 63)
 
 
@@ -143,9 +145,9 @@ def _sent(narrow: DataFrame, most: int) -> DataFrame:
 
 
 def _distances(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int, most: int) -> DataFrame:
-    """members: region, pivot, node. Per row: near (within reach of the pivot), ring and, for the pivot itself, ring -1."""
+    """members: region, pivot, node. Per row: pivot, near (within reach of the pivot), ring and, for the pivot itself, ring -1."""
     sized = _sent(stored(members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region"), "sized"), most)
-    parts = F.ceil(F.col("m") / cap).cast("int")
+    parts = F.ceil(F.col("m") / min(cap, BLOCK)).cast("int")
     rows = whole.join(sized, F.col("node") == F.col("class")).select("region", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "node", "text")
     pivots = whole.join(sized.where("node = pivot"), F.col("node") == F.col("class")).select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), "node", "text")
     dealt = rows.unionByName(pivots).repartition(F.col("region"), F.col("part")).sortWithinPartitions("region", "part", "turn")
@@ -158,16 +160,16 @@ def _distances(members: DataFrame, whole: DataFrame, num: int, den: int, cap: in
                 if turn == 0:
                     pivot, pivot_node = own, node
                 elif node == pivot_node:
-                    out.append((region, node, True, -1))
+                    out.append((region, node, pivot_node, True, -1))
                 else:
                     both = len(np.intersect1d(pivot, own, assume_unique=True))
                     union = len(pivot) + len(own) - both
                     # a ring is R / 2 wide: floor of 2 * (1 - both / union) / (1 - num / den)
-                    out.append((region, node, both * den >= num * union, 2 * (union - both) * den // (union * (den - num))))
+                    out.append((region, node, pivot_node, both * den >= num * union, 2 * (union - both) * den // (union * (den - num))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int32()))], names=["region", "node", "near", "ring"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()))], names=["region", "node", "pivot", "near", "ring"])
 
-    return dealt.mapInArrow(run, "region long, node long, near boolean, ring int")
+    return dealt.mapInArrow(run, "region long, node long, pivot long, near boolean, ring int")
 
 
 class _Forest:
@@ -247,8 +249,7 @@ def _links(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int, l
     add = lambda x: x if found is None else found.unionByName(x)
     for level in range(levels):
         distances = stored(_distances(members, whole, num, den, cap, most), "distances")
-        pivots = distances.where("ring = -1").select("region", F.col("node").alias("pivot"))
-        found = add(distances.where("near AND ring >= 0").join(pivots, "region").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        found = add(distances.where("near AND ring >= 0").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         # what the pivot has not settled: regions with a document beyond its reach and a third one
         open_ = distances.where("ring >= 0").groupBy("region").agg(F.sum(F.when(~F.col("near"), 1).otherwise(0)).alias("far"), F.count(F.lit(1)).alias("m"), F.min(F.when(~F.col("near"), F.col("ring"))).alias("first_far")).where("far > 0 AND m > 1")
         # documents near the pivot whose ring lies below every window of a far one are settled too

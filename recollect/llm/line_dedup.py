@@ -8,7 +8,7 @@ occurrence, in the document with the smallest id, stays; the others go.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.session import stored
@@ -52,9 +52,10 @@ def drop_shared_lines(
     """
     lines = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line")).where(_counted(F.col("line"), min_words))
     lines = stored(lines.select("id", "site", "pos", _hash(F.col("line")).alias("h")), "lines")
-    shared = shared_lines(lines, min_sites).select("h", "first_id")
-    hits = lines.select("id", "pos", "h").join(shared, "h").withColumn("_turn", F.dense_rank().over(Window.partitionBy("h", "id").orderBy("pos")))
-    gone = hits.where(~F.col("id").eqNullSafe(F.col("first_id")) | (F.col("_turn") > 1))
+    shared = stored(shared_lines(lines, min_sites).select("h", "first_id"), "shared")
+    # joined by hash and document, then counted down: a line that stands everywhere is spread over its documents
+    stays = lines.join(shared.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("first_id"))).groupBy("h", "first_id").agg(F.min("pos").alias("first_pos"))
+    gone = lines.select("id", "pos", "h").join(stays, "h").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
     by_doc = gone.groupBy(F.col("id").alias("_l_id")).agg(F.collect_set(F.struct("pos", "h")).alias("_l_gone"))
     joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("_l_id")), "left")
     # each line is looked up by its place and hash, both at hand where the line is: nothing is computed again for each line
