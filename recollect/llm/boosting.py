@@ -12,12 +12,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def bin_edges(x: np.ndarray, bins: int = 32) -> list[np.ndarray]:
-    """Borders per feature, at quantiles of its distinct values where those are many."""
+    """Borders per feature, midway between neighbouring values; where those are many, at the column's quantiles."""
     out = []
     for column in x.T:
-        values = np.unique(column[~np.isnan(column)])
+        values, counts = np.unique(column[~np.isnan(column)], return_counts=True)
         middle = (values[1:] + values[:-1]) / 2
-        out.append(middle if len(middle) < bins else np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])))
+        if len(middle) >= bins:
+            at = np.searchsorted(counts.cumsum(), np.linspace(0, counts.sum(), bins + 1)[1:-1])
+            middle = np.unique(middle[np.clip(at, 1, len(middle)) - 1])
+        out.append(middle)
     return out
 
 
