@@ -255,6 +255,7 @@ def _links(members: DataFrame, whole: DataFrame, num: int, den: int, cap: int, l
         # documents near the pivot whose ring lies below every window of a far one are settled too
         left = distances.where("ring >= 0").join(open_.select("region", "first_far"), "region").where("NOT near OR ring >= first_far - 2")
         copied = left.select("region", "node", "near", "ring", F.explode(F.array(*[F.struct((F.col("ring") + i).alias("part"), F.lit(i == 0).alias("home")) for i in range(3)])).alias("c")).select("region", "c.part", "node", "c.home", "near")
+        copied = stored(copied, "copied")  # so that neither the join before it nor what follows keeps a region in one task
         sizes = copied.groupBy("region", "part").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col("home"), 1).otherwise(0)).alias("homes"), F.sum(F.when(~F.col("near"), 1).otherwise(0)).alias("far")).where("m > 1 AND homes > 0 AND far > 0")
         cells = stored(copied.join(sizes.select("region", "part", "m"), ["region", "part"]), "cells")
         found = add(_cells(cells.where(F.col("m") <= cap), whole, num, den, most))
