@@ -5,8 +5,9 @@ longest context of the trie that it knows. Of T bytes seen there, D distinct one
 (n - 1/2) / T, and an escape D / 2T; after an escape the next shorter context is asked, without the bytes that the longer
 one has seen (symbol exclusion). The last resort is uniform over the bytes never seen.
 
-Counts cover all training documents: each task counts its own blocks, Spark adds them up. Contexts enter the trie
-whole, the most frequent first, until `max_nodes` (context, byte) pairs; this bounds what is sent to the executors. As a longer
+Counts cover all training documents: each task counts its own blocks, Spark adds them up. Contexts enter the trie that
+is sent whole, the most frequent first, until `max_nodes` (context, byte) pairs. A byte whose longest context is not among them
+is looked up in the table of all pairs by joins, so that the model is that of all pairs whatever `max_nodes` is. As a longer
 context's bytes are all known to the shorter one, what exclusion leaves over is a constant of each context and is
 computed once.
 
@@ -86,7 +87,7 @@ def contexts(s: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> tuple[np.
 
 def _key(k, packed: np.ndarray, s: np.ndarray) -> np.ndarray:
     """(order, context, byte) in 56 bits at most: exact for orders up to 5."""
-    return (np.uint64(k) << np.uint64(56)) | (packed << np.uint64(8)) | s.astype(np.uint64)
+    return (np.asarray(k, np.uint64) << np.uint64(56)) | (packed << np.uint64(8)) | s.astype(np.uint64)
 
 
 def _counts(docs: DataFrame, order: int, block: int = 1 << 23) -> DataFrame:
@@ -158,10 +159,14 @@ class Trie:
         root = self.contexts.find(mix(np.array([0], np.uint64) + np.uint64(1)))[0]
         self.unseen = math.log10(max(1.0, 256 - distinct[root])) if root >= 0 else math.log10(256)
 
-    def log10(self, s: np.ndarray, packed: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """The log10 probability of each byte in its context."""
+    def log10(self, s: np.ndarray, packed: np.ndarray, most: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None, beyond: np.ndarray | None = None) -> np.ndarray:
+        """The log10 probability of each byte in its context.
+
+        state: what the last longer context, looked up elsewhere, leaves over for the next (log10 of its count and the
+        escape; NaN and 0 without one). beyond: gets True where the longest context isn't in this trie; such bytes get 0.
+        """
         out = np.zeros(len(s))
-        norm, escape = np.full(len(s), np.nan), np.zeros(len(s))
+        norm, escape = state or (np.full(len(s), np.nan), np.zeros(len(s)))
         open_ = np.arange(len(s))
         for k in range(self.order, -1, -1):
             here = most[open_] >= k
@@ -175,6 +180,10 @@ class Trie:
                 a, low = at[~hit], low[~hit]
                 c = self.contexts.find(mix(((np.uint64(k) << np.uint64(48)) | low) + np.uint64(1)))
                 known = c >= 0
+                if beyond is not None:
+                    away = ~known & (most[a] == k)
+                    beyond[a[away]] = True
+                    a, c, known = a[~away], c[~away], known[~away]
                 x, cc = a[known], c[known]
                 out[x] += np.where(np.isnan(norm[x]), self.escape[cc], escape[x])
                 norm[x], escape[x] = self.norm_next[cc], self.escape_next[cc]
@@ -193,12 +202,11 @@ def _parent(key: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (shorter << np.uint64(56)) | (body & keep)
 
 
-def train_trie(counted: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of the counted bytes: all contexts, or, beyond `max_nodes` pairs, those of the largest counts."""
+def train_trie(counted: DataFrame, order: int, max_nodes: int) -> tuple[Trie, tuple[DataFrame, DataFrame] | None]:
+    """The trie of the counted bytes, of the contexts of the largest counts beyond `max_nodes` pairs; and, if it isn't all, the tables of all pairs (key, n) and contexts (c, total, distinct, sent: whether it is in the trie)."""
     key, n = F.col("key"), F.col("n")
     # a byte in a context counts in each shorter context too
-    shorter = "transform(sequence(0, cast(key >> 56 as int)), j -> shiftleft(cast(j as bigint), 56) | (key & (shiftleft(1L, 8 * (j + 1)) - 1)))"
-    every = counted.where("kind = 0").select(F.explode(F.expr(shorter)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    every = counted.where("kind = 0").select(F.explode(F.expr(_shorter(0))).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     every = stored(every, "trie")
     context = F.shiftright(key, 8)
     sizes = stored(every.groupBy(context.alias("c")).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("distinct")), "contexts")
@@ -210,10 +218,66 @@ def train_trie(counted: DataFrame, order: int, max_nodes: int) -> Trie:
             break
         held, least = held + m, b
     if least is None:
-        return Trie(np.zeros(0, np.uint64), np.zeros(0), order)
-    kept = every.join(sizes.where(F.floor(2 * F.log2("total")) >= least).select("c"), context == F.col("c"), "left_semi")
+        return Trie(np.zeros(0, np.uint64), np.zeros(0), order), None
+    # a shorter context's count is no smaller, so the trie holds all shorter contexts of those it holds
+    sizes = sizes.withColumn("sent", F.floor(2 * F.log2("total")) >= least)
+    kept = every.join(sizes.where("sent").select("c"), context == F.col("c"), "left_semi")
     rows = kept.select("key", "n").toArrow()
-    return Trie(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), order)
+    trie = Trie(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), order)
+    return trie, None if held == sum(m for _, m in buckets) else (every, sizes)
+
+
+def _shorter(least: int) -> str:
+    """The keys of a byte in its context and in each shorter one, down to `least` bytes, in SQL."""
+    return f"transform(sequence({least}, cast(key >> 56 as int)), j -> shiftleft(cast(j as bigint), 56) | (key & (shiftleft(1L, 8 * (j + 1)) - 1)))"
+
+
+def beyond_trie(asked: DataFrame, every: DataFrame, sizes: DataFrame, order: int, sent) -> DataFrame:
+    """key and log10 of its probability, for distinct keys whose longest context is not in the trie that `sent` holds."""
+    found = stored(asked.join(every, "key", "left"), "found")
+    context = F.shiftright("key", 8)
+    hits = found.where("n is not null").join(sizes.select("c", "total"), context == F.col("c")).select("key", (F.log10(F.col("n") - 0.5) - F.log10("total")).alias("log10"))
+    # the others go down: their contexts that were seen but not sent, with what each leaves over for the next
+    missed = found.where("n is null").select("key")
+    levels = missed.select("key", F.explode(F.expr(_shorter(1))).alias("low")).withColumn("c", F.shiftright("low", 8))
+    levels = stored(levels.join(sizes.where("not sent").select("c", "total", "distinct"), "c"), "levels")
+    needed = levels.select("c", "distinct").distinct()
+    parent = "shiftleft((key >> 56) - 1, 56) | (key & (shiftleft(1L, cast(8 * (key >> 56) as int)) - 1))"
+    own = every.withColumn("c", context).join(needed, "c").select("c", "distinct", F.expr(parent).alias("up"))
+    left = own.join(every.select(F.col("key").alias("up"), F.col("n").alias("up_n")), "up")
+    left = left.groupBy("c", "distinct", F.shiftright("up", 8).alias("up_c")).agg(F.sum("up_n").alias("seen"))
+    left = left.join(sizes.select(F.col("c").alias("up_c"), F.col("total").alias("up_total"), F.col("distinct").alias("up_distinct")), "up_c")
+    left = left.select("c", (F.col("up_total") - F.col("seen")).alias("left_n"), (F.col("up_distinct") - F.col("distinct")).alias("left_d"))
+    levels = levels.join(left, "c").join(every.select(F.col("key").alias("low"), "n"), "low", "left")
+    fields = ["n", "total", "distinct", "left_n", "left_d"]
+    at = F.shiftright("low", 56)
+    down = missed.join(levels.groupBy("key").agg(*[F.max(F.when(at == k, F.col(f).cast("double"))).alias(f"{f}{k}") for k in range(1, order + 1) for f in fields]), "key", "left")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = sent.value[0]
+        for batch in batches:
+            value = {name: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i, name in enumerate(batch.schema.names) if i}
+            key = batch.column(0).to_numpy().view(np.uint64)
+            out, done = np.zeros(len(key)), np.zeros(len(key), bool)
+            norm, escape = np.full(len(key), np.nan), np.zeros(len(key))
+            for k in range(order, 0, -1):
+                n, total, distinct, left_n, left_d = (value[f"{f}{k}"] for f in fields)
+                first = np.isnan(norm)
+                hit = ~done & ~np.isnan(n)
+                out[hit] += np.log10(n[hit] - 0.5) - np.where(first, np.log10(total), norm)[hit]
+                done |= hit
+                x = ~done & ~np.isnan(total)
+                out[x] += np.where(first, np.log10(distinct / 2) - np.log10(total), escape)[x]
+                some = x & (left_d > 0)
+                norm[x] = escape[x] = 0.0
+                norm[some] = np.log10(left_n[some])
+                escape[some] = np.log10(left_d[some] / 2) - norm[some]
+            go = ~done
+            packed = (key[go] >> np.uint64(8)) & np.uint64((1 << 48) - 1)
+            out[go] += trie.log10((key[go] & np.uint64(255)).astype(np.uint8), packed, (key[go] >> np.uint64(56)).astype(np.int64), (norm[go], escape[go]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["key", "log10"])
+
+    return hits.unionByName(down.mapInArrow(walk, "key long, log10 double"))
 
 
 def most_frequent(words: DataFrame, top: int) -> pa.Table:
@@ -233,7 +297,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
     Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) and one end. base_score adds log10((c + 1) / (N + V + 1)) over
     them, c, N and V counted over the training documents (crc32 of the id as text mod 7 is not 2). score is the log10
     probability that the byte model gives the words, the spaces between them and the end. A null, empty or blank text is its end
-    alone. A null id trains and isn't held out. Repeated rows are documents of their own. Without training documents
+    alone. max_nodes and top bound what is sent, not what is known. A null id trains and isn't held out. Repeated rows are documents of their own. Without training documents
     words are unknown (N = V = 0) and bytes uniform. No rows give none. Other columns are dropped. order: 5 at most.
     """
     if not 0 < order <= 5:
@@ -244,11 +308,16 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
     words = counted.where("kind = 1").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = most_frequent(words, top)
-    trie = train_trie(counted, order, max_nodes)
+    trie, tables = train_trie(counted, order, max_nodes)
     sent = spark.sparkContext.broadcast((trie, frequent["key"].to_numpy(), frequent["n"].to_numpy()))
     whole = distinct == frequent.num_rows
+    complete = tables is None
     scale = math.log10(total + distinct + 1)
 
+    def lists(rows: np.ndarray, values: np.ndarray, count: int) -> pa.ListArray:
+        values = values[np.argsort(rows, kind="stable")]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=count))]).astype(np.int32)), pa.array(values.view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, keys, n = sent.value
         index = HashIndex()
@@ -257,24 +326,32 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
         for part, data, offsets in chunks(batches, "text"):
             count = len(offsets) - 1
             s, bounds, h, row = symbols(data, offsets)
-            bits = np.concatenate([[0], np.cumsum(trie.log10(s, *contexts(s, bounds, trie.order)))])
+            packed, most = contexts(s, bounds, trie.order)
+            beyond = None if complete else np.zeros(len(s), bool)
+            bits = np.concatenate([[0], np.cumsum(trie.log10(s, packed, most, beyond=beyond))])
+            far = np.zeros(0, np.int64) if complete else np.flatnonzero(beyond)
+            far_row = np.searchsorted(bounds, far, "right") - 1
             h, row = np.concatenate([h, np.full(count, _END_WORD)]), np.concatenate([row, np.arange(count)])
             at = index.find(h)
             here = at >= 0
             base = np.bincount(row[here], log_n[at[here]], count)
             known = np.bincount(row[here], minlength=count)
             rest, where = h[~here], row[~here]
-            order_ = np.argsort(where, kind="stable")
             if whole:  # words beyond the list were never seen
-                order_ = order_[:0]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(where[order_], minlength=count))]).astype(np.int32)), pa.array(rest[order_].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, minlength=count)), pa.array(known), pa.array(base), pa.array(bits[bounds[1:]] - bits[bounds[:-1]]), lists], names=["doc_id", "n_tokens", "known", "base", "score", "rare"])
+                rest, where = rest[:0], where[:0]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, minlength=count)), pa.array(known), pa.array(base), pa.array(bits[bounds[1:]] - bits[bounds[:-1]]), lists(where, rest, count), lists(far_row, _key(most[far], packed[far], s[far]), count)], names=["doc_id", "n_tokens", "known", "base", "score", "rare", "far"])
 
-    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>")
+    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, far array<long>")
     scored = stored(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")).join(words, "key")
     more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))
-    joined = scored.drop("rare").join(more, "row", "left")
+    joined = scored.drop("rare", "far").join(more, "row", "left")
+    score = F.col("score")
+    if tables:
+        far = stored(scored.select("row", F.explode("far").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")), "far")
+        deep = far.join(beyond_trie(far.select("key").distinct(), *tables, order, sent), "key")
+        joined = joined.join(deep.groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("deep")), "row", "left")
+        score = score + F.coalesce("deep", F.lit(0.0))
     return joined.select(
         "doc_id",
         (~is_training()).alias("held_out"),
@@ -282,5 +359,5 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        "score",
+        score.alias("score"),
     )

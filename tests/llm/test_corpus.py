@@ -268,6 +268,17 @@ def test_small_trie_keeps_whole_contexts(spark):
     assert len(rows) == len(texts) and all(np.isfinite(r["score"]) for r in rows)
 
 
+def test_scores_do_not_depend_on_what_is_sent(spark):
+    rng = random.Random(11)
+    texts = made_texts(rng) + [" ".join("".join(rng.choices("w0123qé", k=rng.randrange(1, 7))) for _ in range(20)) for _ in range(40)]
+    expected = {r["doc_id"]: r["score"] for r in ppm.score_texts(documents(spark, texts)).collect()}
+    for options in ({"max_nodes": 1}, {"max_nodes": 1500}):
+        got = {r["doc_id"]: r["score"] for r in ppm.score_texts(documents(spark, texts).repartition(3), **options).collect()}
+        assert got == pytest.approx(expected)
+    low = {r["doc_id"]: r["score"] for r in ppm.score_texts(documents(spark, texts), order=2).collect()}
+    assert {r["doc_id"]: r["score"] for r in ppm.score_texts(documents(spark, texts), order=2, max_nodes=100).collect()} == pytest.approx(low)
+
+
 def test_quality_model(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     scored = quality_model.score_quality(docs, labels)
