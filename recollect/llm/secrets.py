@@ -45,7 +45,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def decoded(run: str) -> bytes | None:
     """A run of base64 in either alphabet, padded or not; None if its length or letters allow no decoding."""
-    body = re.sub(r"[\s\\]|\\n", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    body = re.sub(r"\\[nr]|[\s\\]", "", run).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -120,6 +120,16 @@ def is_token(text: str) -> bool:
     return body is not None and body[:1] == b"{" and body.rstrip()[-1:] == b"}" and bool(parts[2] or head["alg"] == "none")
 
 
+def token_length(text: str) -> int:
+    """The length of the signed or encrypted token that a match of _TOKEN begins with, 0 if there is none: what follows its last part may be a full stop or the next sentence."""
+    parts = text.split(".")
+    for n in (len(parts), 5, 3):
+        token = ".".join(parts[:n])
+        if n <= len(parts) and is_token(token):
+            return len(token)
+    return 0
+
+
 def holds_secret(data: bytes) -> bool:
     """Whether bytes are printable text with a base secret or a signed token."""
     try:
@@ -128,14 +138,14 @@ def holds_secret(data: bytes) -> bool:
         return False
     if not all(c.isprintable() or c in "\r\n\t" for c in text):
         return False
-    return bool(base_spans(text)) or any(is_token(m[0]) for m in _TOKEN.finditer(text))
+    return bool(base_spans(text)) or any(token_length(m[0]) for m in _TOKEN.finditer(text))
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of encoded candidates whose decoded structure is a secret's."""
     out = []
     if "eyJ" in text:
-        out += [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_token(m[0])]
+        out += [("token", m.start(), m.start() + n) for m in _TOKEN.finditer(text) if (n := token_length(m[0]))]
     if "-----BEGIN" in text:
         out += [("key", m.start(), m.end()) for m in _BLOCK.finditer(text) if is_key(decoded(m[2]) or b"")]
     taken = [(s, e) for _, s, e in out]

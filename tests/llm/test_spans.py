@@ -74,6 +74,21 @@ def test_structures_are_confirmed():
     assert kinds(b64(b"login with password=verysecret123 please now")) == ["encoded"] and kinds(b64(b"this is only an ordinary sentence of text")) == []
 
 
+def test_escaped_blocks_and_tokens_at_sentence_ends():
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + i] * 32)) for i in range(8)))
+    body = base64.b64encode(key).decode()
+    for end in ("\\n", "\\r\\n", "\n", "\\\\n"):
+        text = f"-----BEGIN RSA PRIVATE KEY-----{end}{end.join(body[i : i + 64] for i in range(0, len(body), 64))}{end}-----END RSA PRIVATE KEY-----"
+        assert secrets.confirmed_spans(f"K={text};") == [("key", 2, 2 + len(text))]
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = part({"alg": "HS256", "typ": "JWT"}) + "." + part({"sub": "1234567890", "name": "x"}) + ".c2lnbmF0dXJl"
+    for after in ("", ".", "...", ".Then more", ". Then more"):
+        assert secrets.confirmed_spans(f"a {token}{after}") == [("token", 2, 2 + len(token))]
+    bare = part({"alg": "none"}) + "." + part({"sub": "x"}) + "."
+    assert secrets.confirmed_spans(bare) == secrets.confirmed_spans(bare + ".") == [("token", 0, len(bare))]
+    assert secrets.confirmed_spans(token.rpartition(".")[0] + ".") == []
+
+
 def test_pii_spans(spark):
     rng = random.Random(1)
     words = "the of and report call was sent by".split()
