@@ -1,8 +1,8 @@
 """Removal of lines that many sites share.
 
 Each line's 64-bit hash gets a HyperLogLog sketch of the sites on which it stands (approx_count_distinct: registers are
-merged map-side and again after the shuffle). Lines far from the threshold are decided by the estimate; those near it,
-where the sketch's error could matter, by an exact distinct count over those lines alone. Of a shared line the first
+merged map-side and again after the shuffle). Lines far above the threshold are decided by the estimate; all others that
+stand on two sites or more, where a few sites may have met in one register, by an exact distinct count over those lines alone. Of a shared line the first
 occurrence, in the document with the smallest id, stays; the others go.
 """
 
@@ -27,10 +27,10 @@ def _hash(line: Column) -> Column:
 def shared_lines(lines: DataFrame, min_sites: int, error: float = 0.1, band: float = 0.5) -> DataFrame:
     """Per hash (h) that stands on at least `min_sites` sites: h and first_id, the smallest id with it. lines: h, site, id.
 
-    error: the sketch's relative standard deviation; within min_sites * (1 ± band), five deviations, sites are counted exactly.
+    error: the sketch's relative standard deviation; up to min_sites * (1 + band), five deviations, sites are counted exactly.
     """
-    spread = lines.groupBy("h").agg(F.approx_count_distinct("site", error).alias("about"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max(F.col("id").isNull()).alias("no_id"))
-    spread = spread.where((F.col("n") >= min_sites) & (F.col("about") >= min_sites * (1 - band)))
+    spread = lines.groupBy("h").agg(F.approx_count_distinct("site", error).alias("about"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max(F.col("id").isNull()).alias("no_id"), (F.min(F.xxhash64("site")) != F.max(F.xxhash64("site"))).alias("sites_differ"))
+    spread = spread.where((F.col("n") >= min_sites) & (F.col("sites_differ") | F.lit(min_sites < 2)))
     spread = stored(spread, "line-spread")
     near = spread.where(F.col("about") <= min_sites * (1 + band)).select("h")
     exact = lines.join(near, "h", "left_semi").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("sites"))

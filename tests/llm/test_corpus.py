@@ -159,6 +159,16 @@ def test_line_dedup(spark):
     assert set(documents(spark, texts).columns) <= set(line_dedup.drop_shared_lines(documents(spark, texts)).columns)
 
 
+def test_sites_that_meet_in_one_register(spark):
+    register = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit("s"), "source")), 57)
+    sites = spark.range(600).select(F.concat(F.lit("site"), "id").alias("source")).groupBy(register).agg(F.sort_array(F.collect_list("source")).alias("s")).where(F.size("s") >= 3).first()["s"][:3]
+    texts = ["one line that is shared", "one line that is shared\nand another", "one line that is shared", "a line on one site", "a line on one site", "a line on one site"]
+    docs = documents(spark, texts, [*sites, *sites[:1] * 3])
+    assert docs.limit(3).agg(F.approx_count_distinct(F.concat(F.lit("s"), "source"), 0.1)).first()[0] == 1
+    got = {r["doc_id"]: (r["text"], r["n_shared_lines"]) for r in line_dedup.drop_shared_lines(docs).collect()}
+    assert got == {0: (texts[0], 0), 1: ("and another", 1), 2: ("", 1), **{i: (texts[i], 0) for i in (3, 4, 5)}}
+
+
 def test_packing_is_a_round_trip(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
