@@ -106,6 +106,11 @@ def test_pii_spans(spark):
     assert pii.find_pii(documents(spark, texts).where("false")).count() == 0
 
 
+def test_spaced_at_is_proposed():
+    text = "john [ at ] example [ dot ] com"
+    assert pii.proposals(f"write {text}") == [("email", 6, 6 + len(text))]
+
+
 def least_edits(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
