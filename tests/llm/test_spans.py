@@ -106,6 +106,21 @@ def test_pii_spans(spark):
     assert pii.find_pii(documents(spark, texts).where("false")).count() == 0
 
 
+def test_numbers_side_by_side_are_proposed(spark):
+    found = lambda t, kind: {t[s:e] for k, s, e in pii.proposals(t) if k == kind}
+    assert {"555-123-4567", "555-987-6543"} <= found("call 555-123-4567 555-987-6543 now", "phone")
+    assert "555-123-4567" in found("call 555-123-4567. 3 days", "phone") and not [x for x in found("call 555-123-4567. 3 days", "phone") if ". " in x]
+    assert {"(269) 555-4781", "(269) 555-4782"} <= found("(269) 555-4781 (269) 555-4782", "phone")
+    assert {"4111 1111 1111 1111", "5500 0000 0000 0004"} <= found("4111 1111 1111 1111 5500 0000 0000 0004", "card")
+    numbers = " ".join(str(i) for i in range(3000))
+    assert len(pii.proposals(numbers)) < 19 * 3 * 3000
+    rng = random.Random(2)
+    phone = lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    texts = [f"the report was sent by {phone()} of the day" for _ in range(200)] + ["the report was sent by (269) 555-4781 (372) 555-9924 of the day", "the report was sent by (269) 555-4781. 3 days"]
+    rows = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find_pii(documents(spark, texts)).collect()}
+    assert rows[200] == [("phone_form", "(269) 555-4781"), ("phone_form", "(372) 555-9924")] and rows[201] == [("phone_form", "(269) 555-4781")]
+
+
 def test_spaced_at_is_proposed():
     text = "john [ at ] example [ dot ] com"
     assert pii.proposals(f"write {text}") == [("email", 6, 6 + len(text))]
