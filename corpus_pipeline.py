@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, added_tokens=True)
 
 
 STAGES = [

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,15 +36,21 @@ POWER = 64.0
 
 
 @functools.lru_cache(2)
-def _encoding(ranks_path: str, pattern: str):
+def _encoding(ranks_path: str, pattern: str, added_path: str | None = None):
+    """(encoding, whether each id ends a sentence); added_path: a tokenizers file, whose added tokens are the encoding's special ones."""
     import tiktoken
 
+    special = {}
+    if added_path:
+        with open(added_path, encoding="utf-8") as f:
+            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     enders = np.zeros(1 << 16, bool)
     for token, rank in ranks.items():
         enders[rank] = token.rstrip(b" \n\"')")[-1:] in (b".", b"!", b"?") or token[-1:] == b"\n"
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), enders
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), enders
 
 
 def cut_points(enders: np.ndarray, ends: np.ndarray, total: int, length: int, spacing: int = 128) -> tuple[np.ndarray, np.ndarray]:
@@ -164,13 +171,15 @@ def pack_documents(
     length: int = 2048,
     end_id: int = 1,
     block: int = 1 << 17,
+    added_tokens: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece of a document in a sequence of at most `length` tokens.
 
     tokenizer_path: the byte-level BPE as ranks (None: the public 50k file, whose ids are those of byte_bpe_50k.json).
-    Strings of special tokens in a text are ordinary text. Columns: doc_id, start (the document's ids before the piece),
+    Strings of special tokens in a text are ordinary text; with added_tokens they are the ids of that file's added tokens,
+    as tokenizers gives them without further options. Columns: doc_id, start (the document's ids before the piece),
     length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit), doc_tokens (with the end id), sequence_id
     (the partition's number in the upper bits, its own count in the lower 33), offset in the sequence, cut (what the
     sequence ends at: document, sentence or token). Order: that of the rows in each partition of `docs`; sort first for
@@ -181,7 +190,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoding, enders = _encoding(tokenizer_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        encoding, enders = _encoding(tokenizer_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json") if added_tokens else None)
         packer = _Packer(length, TaskContext.get().partitionId() << 33, block)
         schema = pa.schema([(n, pa.string() if n == "cut" else pa.int64()) for n in (x.split()[0] for x in SCHEMA.split(", "))])
 
@@ -190,7 +199,7 @@ def pack_documents(
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.array([*encoding.encode_ordinary(text.as_py() or ""), end_id], np.uint16)
+                ids = np.array([*encoding.encode(text.as_py() or "", allowed_special="all", disallowed_special=()), end_id], np.uint16)
                 packer.add(doc_id.as_py(), ids, enders[ids])
                 if packer.size >= block and (rows := packer.pack(False)):
                     yield out(rows)

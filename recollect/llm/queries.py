@@ -24,7 +24,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,23 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack_documents(documents(spark, texts).where("false")).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    import public_tokenizers as P
+    from recollect.llm.queries import op2_packing
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one <|endoftext|>  <|endoftext|>\n two <|endof", "plain text here"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 50256 in ids[0]
+    whole = collections.defaultdict(int)
+    for r in op2_packing(spark, str(tmp_path)).collect():
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        whole[r["doc_id"]] += r["length"]
+    assert whole == {i: len(x) for i, x in enumerate(ids)}
+
+
 def test_cuts_are_the_cheapest():
     rng = random.Random(8)
     for _ in range(60):
