@@ -310,6 +310,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
     frequent = most_frequent(words, top)
     trie, tables = train_trie(counted, order, max_nodes)
     sent = spark.sparkContext.broadcast((trie, frequent["key"].to_numpy(), frequent["n"].to_numpy()))
+    del trie
     whole = distinct == frequent.num_rows
     complete = tables is None
     scale = math.log10(total + distinct + 1)
@@ -349,9 +350,10 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
     score = F.col("score")
     if tables:
         far = stored(scored.select("row", F.explode("far").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")), "far")
-        deep = far.join(beyond_trie(far.select("key").distinct(), *tables, order, sent), "key")
+        deep = far.join(stored(beyond_trie(far.select("key").distinct(), *tables, order, sent), "beyond"), "key")
         joined = joined.join(deep.groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("deep")), "row", "left")
         score = score + F.coalesce("deep", F.lit(0.0))
+    sent.destroy()  # all that reads it is stored
     return joined.select(
         "doc_id",
         (~is_training()).alias("held_out"),
