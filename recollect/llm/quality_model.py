@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.boosting import Additive, fit_additive
 from recollect.llm.bytes_np import chunks, span_hashes, word_spans
+from recollect.llm.joins import without_ids
 from recollect.session import stored
 
 FEATURES = [
@@ -141,5 +142,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """`docs` without the documents that the classifier rejects. Of rows that share an id, all go if the best of them is rejected; rows without an id stay."""
     scored = score_quality(docs, labels, id_col=id_col, **options)
-    gone = scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = stored(scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0 AND doc_id IS NOT NULL").select("doc_id"), "rejected")
+    return without_ids(docs, gone, id_col)
