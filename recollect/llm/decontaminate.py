@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.joins import without_ids
+from recollect.session import stored
+
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
 GAP = b"\0" * 24
 _FOLD = bytes(c + 32 if 65 <= c <= 90 or (0xC0 <= c <= 0xDE and c != 0xD7) else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -105,22 +108,45 @@ class ItemIndex:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else none
 
     def _count(self, at, j, doc, starts):
-        n = self.count[j]
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.first[j], n) + rank
-        doc, item = np.repeat(doc, n), self.item[entry]
-        diagonal = np.repeat(at, n) - starts[doc] - self.place[entry]
+        """Bands that reach the bound, of hits on the index's grams; a gram may stand in many items, so hits are multiplied out in blocks."""
         total = len(self.items)
-        key = doc * total + item
-        _, back, many = np.unique(key, return_inverse=True, return_counts=True)
-        keep = many[back] >= self.bound[item]
-        doc, item, diagonal = doc[keep], item[keep], diagonal[keep]
-        step = self.k[item] + 1
-        band = np.floor_divide(diagonal, step)
-        triples = np.stack([np.r_[doc, doc], np.r_[item, item], np.r_[band, band - 1]], 1)
-        triples, many = np.unique(triples, axis=0, return_counts=True) if len(triples) else (triples, np.zeros(0, np.int64))
-        triples = triples[many >= self.bound[triples[:, 1]]]
-        return triples[:, 0], triples[:, 1], triples[:, 2] * (self.k[triples[:, 1]] + 1)
+        cuts = np.flatnonzero(np.diff(np.cumsum(self.count[j]) // _BLOCK, prepend=0))
+        blocks = list(zip(np.r_[0, cuts], np.r_[cuts, len(at)]))
+
+        def spread(lo: int, hi: int):
+            n = self.count[j[lo:hi]]
+            entry = np.repeat(self.first[j[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            return np.repeat(doc[lo:hi], n), self.item[entry], np.repeat(at[lo:hi] - starts[doc[lo:hi]], n) - self.place[entry]
+
+        keys, many = _added([np.unique(d * total + i, return_counts=True) for d, i, _ in (spread(lo, hi) for lo, hi in blocks)])
+        keys = keys[many >= self.bound[keys % total]]
+        found = []
+        for lo, hi in blocks if len(keys) else ():
+            d, i, diagonal = spread(lo, hi)
+            key = d * total + i
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            here = keys[place] == key
+            place, band = place[here], np.floor_divide(diagonal[here], self.k[i[here]] + 1)
+            # one number for (document and item, band): bands lie between minus an item's and a document's length
+            both = np.r_[place, place] << 40 | (np.r_[band, band - 1] + (1 << 39))
+            found.append(np.unique(both, return_counts=True))
+        both, many = _added(found)
+        key, band = keys[both >> 40] if len(keys) else both, (both & ((1 << 40) - 1)) - (1 << 39)
+        enough = many >= self.bound[key % total]
+        key, band = key[enough], band[enough]
+        return key // total, key % total, band * (self.k[key % total] + 1)
+
+
+#: Pairs of a hit and an item that are held at once.
+_BLOCK = 1 << 20
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, in order, and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    values, back = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return values, np.bincount(back, np.concatenate([n for _, n in parts]), len(values)).astype(np.int64)
 
 
 def align(item: np.ndarray, region: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
@@ -244,5 +270,5 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """`docs` without the documents that hold a benchmark item, with the same columns. A null id can't be told from others: all rows with it go if one is hit."""
-    hit = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    hit = stored(find_contamination(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "hit")
+    return without_ids(docs, hit, id_col, null_too=True)
