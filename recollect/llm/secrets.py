@@ -27,9 +27,15 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)*")
-_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY[A-Z0-9 ]{0,20})-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
+_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY[A-Z0-9 ]{0,20})-----((?:[A-Za-z0-9+/=\s\\:,]|-(?!----))*+)-----END \1-----")
+_ENCRYPTED = re.compile(r"(?:\s|\\[nr])*Proc-Type:\s*4,ENCRYPTED(?:\s|\\[nr])+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}(?:\s|\\[nr])+")
+# the shortest base secret, token=abcdef, has 12 bytes: 16 letters in base64, 24 in hex
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,}")
+
+
+#: PKCS#5 and PKCS#12 object identifiers in DER.
+_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -79,7 +85,7 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_key(data: bytes) -> bool:
-    """Whether bytes are a private key: PKCS#1, PKCS#8 or SEC1 in DER, or an OpenSSH key."""
+    """Whether bytes are a private key: PKCS#1, PKCS#8 (plain or encrypted) or SEC1 in DER, or an OpenSSH key."""
     if data.startswith(b"openssh-key-v1\0"):
         at = 15
         for _ in range(3):
@@ -94,6 +100,9 @@ def is_key(data: bytes) -> bool:
         return False
     parts = der_items(outer[0][1]) or []
     tags = [t for t, _ in parts]
+    if tags == [0x30, 0x04]:  # PKCS#8, encrypted: the name of a password-based scheme, then the bytes
+        scheme = der_items(parts[0][1]) or [(0, b"")]
+        return scheme[0][0] == 0x06 and scheme[0][1].startswith(_SCHEMES)
     if tags[:1] != [0x02] or parts[0][1] not in (b"\0", b"\1"):
         return False
     numbers = len(tags) >= 9 and all(t == 0x02 for t in tags[:9])
@@ -141,24 +150,40 @@ def holds_secret(data: bytes) -> bool:
     return bool(base_spans(text)) or any(token_length(m[0]) for m in _TOKEN.finditer(text))
 
 
+def is_block(body: str) -> bool:
+    """Whether what stands between the lines of a PEM block is a private key, or one encrypted under headers that say how."""
+    head = _ENCRYPTED.match(body)
+    if head:
+        data = decoded(body[head.end() :])
+        return bool(data) and len(data) % 8 == 0
+    return is_key(decoded(body) or b"")
+
+
+def from_hex(run: str) -> list[bytes]:
+    """What a run of hex digits may stand for; one of odd length without its last or its first digit."""
+    return [bytes.fromhex(x) for x in ([run[:-1], run[1:]] if len(run) % 2 else [run])]
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of encoded candidates whose decoded structure is a secret's."""
     out = []
     if "eyJ" in text:
         out += [("token", m.start(), m.start() + n) for m in _TOKEN.finditer(text) if (n := token_length(m[0]))]
     if "-----BEGIN" in text:
-        out += [("key", m.start(), m.end()) for m in _BLOCK.finditer(text) if is_key(decoded(m[2]) or b"")]
-    taken = [(s, e) for _, s, e in out]
-    for pattern, decode in ((_RUN, decoded), (_HEX_RUN, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
-        for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e in taken):
+        out += [("key", m.start(), m.end()) for m in _BLOCK.finditer(text) if is_block(m[2])]
+    for pattern, decode in ((_RUN, lambda x: [decoded(x)]), (_HEX_RUN, from_hex)):
+        taken, at, added = sorted((s, e) for _, s, e in out), 0, []
+        for m in pattern.finditer(text):  # both are in order, so one place moves along
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at < len(taken) and taken[at][0] < m.end():
                 continue
-            data = decode(m[0])
-            if data:
-                kind = "key" if is_key(data) else "encoded" if holds_secret(data) else None
+            for data in decode(m[0]):
+                kind = data and ("key" if is_key(data) else "encoded" if holds_secret(data) else None)
                 if kind:
-                    out.append((kind, m.start(), m.end()))
-                    taken.append((m.start(), m.end()))
+                    added.append((kind, m.start(), m.end()))
+                    break
+        out += added
     return out
 
 
