@@ -1,8 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 Everything of a document is computed in its own row: no user function, no shuffle. Repeated windows are found with sorted
-hashes: each 8-word window becomes one long (hash in the upper bits, position below), the longs are sorted as
-primitives, and equal neighbours are confirmed word by word.
+hashes: each 8-word window becomes one long (as many bits of its hash as its position, below, leaves free), the longs are
+sorted as primitives, and equal neighbours are confirmed word by word. Where neighbours of one hash differ in words, all
+windows of that hash are compared with each other, so that no repeat is lost.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\f\r"
 WINDOW = 8
-_POSITION_BITS = 26
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "der", "die", "und", "das", "den", "mit", "zu", "ein", "eine", "von", "le", "la", "les", "de", "des", "et", "un", "une", "que", "pour", "el", "los", "las", "y", "en", "por", "con", "una", "no"]
@@ -39,8 +39,8 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * 100.0 / whole).otherwise(0.0)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the counts and ratios that rules refer to. Intermediate columns carry the prefix _q_ and are dropped."""
+def measured(docs: DataFrame, text_col: str = "text", hash_mask: int = -1) -> DataFrame:
+    """`docs` with the counts and ratios that rules refer to. Intermediate columns carry the prefix _q_ and are dropped. hash_mask: the bits of a window's hash that are used; any choice gives the same counts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(WHITE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -49,19 +49,27 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = docs.select("*", words.alias("_q_w"), lines.alias("_q_l"), text.alias("_q_t"))
     d = d.select("*", F.size("_q_w").cast("long").alias("n_words"), F.transform("_q_w", lambda w: F.xxhash64(w)).alias("_q_h"))
 
+    # bits that hold every position
+    d = d.select("*", F.ceil(F.log2(F.col("n_words") + 1)).cast("int").alias("_q_b"))
+
     def window(i: Column) -> Column:
-        hashed = F.xxhash64(*[F.get("_q_h", i + j) for j in range(WINDOW)])
-        return F.shiftleft(F.shiftright(hashed, _POSITION_BITS), _POSITION_BITS).bitwiseOR(i.cast("long"))
+        hashed = F.xxhash64(F.slice("_q_h", i + 1, WINDOW))
+        hashed = hashed if hash_mask == -1 else hashed.bitwiseAND(F.lit(hash_mask))
+        return F.call_function("shiftleft", F.call_function("shiftright", hashed, F.col("_q_b")), F.col("_q_b")).bitwiseOR(i.cast("long"))
 
     starts = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int"))).otherwise(F.array().cast("array<int>"))
     d = d.select("*", F.sort_array(F.transform(starts, window)).alias("_q_s"))
-    place = lambda x: x.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int")
-
-    def same(x: Column, y: Column) -> Column:
-        alike = F.shiftright(x, _POSITION_BITS) == F.shiftright(y, _POSITION_BITS)
-        return F.coalesce(alike & (F.slice("_q_w", place(x) + 1, WINDOW) == F.slice("_q_w", place(y) + 1, WINDOW)), F.lit(False))
-
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_q_b")) - 1).cast("int")
+    hashed = lambda x: F.call_function("shiftright", x, F.col("_q_b"))
+    words_at = lambda x: F.slice("_q_w", place(x) + 1, WINDOW)
+    same = lambda x, y: F.coalesce((hashed(x) == hashed(y)) & (words_at(x) == words_at(y)), F.lit(False))
+    # neighbours of one hash with other words: a third window may lie between two equal ones
+    mixed = F.filter("_q_s", lambda x, i: F.coalesce((hashed(x) == hashed(F.get("_q_s", i + 1))) & (words_at(x) != words_at(F.get("_q_s", i + 1))), F.lit(False)))
+    d = d.select("*", F.transform(mixed, hashed).alias("_q_m"))
     again = F.filter("_q_s", lambda x, i: same(x, F.get("_q_s", i + 1)) | same(x, F.get("_q_s", i - 1)))
+    among = F.filter("_q_s", lambda x: F.array_contains("_q_m", hashed(x)))
+    all_pairs = F.filter(among, lambda x: F.exists(among, lambda y: (x != y) & same(x, y)))
+    again = F.when(F.size("_q_m") == 0, again).otherwise(F.array_union(again, all_pairs))
     d = d.select("*", F.sort_array(F.transform(again, place)).alias("_q_p"))
     covered = F.aggregate(F.transform("_q_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_q_p", i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
     count = lambda array, f: F.size(F.filter(array, f)).cast("long")
