@@ -48,7 +48,7 @@ def drop_shared_lines(
     if it stands on `min_sites` sites or more. It stays at its first occurrence in the document of the smallest id (a null
     id is smallest) and goes everywhere else; rows with equal ids are one document, as are those without an id. A null
     site is a site of its own. A null text stays null, an empty one empty; no rows give none. Other columns pass
-    through; names that begin with _l_ are taken.
+    through; one named n_shared_lines is replaced, and names that begin with _l_ are taken.
     """
     lines = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line")).where(_counted(F.col("line"), min_words))
     lines = stored(lines.select("id", "site", "pos", _hash(F.col("line")).alias("h")), "lines")
@@ -56,12 +56,13 @@ def drop_shared_lines(
     # joined by hash and document, then counted down: a line that stands everywhere is spread over its documents
     stays = lines.join(shared.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("first_id"))).groupBy("h", "first_id").agg(F.min("pos").alias("first_pos"))
     gone = lines.select("id", "pos", "h").join(stays, "h").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
-    by_doc = gone.groupBy(F.col("id").alias("_l_id")).agg(F.collect_set(F.struct("pos", "h")).alias("_l_gone"))
-    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("_l_id")), "left")
-    # each line is looked up by its place and hash, both at hand where the line is: nothing is computed again for each line
-    all_lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept = F.filter(all_lines, lambda line, i: ~F.array_contains(F.col("_l_gone"), F.struct(i.alias("pos"), _hash(line).alias("h"))))
-    joined = joined.withColumn("_l_kept", F.when(F.col("_l_gone").isNotNull(), kept))
-    text = F.when(F.col("_l_kept").isNotNull(), F.array_join("_l_kept", "\n")).otherwise(F.col(text_col))
-    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.when(F.col("_l_kept").isNotNull(), F.size(all_lines) - F.size("_l_kept")).otherwise(0).cast("long").alias("n_shared_lines"))
+    said = lambda pos, h: F.concat(pos.cast("string"), F.lit(":"), h.cast("string"))
+    by_doc = gone.groupBy(F.col("id").alias("_l_id")).agg(F.collect_set(said(F.col("pos"), F.col("h"))).alias("_l_gone"))
+    joined = docs.drop("n_shared_lines").join(by_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_l_id")), "left")
+    # lines are known by place and hash; array_except looks these up in a hash set, so a text takes time in proportion to its lines
+    joined = joined.withColumn("_l_all", F.when(F.col("_l_gone").isNotNull(), F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)))
+    kept = F.array_except(F.transform("_l_all", lambda line, i: said(i, _hash(line))), F.col("_l_gone"))
+    joined = joined.withColumn("_l_kept", F.transform(kept, lambda k: F.get("_l_all", F.substring_index(k, ":", 1).cast("int"))))
+    text = F.when(F.col("_l_kept").isNotNull(), F.array_join("_l_kept", "\n")).otherwise(F.col(f"`{text_col}`"))
+    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_shared_lines"]
+    return joined.select(*out, F.when(F.col("_l_kept").isNotNull(), F.size("_l_all") - F.size("_l_kept")).otherwise(0).cast("long").alias("n_shared_lines"))
