@@ -1,11 +1,14 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
 Write. Records are dealt to shards by ranges of their id, whose borders follow from exact byte counts of the table (not
-from a sample), so that the same rows make the same files whatever the partitions were. Each shard is sorted by id and
-written by one task into files rolled by compressed size, each record a gzip member of its own, headers and digests
+from a sample), so that the same rows make the same files whatever the partitions were. Each shard is one task's work: it is
+sorted by id and written into files rolled by compressed size, each record a gzip member of its own, headers and digests
 made anew. A file is written under a temporary name of the task attempt and renamed when it is whole; as its bytes depend on
-the rows alone, a repeated attempt replaces it by itself. The manifest (one row per file) is written by Spark under a
-temporary name and renamed last: readers take the files that it names and no others.
+the rows alone, a repeated attempt replaces it by itself.
+
+Each run writes into a folder of its own, a generation, beside its manifest (one row per file). Last of all the file CURRENT
+is replaced by one that names the new generation: readers take the files that its manifest names and no others, and a
+reader of the former generation still finds it whole.
 
 Deduplication. Of records with equal payloads of `revisit_bytes` or more, the one with the largest id is the response.
 These decisions are made on digests alone; they travel to the shards as rows of their own, sorted just before the record
@@ -98,8 +101,8 @@ class _Roll:
 def shard_borders(sizes: DataFrame, target: int, buckets: int = 1024) -> list[int]:
     """Ids at which shards begin (without the first), from exact sums over ranges of ids; ranges above the target are cut again.
 
-    sizes: key long, bytes long. The driver gets at most `buckets` sums for each heavy range, a number that follows from
-    bytes / target. One id that outweighs the target keeps a shard to itself.
+    sizes: key long, bytes long. The driver gets, as Arrow columns, at most `buckets` sums of 16 bytes for each heavy range, a
+    number that follows from bytes / target. One id that outweighs the target keeps a shard to itself.
     """
     known = sizes.where("key IS NOT NULL")
     low, high, total = known.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
@@ -107,17 +110,21 @@ def shard_borders(sizes: DataFrame, target: int, buckets: int = 1024) -> list[in
         return []
     buckets = max(buckets, 4 * (int(total) // target + 1))
     shift = max(0, (int(high) - int(low)).bit_length() - buckets.bit_length())
-    pieces: list[tuple[int, int]] = []
+    pieces: list[tuple[np.ndarray, np.ndarray]] = []
     while True:
-        sums = known.groupBy(F.shiftright("key", shift).alias("b")).agg(F.sum("bytes").alias("bytes")).collect()
-        heavy = [b for b, n in sums if n > target and shift]
-        pieces += [(b << shift, int(n)) for b, n in sums if n <= target or not shift]
-        if not heavy:
+        sums = known.groupBy(F.shiftright("key", shift).alias("b")).agg(F.sum("bytes").alias("bytes")).toArrow()
+        b, n = sums["b"].to_numpy(), sums["bytes"].to_numpy()
+        heavy = (n > target) & bool(shift)
+        pieces.append((b[~heavy] << shift, n[~heavy]))
+        if not heavy.any():
             break
-        known = known.withColumn("b", F.shiftright("key", shift)).join(F.broadcast(sizes.sparkSession.createDataFrame([(b,) for b in heavy], "b long")), "b", "left_semi").drop("b")
+        rows = sizes.sparkSession.createDataFrame(pa.table({"b": b[heavy]}))
+        known = known.withColumn("b", F.shiftright("key", shift)).join(F.broadcast(rows), "b", "left_semi").drop("b")
         shift = max(0, shift - 10)
+    lows, bytes_ = (np.concatenate(x) for x in zip(*pieces))
+    order = np.argsort(lows)
     borders, held = [], 0
-    for lo, n in sorted(pieces):
+    for lo, n in zip(lows[order].tolist(), bytes_[order].tolist()):
         if held and held + n > target:
             borders.append(lo)
             held = 0
@@ -137,7 +144,7 @@ def write_warc(
     date: str = "1970-01-01T00:00:00Z",
     level: int = 6,
 ) -> DataFrame:
-    """Writes `pages` to WARC files under `folder` and returns the manifest, one row per file.
+    """Writes `pages` to WARC files under `folder` and returns the manifest, one row per file; an archive that is there already is replaced as a whole.
 
     A null payload is empty; a null url is written as urn:x-none:. A null id goes to the first shard and is read back as
     null. Rows that share the largest id of a payload are all responses; of rows with equal payloads and no id, each is a
@@ -155,7 +162,7 @@ def write_warc(
     wire = "shard int, key long, turn int, url string, payload binary, digest string, response long"
     decided = revisits.select(shard.cast("int").alias("shard"), "key", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "response")
     payloads = rows.select(shard.cast("int").alias("shard"), "key", F.lit(1).alias("turn"), "url", "payload", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("response"))
-    dealt = decided.unionByName(payloads).repartition(max(1, len(borders) + 1), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "turn", "digest", "url")
+    dealt = decided.unionByName(payloads).repartitionById(len(borders) + 1, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "turn", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, decisions, at = None, {}, None
@@ -167,7 +174,7 @@ def write_warc(
                     if roll is not None:
                         roll.close()
                         made += roll.made
-                    roll = _Roll(folder, s, roll_bytes, level)
+                    roll = _Roll(target, s, roll_bytes, level)
                     decisions = {}
                 if at != key:
                     decisions, at = {}, key
@@ -181,24 +188,53 @@ def write_warc(
         if made:
             yield pa.RecordBatch.from_pylist([dict(zip((x.split()[0] for x in MANIFEST.split(", ")), m)) for m in made], schema=pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("sha1", pa.string())]))
 
-    files, path = _filesystem(folder)
+    generation = f"run-{uuid.uuid4().hex}"
+    target = f"{folder.rstrip('/')}/{generation}"
+    files, path = _filesystem(target)
     files.create_dir(path, recursive=True)
-    temporary = f"{folder}/manifest.tmp-{uuid.uuid4().hex}"
-    dealt.select(*[F.col(x.split()[0]) for x in wire.split(", ")]).mapInArrow(write, MANIFEST).write.json(temporary)
-    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(temporary)
-    here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(here, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest"))
-    return spark.read.schema(MANIFEST).json(f"{folder}/manifest")
+    dealt.select(*[F.col(x.split()[0]) for x in wire.split(", ")]).mapInArrow(write, MANIFEST).write.json(f"{target}/manifest")
+    for left in files.get_file_info(_selector(path)):
+        if ".tmp-" in left.base_name:  # of attempts that failed
+            files.delete_file(left.path)
+    base = path.rpartition("/")[0]
+    with files.open_output_stream(f"{path}/CURRENT", compression=None) as f:
+        f.write(generation.encode())
+    files.move(f"{path}/CURRENT", f"{base}/CURRENT")
+    return spark.read.schema(MANIFEST).json(f"{target}/manifest")
+
+
+def _selector(path: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(path)
+
+
+def generation(folder: str) -> str:
+    """The folder of the archive that was written to `folder` last."""
+    files, path = _filesystem(folder)
+    with files.open_input_stream(f"{path}/CURRENT", compression=None) as f:
+        return f"{folder.rstrip('/')}/{f.read().decode()}"
+
+
+def drop_former(folder: str) -> None:
+    """Deletes the generations that CURRENT doesn't name; to be called when nobody reads them."""
+    files, path = _filesystem(folder)
+    kept = generation(folder).rpartition("/")[2]
+    for info in files.get_file_info(_selector(path)):
+        if info.base_name.startswith("run-") and info.base_name != kept:
+            files.delete_dir(info.path)
 
 
 def _bucketed(borders: list[int]) -> Column:
-    """The shard of F.col("key"): nested halves, so that a row is compared with log2(n) borders; many borders go to numpy."""
+    """The shard of F.col("key"): nested halves, so that a row is compared with log2(n) borders; many borders go to numpy. Without an id: the first."""
     if len(borders) > 512:
 
         @F.pandas_udf("int")
         def place(key: pd.Series) -> pd.Series:
-            return pd.Series(np.where(key.isna(), 0, np.searchsorted(borders, key.fillna(0).astype("int64"), "right")))
+            return pd.Series(np.searchsorted(borders, key.to_numpy(np.int64), "right"))
 
-        return place(F.col("key"))
+        # nulls would turn the batch's ids into floats
+        return F.when(F.col("key").isNull(), 0).otherwise(place(F.coalesce("key", F.lit(0).cast("long"))))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -236,10 +272,11 @@ READ = "record_key long, url string, record_type string, refers_to long, payload
 
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives that the manifest of `folder` names; each digest is checked, and a wrong one fails the task.
+    """The records of the archive that was written to `folder` last; each digest is checked, and a wrong one fails the task.
 
     payloads: False leaves the column payload null (for a revisit it is always null). Files are read by one task each.
     """
+    folder = generation(folder)
     manifest = spark.read.schema(MANIFEST).json(f"{folder}/manifest")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
