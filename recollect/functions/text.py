@@ -44,10 +44,16 @@ MODALS = [("must", "may"), ("must", "might"), ("shall", "may"), ("shall", "might
 HONORIFICS = "king queen prince princess lord lady sir dame dr mr mrs ms ms. saint st st. mount mt mt. lake river cape the a an".split()
 NO_NAMES = "fact facts answer question context yes no".split()
 
+# What counts as a token, and as a run of capitalised words.
 TOKEN = "[A-Za-z0-9']+"
 NAME_RUN = r"\b[A-Z][A-Za-z]*(?:[-'][A-Za-z]+)*(?:\s+[A-Z][A-Za-z]*(?:[-'][A-Za-z]+)*)*\b"
 
 
+def bound(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often and in whatever lambda the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
@@ -60,7 +66,7 @@ def content_tokens(text: Column, exclude: Column | None = None) -> Column:
     """Tokens of two characters or more that are no function words, with repetitions; those of `exclude` left out."""
     keep = lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS)
     found = F.filter(tokens(text), keep)
-    return found if exclude is None else F.filter(found, lambda t: ~F.array_contains(exclude, t))
+    return found if exclude is None else bound(exclude, lambda e: F.filter(found, lambda t: ~F.array_contains(e, t)))
 
 
 def fact_tokens(text: Column) -> Column:

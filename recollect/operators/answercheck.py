@@ -6,21 +6,19 @@ presentation. Nothing is shuffled: a row holds all that its verdict needs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.text import anchor_form, content_tokens, entity_form, name_runs, numeric_strings, tokens
+from recollect.functions.text import anchor_form, bound, content_tokens, name_runs, numeric_strings, tokens
 
 MIN_COVERAGE = 0.5
 RESCUE_WINDOW, RESCUE_FLOOR = 3, 0.40
-
-
-def _bound(value: Column, body) -> Column:
-    """`body` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+# Where sentences and clauses end, what marks a citation, and phrases of a refusal.
+SENTENCE_END = r"(?<=[.!?;])\s+"
+CLAUSE_END = r"\s+--\s+|\s+—\s+|,\s+(?:and|but|while|whereas|however|though|although)\s+"
+CITATION = r"\[\s*\d+\s*\]"
+REFUSALS = ["i drafted an answer but could not ground it", "no matching memory"]
+CLAIM_EDGES, MIN_CLAIM = " \t\r\n.,;:!?-—", 8
 
 
 def cell_blob(cells: Column) -> Column:
@@ -37,59 +35,71 @@ def without_citations(answer: Column, cells: Column) -> Column:
 
 def coherent(question: Column) -> Column:
     """A question with a word-like token (three letters, one a vowel) and, from three tokens on, none that makes up over half."""
-    t = tokens(question)
-    wordlike = F.exists(t, lambda x: x.rlike("^[a-z]{3,}$") & x.rlike("[aeiouy]"))
-    top = F.array_max(F.transform(F.array_distinct(t), lambda x: F.size(F.filter(t, lambda y: y == x))))
-    return (F.size(t) > 0) & wordlike & ((F.size(t) < 3) | (top * 2 <= F.size(t)))
+
+    def checked(t: Column) -> Column:
+        wordlike = F.exists(t, lambda x: x.rlike("^[a-z]{3,}$") & x.rlike("[aeiouy]"))
+        top = F.array_max(F.transform(F.array_distinct(t), lambda x: F.size(F.filter(t, lambda y: y == x))))
+        return (F.size(t) > 0) & wordlike & ((F.size(t) < 3) | (top * 2 <= F.size(t)))
+
+    return bound(tokens(question), checked)
 
 
 def overlapping(question: Column, blob: Column) -> Column:
     """Whether the cells hold a content token of the question as a substring; questions with fewer than two pass."""
-    q = F.array_distinct(content_tokens(question))
-    return (F.size(q) < 2) | F.exists(q, lambda t: F.contains(blob, t))
+    return bound(F.array_distinct(content_tokens(question)), lambda q: (F.size(q) < 2) | F.exists(q, lambda t: F.contains(blob, t)))
 
 
 def coverage(answer: Column, question: Column, blob: Column) -> tuple[Column, Column]:
     """(tokens of the answer that the cells hold, all its tokens), without those of the question, with repetitions."""
     t = content_tokens(answer, F.coalesce(content_tokens(question), F.array().cast("array<string>")))
-    there = F.array_distinct(tokens(blob))
-    return F.size(F.array_compact(F.transform(t, lambda x: F.when(F.array_contains(there, x), x)))), F.size(t)
+    held = bound(F.array_distinct(tokens(blob)), lambda there: F.size(F.filter(t, lambda x: F.array_contains(there, x))))
+    return held, F.size(t)
 
 
 def uncited_numbers(answer: Column, question: Column, blob: Column) -> Column:
     """Numbers and months of the answer that are neither in the question nor, as substrings, in the cells."""
-    known = numeric_strings(question)
-    return F.filter(numeric_strings(answer), lambda n: ~F.array_contains(known, n) & ~F.contains(blob, F.lower(n)))
+    return bound(numeric_strings(question), lambda known: F.filter(numeric_strings(answer), lambda n: ~F.array_contains(known, n) & ~F.contains(blob, F.lower(n))))
 
 
 def anchors(question: Column) -> Column:
     """What answers must stand beside: names of several words, else single names, else content tokens of three letters or more."""
-    norms = F.transform(name_runs(question), lambda r: r["norm"])
-    many, one = F.filter(norms, lambda n: F.contains(n, F.lit(" "))), F.filter(norms, lambda n: ~F.contains(n, F.lit(" ")))
     words = F.array_distinct(F.filter(content_tokens(question), lambda t: F.length(t) >= 3))
-    return F.when(F.size(many) > 0, many).when(F.size(one) > 0, one).otherwise(words)
+
+    def tiers(norms: Column) -> Column:
+        many, one = F.filter(norms, lambda n: F.contains(n, F.lit(" "))), F.filter(norms, lambda n: ~F.contains(n, F.lit(" ")))
+        return F.when(F.size(many) > 0, many).when(F.size(one) > 0, one).otherwise(words)
+
+    return bound(F.transform(name_runs(question), lambda r: r["norm"]), tiers)
 
 
 def novel_entities(answer: Column, question: Column) -> Column:
     """Names in the answer that the question doesn't hold: structs (span, norm)."""
-    q = anchor_form(F.coalesce(question, F.lit("")))
-    return F.filter(name_runs(answer), lambda r: (r["norm"] != "") & ~F.contains(q, r["norm"]))
+    return bound(anchor_form(F.coalesce(question, F.lit(""))), lambda q: F.filter(name_runs(answer), lambda r: (r["norm"] != "") & ~F.contains(q, r["norm"])))
+
 
+def cell_forms(cells: Column) -> Column:
+    """The anchor forms of the cells' texts, in their order."""
+    return F.transform(cells, lambda c: anchor_form(F.coalesce(c["text"], F.lit(""))))
 
-def unanchored(answer: Column, question: Column, cells: Column) -> Column:
-    """Novel names for which no cell holds both the name and an anchor of the question; none if the question has no anchor."""
-    marks = anchors(question)
-    forms = F.transform(cells, lambda c: anchor_form(F.coalesce(c["text"], F.lit(""))))
-    beside = lambda r: F.exists(forms, lambda f: F.contains(f, r["norm"]) & F.exists(marks, lambda a: F.contains(f, a)))
-    return F.when(F.size(marks) > 0, F.transform(F.filter(novel_entities(answer, question), lambda r: ~beside(r)), lambda r: r["span"])).otherwise(F.array().cast("array<string>"))
+
+def unanchored(answer: Column, question: Column, forms: Column) -> Column:
+    """Novel names for which no cell (forms: of its text) holds both the name and an anchor of the question; none if the question has no anchor."""
+    none = F.array().cast("array<string>")
+
+    def apart(marks: Column, there: Column) -> Column:
+        beside = lambda r: F.exists(there, lambda f: F.contains(f, r["norm"]) & F.exists(marks, lambda a: F.contains(f, a)))
+        names = F.transform(F.filter(novel_entities(answer, question), lambda r: ~beside(r)), lambda r: r["span"])
+        return F.when(F.size(marks) > 0, names).otherwise(none)
+
+    return bound(anchors(question), lambda marks: bound(forms, lambda there: apart(marks, there)))
 
 
 def verified(rows: DataFrame, min_coverage: float = MIN_COVERAGE, strict: bool = True) -> DataFrame:
-    """rows: question, answer, cells and others. Adds covered, total, uncited, unanchored, grounded and reason; the first failing check names the reason."""
+    """rows: question, answer, cells and others; forms (cell_forms of the cells) may be there already, computed once for all answers to the same cells. Adds covered, total, uncited, unanchored, grounded and reason; the first failing check names the reason."""
     q, a = F.coalesce(F.col("question"), F.lit("")), F.col("_v_answer")
     d = rows.withColumn("_v_answer", without_citations(F.coalesce(F.col("answer"), F.lit("")), F.col("cells"))).withColumn("_v_blob", cell_blob(F.col("cells")))
     covered, total = coverage(a, q, F.col("_v_blob"))
-    d = d.withColumns({"covered": covered, "total": total, "uncited": uncited_numbers(a, q, F.col("_v_blob")), "unanchored": unanchored(a, q, F.col("cells")) if strict else F.array().cast("array<string>")})
+    d = d.withColumns({"covered": covered, "total": total, "uncited": uncited_numbers(a, q, F.col("_v_blob")), "unanchored": unanchored(a, q, F.col("forms") if "forms" in rows.columns else cell_forms(F.col("cells"))) if strict else F.array().cast("array<string>")})
     share = F.col("covered") / F.nullif(F.col("total"), F.lit(0))
     enough = F.coalesce(share >= min_coverage, F.lit(True))
     cited, placed = F.size("uncited") == 0, F.size("unanchored") == 0
@@ -106,64 +116,62 @@ def rescue(rows: DataFrame, window: int = RESCUE_WINDOW, floor: float = RESCUE_F
     The first novel name counts; the first cell that holds it and an anchor must stand within the window and reach the floor.
     """
     q, a = F.coalesce(F.col("question"), F.lit("")), F.coalesce(F.col("answer"), F.lit(""))
-    primary = F.when(F.size(anchors(q)) > 0, F.get(novel_entities(a, q), F.lit(0))["span"])
-    form = anchor_form(F.col("_primary"))
-    supports = lambda c: F.contains(anchor_form(F.coalesce(c["text"], F.lit(""))), form) & F.exists(F.col("_marks"), lambda m: F.contains(anchor_form(F.coalesce(c["text"], F.lit(""))), anchor_form(m)))
-    d = rows.withColumn("_primary", primary).withColumn("_marks", anchors(q))
-    places = F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("rank"), c["act"].alias("act"), supports(c).alias("ok"))), lambda x: x["ok"])
-    first = F.get(places, F.lit(0))
-    d = d.withColumn("_first", first)
-    outcome = F.when(F.col("_primary").isNull() | (form == ""), "reject_no_primary").when(F.col("_first").isNull(), "reject_no_supporting_cell").when(F.col("_first.rank") >= window, "reject_outside_window").when(F.col("_first.act") < floor, "reject_below_floor").otherwise("rescue")
-    return d.withColumn("outcome", outcome).withColumn("support_rank", F.col("_first.rank")).drop("_primary", "_marks", "_first")
+    forms = F.col("forms") if "forms" in rows.columns else cell_forms(F.col("cells"))
+    primary = F.when(F.size(F.col("_marks")) > 0, F.get(novel_entities(a, q), F.lit(0))["span"])
+
+    def place(form: Column) -> Column:
+        supports = F.transform(forms, lambda f: F.contains(f, form) & F.exists(F.col("_marks"), lambda m: F.contains(f, m)))
+        return F.when(form != "", F.array_position(supports, True) - 1)
+
+    d = rows.withColumn("_marks", F.transform(anchors(q), anchor_form)).withColumn("_primary", primary)
+    d = d.withColumn("support_rank", bound(anchor_form(F.col("_primary")), place).cast("int"))
+    found = F.col("support_rank") >= 0
+    outcome = (
+        F.when(F.col("_primary").isNull() | (anchor_form(F.col("_primary")) == ""), "reject_no_primary")
+        .when(~F.coalesce(found, F.lit(False)), "reject_no_supporting_cell")
+        .when(F.col("support_rank") >= window, "reject_outside_window")
+        .when(F.get("cells", F.col("support_rank"))["act"] < floor, "reject_below_floor")
+        .otherwise("rescue")
+    )
+    return d.withColumn("outcome", outcome).withColumn("support_rank", F.when(found, F.col("support_rank"))).drop("_primary", "_marks")
 
 
 def claims(answers: DataFrame, id_col: str, column: str = "answer") -> DataFrame:
-    """One row per claim: id, claim_index, start, end, claim. Sentences end at .!?; and white space; clauses at dashes and at a comma with a conjunction. Short fragments and refusals are no claims."""
-    import re
-
-    sentence = re.compile(r"(?<=[.!?;])\s+")
-    clause = re.compile(r"\s+--\s+|\s+—\s+|,\s+(?:and|but|while|whereas|however|though|although)\s+")
-    mark = re.compile(r"\[\s*\d+\s*\]")
-    refusals = ("i drafted an answer but could not ground it", "no matching memory")
-
-    def pieces(text: str, pattern: re.Pattern, base: int) -> Iterator[tuple[int, int]]:
-        at = 0
-        for m in pattern.finditer(text):
-            if m.start() > at:
-                yield base + at, base + m.start()
-            at = m.end()
-        if at < len(text):
-            yield base + at, base + len(text)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for key, text in zip(f.iloc[:, 0], f.iloc[:, 1]):
-                n = 0
-                for s, e in pieces(text or "", sentence, 0):
-                    for a, z in pieces(text[s:e], clause, s):
-                        part = text[a:z].strip()
-                        bare = mark.sub("", part).strip(" \t\r\n.,;:!?-—")
-                        if len(bare) >= 8 and not any(r in bare.lower() for r in refusals):
-                            first = text.find(part, a, z)
-                            rows.append((key, n, first, first + len(part), part))
-                            n += 1
-            yield pd.DataFrame(rows, columns=["id", "claim_index", "start", "end", "claim"])
-
-    return answers.select(F.col(id_col).cast("long").alias("id"), F.col(column)).mapInPandas(run, "id long, claim_index int, start int, end int, claim string")
+    """One row per claim: id, claim_index, start, end (code points), claim. Sentences end at .!?; and white space; clauses at dashes and at a comma with a conjunction. Short fragments and refusals are no claims.
+
+    A mark is put on either side of each end, so that fragments and ends alternate and lengths add up to places.
+    """
+    mark = "\u0001"
+    text = F.translate(F.coalesce(F.col(column), F.lit("")), mark, " ")
+    parts = F.split(F.regexp_replace(text, f"(?U)({SENTENCE_END}|{CLAUSE_END})", f"{mark}$1{mark}"), mark, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("out"))
+    placed = F.aggregate(parts, start, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), p.alias("part"))).alias("out")), lambda acc: acc["out"])
+    fragments = F.filter(placed, lambda x, i: i % 2 == 0)
+
+    def claim(x: Column) -> Column:
+        tail = F.regexp_replace(x["part"], r"(?U)^\s+", "")
+        first = x["at"] + F.length(x["part"]) - F.length(tail)
+        body = F.regexp_replace(tail, r"(?U)\s+$", "")
+        return F.struct(first.alias("start"), (first + F.length(body)).alias("end"), body.alias("claim"))
+
+    bare = lambda c: F.btrim(F.regexp_replace(c["claim"], CITATION, ""), F.lit(CLAIM_EDGES))
+    said = lambda c: (F.length(bare(c)) >= MIN_CLAIM) & ~F.exists(F.array(*map(F.lit, REFUSALS)), lambda r: F.contains(F.lower(bare(c)), r))
+    rows = answers.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.filter(F.transform(fragments, claim), said)).alias("claim_index", "c"))
+    return rows.select("id", "claim_index", "c.start", "c.end", "c.claim")
 
 
 def claim_support(claim_rows: DataFrame, cells: DataFrame) -> DataFrame:
     """claim_rows: id, claim_index, claim, question; cells: id, cells. Adds signals, skipped (no signal), supporter (the first cell that holds all of them) and ok."""
-    known = numeric_strings(F.col("question"))
+    numbers = bound(numeric_strings(F.col("question")), lambda known: F.filter(numeric_strings(F.col("claim")), lambda n: ~F.array_contains(known, n)))
     marks = F.transform(name_runs(F.col("question")), lambda r: r["norm"])
-    numbers = F.filter(numeric_strings(F.col("claim")), lambda n: ~F.array_contains(known, n))
-    names = F.filter(F.transform(name_runs(F.col("claim")), lambda r: r["norm"]), lambda n: ~F.exists(marks, lambda m: F.contains(m, n) | F.contains(n, m)))
-    d = claim_rows.withColumn("signals", F.concat(F.transform(numbers, anchor_form), names)).join(cells, "id")
-    holds = lambda c: F.forall(F.col("signals"), lambda s: F.contains(anchor_form(F.coalesce(c["text"], F.lit(""))), s))
-    first = F.get(F.filter("cells", holds), F.lit(0))["cell_id"]
+    said = F.transform(name_runs(F.col("claim")), lambda r: r["norm"])
+    names = bound(marks, lambda known: F.filter(said, lambda n: ~F.exists(known, lambda m: F.contains(m, n) | F.contains(n, m))))
+    # forms of the cells' texts are made before the join, once for all claims about them
+    formed = cells.select("id", F.transform("cells", lambda c: F.struct(c["cell_id"].alias("cell_id"), anchor_form(F.coalesce(c["text"], F.lit(""))).alias("form"))).alias("_cells"))
+    d = claim_rows.withColumn("signals", F.concat(F.transform(numbers, anchor_form), names)).join(formed, "id")
+    first = F.get(F.filter("_cells", lambda c: F.forall(F.col("signals"), lambda s: F.contains(c["form"], s))), F.lit(0))["cell_id"]
     d = d.withColumn("skipped", F.size("signals") == 0).withColumn("supporter", F.when(~F.col("skipped"), first))
-    return d.withColumn("ok", F.col("skipped") | F.col("supporter").isNotNull()).drop("cells")
+    return d.withColumn("ok", F.col("skipped") | F.col("supporter").isNotNull()).drop("_cells")
 
 
 def two_pass(first: DataFrame, second: DataFrame) -> DataFrame:

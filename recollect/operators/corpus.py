@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import collapsed, fingerprint
+from recollect.session import stored
 
 
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -33,21 +34,36 @@ def shuffled_key(seed: int, key: Column) -> Column:
     return F.sha1(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def running_sums(rows: DataFrame, order: list[str], size: str, within: list[str] | None = None) -> DataFrame:
+    """`rows` with start, the sum of `size` over the rows before each, in the order of any columns; `within` begins anew for each of its values.
+
+    Rows are dealt by ranges of the order and stored; each range adds up by itself, and only one row per range meets in a
+    window. Equal keys may stand in any order among each other.
+    """
+    by = within or []
+    dealt = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, "ranges")
+    sums = dealt.groupBy(*by, "_range").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_in", F.coalesce(F.sum(size).over(inner), F.lit(0)))
+    return placed.join(F.broadcast(bases), [*by, "_range"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_range")
+
+
 def group_split(items: DataFrame, group: str, n_train: int, n_test: int, seed: int = 0) -> DataFrame:
     """A split without a group on both sides: groups in shuffled order fill train up to n_train rows, those after it test up to n_test.
 
-    Returns group, n (rows), part, taken (rows that count towards the part). One row per group is ordered in one window, not
-    the rows themselves.
+    Returns group, n (rows), part, taken (rows that count towards the part).
     """
     sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("key", shuffled_key(seed, F.col(group)))
-    w = Window.orderBy("key", group).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(w), F.lit(0))
-    s = sizes.withColumn("before", before).withColumn("train", F.col("before") < n_train)
-    w2 = Window.orderBy("key", group).rowsBetween(Window.unboundedPreceding, -1)
-    test_before = F.coalesce(F.sum(F.when(~F.col("train"), F.col("n")).otherwise(0)).over(w2), F.lit(0))
-    s = s.withColumn("test_before", test_before)
-    part = F.when(F.col("train"), "train").when(F.col("test_before") < n_test, "test")
-    taken = F.when(F.col("train"), F.least("n", F.lit(n_train) - F.col("before"))).otherwise(F.least("n", F.lit(n_test) - F.col("test_before")))
+    s = running_sums(sizes, ["key", group], "n")
+    # train is the first groups, so what stands before a test group is known once train's rows are
+    in_train = s.agg(F.coalesce(F.sum(F.when(F.col("start") < n_train, F.col("n"))), F.lit(0)).alias("train_rows"))
+    s = s.join(F.broadcast(in_train)).withColumn("test_before", F.col("start") - F.col("train_rows"))
+    train = F.col("start") < n_train
+    part = F.when(train, "train").when(F.col("test_before") < n_test, "test")
+    taken = F.when(train, F.least("n", F.lit(n_train) - F.col("start"))).otherwise(F.least("n", F.lit(n_test) - F.col("test_before")))
     return s.select(group, "n", part.alias("part"), taken.alias("taken")).where("part IS NOT NULL")
 
 

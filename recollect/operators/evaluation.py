@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.operators.corpus import running_sums
+
 Z95 = 1.959963984540054
 
 
@@ -22,33 +24,39 @@ def rule_of_three(events: Column, total: Column) -> Column:
     return F.when((events == 0) & (total > 0), F.least(F.lit(1.0), 3.0 / total))
 
 
-def percentile_nearest(values: Column, p: float) -> Column:
-    """Of a sorted array, the element at p * (n - 1), half to even; null of an empty one."""
-    return F.get(values, F.bround(F.lit(p) * (F.size(values) - 1), 0).cast("int"))
+def _ranked_values(samples: DataFrame, value: str, by: str) -> DataFrame:
+    """by, value, start (samples of the group below it), c (samples that equal it) and n (samples of the group). Ranks come from sums over ranges of the values, so no group is one task's work."""
+    counts = samples.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    placed = running_sums(counts, [value], "c", within=[by])
+    totals = counts.groupBy(by).agg(F.sum("c").alias("n"))
+    return placed.join(F.broadcast(totals), by)
+
+
+def _at_rank(rank: Column, value: str) -> Column:
+    """The value at a rank (from 0) among _ranked_values."""
+    return F.min(F.when((F.col("start") <= rank) & (rank < F.col("start") + F.col("c")), F.col(value)))
 
 
 def latency_linear(samples: DataFrame, value: str, by: str) -> DataFrame:
-    return samples.groupBy(by).agg(*[F.round(F.percentile(value, p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)], F.count(value).alias("n"))
+    """p50, p95 and p99, linear between neighbouring ranks, and n."""
+    ranked, points = _ranked_values(samples, value, by), {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+    wanted = lambda p: F.lit(p) * (F.col("n") - 1)
+    ends = [c for name, p in points.items() for c in (_at_rank(F.floor(wanted(p)), value).alias(f"{name}_a"), _at_rank(F.ceil(wanted(p)), value).alias(f"{name}_b"))]
+    found = ranked.groupBy(by).agg(*ends, F.max("n").alias("n"))
+    line = lambda name, p: F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * (wanted(p) - F.floor(wanted(p)))
+    return found.select(by, *[F.round(line(name, p), 6).alias(name) for name, p in points.items()], "n")
 
 
 def latency_nearest(samples: DataFrame, value: str, by: str) -> DataFrame:
-    """p50 and p95 by nearest rank. Ranks come from a count of equal values per group, so no group is gathered in one row."""
-    from pyspark.sql import Window
-
-    counts = samples.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.select(by, value, F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy(by)).alias("n"))
+    """p50 and p95 by nearest rank (half to even), and n."""
     at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0)
-    return placed.groupBy(by).agg(*[F.round(F.min(F.when(F.col("upto") > at(p), F.col(value))), 6).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95))], F.max("n").alias("n"))
+    return _ranked_values(samples, value, by).groupBy(by).agg(*[F.round(_at_rank(at(p), value), 6).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95))], F.max("n").alias("n"))
 
 
-def retrieval_eval(ranked: DataFrame, k: int = 5) -> DataFrame:
-    """ranked: query_id, query_label, rank, cell_id, label, with the query's own cell among them. recall@1, recall@k, MRR and purity@k over all queries."""
-    own = F.col("cell_id") == F.col("query_id")
-    per = ranked.groupBy("query_id").agg(
-        F.min(F.when(own, F.col("rank"))).alias("own_rank"),
-        F.avg(F.when(F.col("rank") <= k, (F.col("label") == F.col("query_label")).cast("double"))).alias("purity"),
-    )
+def retrieval_eval(ranked: DataFrame, own_ranks: DataFrame, k: int = 5) -> DataFrame:
+    """ranked: query_id, query_label, rank, label of the best k cells; own_ranks: query_id, own_rank among all cells (null: its cell isn't there). recall@1, recall@k, MRR and purity@k over all queries."""
+    purity = ranked.where(F.col("rank") <= k).groupBy("query_id").agg(F.avg((F.col("label") == F.col("query_label")).cast("double")).alias("purity"))
+    per = own_ranks.join(purity, "query_id", "left")
     hit = lambda n: F.avg(F.when(F.col("own_rank") <= n, 1.0).otherwise(0.0))
     return per.agg(F.count(F.lit(1)).alias("n_queries"), F.round(hit(1), 6).alias("recall_at_1"), F.round(hit(k), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1.0 / F.col("own_rank"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg("purity"), 6).alias("purity_at_k"))
 

@@ -62,23 +62,34 @@ def sweep(scores: DataFrame, n: int = 256) -> DataFrame:
 
     Scores are counted once into the grid's intervals and summed from above; no score meets a threshold row by row.
     """
-    bounds = scores.agg(F.min("score").alias("lo0"), F.max("score").alias("hi0"), F.sum(F.when(F.col("positive"), 1).otherwise(0)).alias("np"), F.sum(F.when(~F.col("positive"), 1).otherwise(0)).alias("nn"))
-    bounds = bounds.select((F.col("lo0") - 1e-9).alias("lo"), (F.when(F.col("hi0") <= F.col("lo0"), F.col("lo0") + 1e-6).otherwise(F.col("hi0")) + 1e-9).alias("hi"), "np", "nn")
+    bounds = scores.agg(F.min("score").alias("lo0"), F.max("score").alias("hi0"))
+    bounds = bounds.select((F.col("lo0") - 1e-9).alias("lo"), (F.when(F.col("hi0") <= F.col("lo0"), F.col("lo0") + 1e-6).otherwise(F.col("hi0")) + 1e-9).alias("hi"))
     t = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (n - 1)
     guess = F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (n - 1)).cast("int")
     # the number of thresholds that lie below the score; the guess may be one off
     below = F.when(t(guess + 1) < F.col("score"), guess + 2).when(t(guess) < F.col("score"), guess + 1).otherwise(guess)
-    placed = scores.join(F.broadcast(bounds)).select(below.alias("cell"), "positive")
-    counts = placed.groupBy("cell").agg(F.sum(F.when(F.col("positive"), 1).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), 1).otherwise(0)).alias("q"))
-    grid = threshold_grid(scores, n)
-    at = grid.join(counts, F.col("cell") > F.col("t_index"), "left").groupBy("t_index", "t").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("q"), F.lit(0)).alias("q"))
+    placed = scores.join(F.broadcast(bounds)).select(below.alias("place"), "positive")
+    counts = placed.groupBy("place", "positive").agg(F.count(F.lit(1)).alias("n"))
+    return sweep_of_counts(counts, threshold_grid(scores, n))
+
+
+def sweep_of_counts(counts: DataFrame, grid: DataFrame) -> DataFrame:
+    """counts: place (how many thresholds of the grid lie below), positive, n; grid: t_index, t. Per threshold: recall and false_fire."""
+    per = counts.groupBy("place").agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), F.col("n")).otherwise(0)).alias("q"))
+    totals = per.agg(F.sum("p").alias("np"), F.sum("q").alias("nn"))
+    at = grid.join(per, F.col("place") > F.col("t_index"), "left").groupBy("t_index", "t").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("q"), F.lit(0)).alias("q"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return at.join(F.broadcast(bounds)).select("t_index", "t", rate("p", "np").alias("recall"), rate("q", "nn").alias("false_fire"))
+    return at.join(F.broadcast(totals)).select("t_index", "t", rate("p", "np").alias("recall"), rate("q", "nn").alias("false_fire"))
 
 
 def best_threshold(scores: DataFrame, max_false_fire: float = 0.1, n: int = 256) -> DataFrame:
     """One row: of the thresholds within the cap, that of the greatest recall, then the least false_fire, then the smallest; without any, that of the greatest recall - false_fire."""
-    s = sweep(scores, n).withColumn("feasible", F.col("false_fire") <= max_false_fire)
+    return best_of_sweep(sweep(scores, n), max_false_fire)
+
+
+def best_of_sweep(swept: DataFrame, max_false_fire: float = 0.1) -> DataFrame:
+    """best_threshold of a sweep that is there already."""
+    s = swept.withColumn("feasible", F.col("false_fire") <= max_false_fire)
     r = lambda c: F.round(c, 9)
     order = [F.col("feasible").desc(), F.when(F.col("feasible"), r("recall")).otherwise(r(F.col("recall") - F.col("false_fire"))).desc(), F.when(F.col("feasible"), r("false_fire")).otherwise(0.0), "t_index"]
     return s.orderBy(*order).limit(1)
@@ -88,8 +99,13 @@ def theta_recommendation(foreign: DataFrame, positive: DataFrame, column: str =
     """One row: the midpoint of foreign p99 and positive p10 where these leave a clean band, else foreign p99."""
     f = foreign.agg(F.percentile(column, 0.99).alias("foreign_p99"))
     p = positive.agg(F.percentile(column, 0.10).alias("positive_p10"))
+    return recommended(f.join(F.broadcast(p)))
+
+
+def recommended(bars: DataFrame) -> DataFrame:
+    """bars: foreign_p99, positive_p10. Whether they leave a clean band, and theta."""
     clean = F.col("foreign_p99") < F.col("positive_p10")
-    return f.join(F.broadcast(p)).select("foreign_p99", "positive_p10", clean.alias("clean_band"), F.when(clean, (F.col("foreign_p99") + F.col("positive_p10")) / 2).otherwise(F.col("foreign_p99")).alias("theta"))
+    return bars.select("foreign_p99", "positive_p10", clean.alias("clean_band"), F.when(clean, (F.col("foreign_p99") + F.col("positive_p10")) / 2).otherwise(F.col("foreign_p99")).alias("theta"))
 
 
 def selectivity_bound(dim: int, background: Column, t: Column) -> Column:

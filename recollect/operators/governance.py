@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import collapsed
+from recollect.operators.corpus import global_offsets
 
 
 def add_cells(overlay: DataFrame, texts: DataFrame, anchor: int, base_max: int, theta: float = 0.30) -> DataFrame:
-    """The overlay with new rows (label, weight, source_text, order): ids go on above the anchor and the overlay's own. A base that has grown past the anchor is an error."""
+    """The overlay with new rows (label, weight, source_text, order): ids go on above the anchor and the overlay's own, in the order of the integer column. A base that has grown past the anchor is an error."""
     if base_max > anchor:
         raise ValueError(f"the base holds ids up to {base_max}, above the overlay's anchor {anchor}")
     last = overlay.agg(F.coalesce(F.max("cell_id"), F.lit(anchor))).first()[0]
-    w = Window.orderBy("order")
-    new = texts.withColumn("cell_id", F.lit(max(last, anchor)).cast("long") + F.row_number().over(w)).withColumn("theta", F.lit(theta))
+    numbered = global_offsets(texts.withColumn("_one", F.lit(1)), "order", "_one")
+    new = numbered.withColumn("cell_id", (F.lit(max(last, anchor) + 1) + F.col("start")).cast("long")).withColumn("theta", F.lit(theta))
     return overlay.unionByName(new.select(*overlay.columns), allowMissingColumns=False)
 
 
@@ -64,9 +65,13 @@ def calibration_fingerprint(fields: dict[str, Column]) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("null"))) for k, v in sorted(fields.items())]), 256)
 
 
-def ordered_hash(rows: DataFrame, id_col: str, size: Column, buckets: int = 64) -> DataFrame:
-    """One row, corpus_hash: SHA-256 over hashes of id ranges, each over its rows' (id, size) in order. Ranges are hashed apart, so no task sees all rows."""
-    b = F.floor(F.col(id_col) / 4096)
-    per = rows.groupBy(b.alias("b")).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), size.alias("n")))).alias("s"))
-    leaf = per.select("b", F.sha2(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["i"].cast("string"), x["n"].cast("string"))), ","), 256).alias("h"))
-    return leaf.agg(F.array_sort(F.collect_list(F.struct("b", "h"))).alias("s")).select(F.sha2(F.array_join(F.transform("s", lambda x: x["h"]), ","), 256).alias("corpus_hash"))
+def ordered_hash(rows: DataFrame, id_col: str, size: Column, width: int = 4096) -> DataFrame:
+    """One row, corpus_hash: SHA-256 over the hashes of ranges of `width` ids, of `width` such ranges, and so on; each over its rows' (id, size) in order. No task sees more than `width` rows of a range, however many there are."""
+    level = rows.select(F.col(id_col).alias("i"), F.concat_ws(":", F.col(id_col).cast("string"), size.cast("string")).alias("h"))
+    low, high = rows.agg(F.min(id_col), F.max(id_col)).first()
+    while True:
+        per = level.groupBy(F.floor(F.col("i") / width).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s"))
+        level = per.select(F.col("b").alias("i"), F.sha2(F.array_join(F.transform("s", lambda x: x["h"]), ","), 256).alias("h"))
+        if low is None or low // width == high // width:
+            return level.select(F.col("h").alias("corpus_hash"))
+        low, high = low // width, high // width

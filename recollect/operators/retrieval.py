@@ -14,42 +14,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.session import stored
+
 THETA = 0.22
 OVERLAY_THETA = 0.30
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def query_blocks(queries: DataFrame, extra: str | None = None, kind=np.int64, block: int = 2048) -> Iterator:
+    """Broadcasts of (ids, vectors as a matrix, the extra column) for `block` queries or so at a time. The query set is stored first, so that it is not made again for each block."""
+    spark = queries.sparkSession
+    fields = [F.col("query_id").cast("long"), "vector", *([F.col(extra)] if extra else [])]
+    chosen = stored(queries.select(*fields), "queries")
+    parts = max(1, -(-chosen.count() // block))
+    for part in range(parts):
+        rows = chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
+        ids = rows["query_id"].to_numpy(np.int64)
+        q = np.stack([np.asarray(v, np.float64) for v in rows["vector"]]) if len(rows) else np.zeros((0, 1))
+        more = rows[extra].fillna(-1).to_numpy(kind) if extra else None
+        yield spark.sparkContext.broadcast((ids, q, more))
+
+
 def scored(cells: DataFrame, queries: DataFrame, keep: int, by: str, fired_only: bool, block: int = 2048) -> DataFrame:
     """query_id, cell_id, act, theta, margin: for each query each task's best `keep` cells, by margin or act (to 9 decimals), then the smaller id.
 
     cells: cell_id, weight, theta; queries: query_id, vector. Queries are collected `block` at a time. Cells with a null weight are
     passed over.
     """
-    spark = cells.sparkSession
-    total = queries.count()
-    parts = max(1, -(-total // block))
     schema = "query_id long, cell_id long, act double, theta double, margin double"
     out = None
-    for part in range(parts):
-        chosen = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        rows = chosen.select("query_id", "vector").toPandas()
-        ids = rows["query_id"].to_numpy(np.int64)
-        q = np.stack([np.asarray(v, np.float64) for v in rows["vector"]]) if len(rows) else np.zeros((0, 1))
-        sent = spark.sparkContext.broadcast((ids, q))
+    for sent in query_blocks(queries, block=block):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+            ids, q, _ = sent.value
             held: list[tuple] | None = None
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
                 cell = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 theta = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-                act = q @ _matrix(batch.column(1)).T
+                act = q @ matrix(batch.column(1)).T
                 margin = act - theta
                 key = np.round(margin if by == "margin" else act, 9)
                 if fired_only:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import vector as V
+from recollect.operators import activation as N
 from recollect.operators import corpus, evaluation, gates, geometry, governance
 from recollect.operators import retrieval as R
 from recollect.session import table
@@ -119,44 +122,63 @@ def margin_vs_rest(spark, d):
     return _rounded(gates.margin_vs_rest(_ranked(spark, d, 10)), "margin_rest")
 
 
-@query(f"""WITH {RANKED.format(n=50)}, b AS (SELECT quantile_cont(act, 0.95) AS bar FROM r WHERE label <> query_label), p AS (
-SELECT 'fixed' AS policy, CASE WHEN act - 0.22 > 0 THEN 'fire' ELSE 'silent' END AS decision FROM r
-UNION ALL SELECT 'quantile', CASE WHEN act - bar > 0 THEN 'fire' ELSE 'silent' END FROM r, b
-UNION ALL SELECT 'band', CASE WHEN act >= 0.3 THEN 'fire' WHEN act <= 0.15 THEN 'silent' ELSE 'ambiguous' END FROM r
-UNION ALL SELECT 'two_stage', CASE WHEN act <= 0.15 THEN 'silent' WHEN act - 0.25 >= 0.02 THEN 'fire' ELSE 'ambiguous' END FROM r)
-SELECT policy, decision, count(*) AS n FROM p GROUP BY policy, decision""")
-def threshold_policies(spark, d):
-    r = _ranked(spark, d, 50)
-    bar = gates.quantile_bar(r.where("label <> query_label"), "act", 0.95)
-    a = F.col("act")
-    per = {"fixed": gates.fixed(a, F.lit(0.22)), "quantile": gates.fixed(a, F.col("bar")), "band": gates.band(a, 0.15, 0.3), "two_stage": gates.two_stage(a, 0.15, 0.25, 0.02)}
-    rows = r.join(F.broadcast(bar)).select(F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), v.alias("decision")) for k, v in per.items()])).alias("x"))
-    return rows.select("x.*").groupBy("policy", "decision").agg(F.count(F.lit(1)).alias("n"))
+def _bank(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = _vectors(spark, d)
+    return R.as_cells(e), R.as_queries(e)
 
 
-_SWEEP = RANKED.format(n=50) + """, x AS (SELECT act AS score, label = query_label AS positive FROM r WHERE cell_id <> query_id), b AS (SELECT min(score) - 1e-9 AS lo, max(score) + 1e-9 AS hi FROM x),
+@query(f"""WITH {PAIRS}, b AS (SELECT quantile_cont(act, 0.95) AS bar FROM s WHERE label <> query_label), p AS (
+SELECT 'fixed' AS policy, CASE WHEN act > 0.22 THEN 'fire' ELSE 'silent' END AS decision FROM s
+UNION ALL SELECT 'quantile', CASE WHEN act > bar + 1e-12 THEN 'fire' ELSE 'silent' END FROM s, b
+UNION ALL SELECT 'band', CASE WHEN act >= 0.3 THEN 'fire' WHEN act <= 0.15 THEN 'silent' ELSE 'ambiguous' END FROM s
+UNION ALL SELECT 'two_stage', CASE WHEN act <= 0.15 THEN 'silent' WHEN act >= 0.25 + 0.02 THEN 'fire' ELSE 'ambiguous' END FROM s)
+SELECT policy, decision, count(*)::BIGINT AS n FROM p GROUP BY policy, decision""")
+def threshold_policies(spark, d):
+    """How each policy decides over all pairs: pairs are counted between the policies' bounds, and a policy adds up intervals."""
+    cells, q = _bank(spark, d)
+    bar = N.quantile(cells, q, N.OTHER, 0.95)
+    bounds = sorted({0.15, 0.22, math.nextafter(0.25 + 0.02, 0), math.nextafter(0.3, 0), bar + 1e-12})
+    counted = N.counts_above(cells, q, bounds)
+    # a value within each interval stands for all in it
+    inner = [bounds[0] - 1, *[(a + b) / 2 for a, b in zip(bounds, bounds[1:])], bounds[-1] + 1]
+    a = F.element_at(F.array(*map(F.lit, inner)), (F.col("place") + 1).cast("int"))
+    per = {"fixed": gates.fixed(a, F.lit(0.22)), "quantile": gates.fixed(a, F.lit(bar + 1e-12)), "band": gates.band(a, 0.15, 0.3), "two_stage": gates.two_stage(a, 0.15, 0.25, 0.02)}
+    rows = counted.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), v.alias("decision")) for k, v in per.items()])).alias("x"))
+    return rows.groupBy("x.policy", "x.decision").agg(F.sum("n").alias("n"))
+
+
+_SWEEP = PAIRS + """, x AS (SELECT act AS score, label = query_label AS positive FROM s WHERE cell_id <> query_id), b AS (SELECT min(score) - 1e-9 AS lo, max(score) + 1e-9 AS hi FROM x),
 g AS (SELECT i AS t_index, lo + (hi - lo) * i / 255 AS t FROM b, (SELECT unnest(range(256)) AS i)),
 w AS (SELECT t_index, t, avg((score > t)::INT) FILTER (positive) AS recall, avg((score > t)::INT) FILTER (NOT positive) AS false_fire FROM g, x GROUP BY ALL)"""
 
 
+def _swept(spark, d) -> DataFrame:
+    """The sweep of 256 thresholds over all pairs but those of a query with its own cell."""
+    cells, q = _bank(spark, d)
+    lo, hi = N.summary(cells, q).where(F.col("kind") != N.SELF).agg(F.min("lo"), F.max("hi")).first()
+    edges = [lo - 1e-9 + (hi - lo + 2e-9) * i / 255 for i in range(256)]
+    counts = N.counts_above(cells, q, edges).where(F.col("kind") != N.SELF).select("place", (F.col("kind") == N.SAME).alias("positive"), "n")
+    return gates.sweep_of_counts(counts, spark.createDataFrame(list(enumerate(edges)), "t_index int, t double"))
+
+
 @query(f"""WITH {_SWEEP} SELECT t_index::INT AS t_index, round(t, 6) AS t, round(recall, 6) AS recall, round(false_fire, 6) AS false_fire FROM w""")
 def threshold_sweep(spark, d):
-    x = _ranked(spark, d, 50).where("cell_id <> query_id").select(F.col("act").alias("score"), (F.col("label") == F.col("query_label")).alias("positive"))
-    return _rounded(gates.sweep(x), "t", "recall", "false_fire")
+    return _rounded(_swept(spark, d), "t", "recall", "false_fire")
 
 
 @query(f"""WITH {_SWEEP} SELECT round(t, 6) AS t, round(recall, 6) AS recall, round(false_fire, 6) AS false_fire, false_fire <= 0.1 AS feasible FROM w
 ORDER BY (false_fire <= 0.1) DESC, CASE WHEN false_fire <= 0.1 THEN round(recall, 9) ELSE round(recall - false_fire, 9) END DESC, CASE WHEN false_fire <= 0.1 THEN round(false_fire, 9) ELSE 0 END, t_index LIMIT 1""")
 def best_threshold(spark, d):
-    x = _ranked(spark, d, 50).where("cell_id <> query_id").select(F.col("act").alias("score"), (F.col("label") == F.col("query_label")).alias("positive"))
-    return _rounded(gates.best_threshold(x), "t", "recall", "false_fire").select("t", "recall", "false_fire", "feasible")
+    return _rounded(gates.best_of_sweep(_swept(spark, d)), "t", "recall", "false_fire").select("t", "recall", "false_fire", "feasible")
 
 
-@query(f"""WITH {RANKED.format(n=50)}, p AS (SELECT quantile_cont(act, 0.99) FILTER (label <> query_label) AS f, quantile_cont(act, 0.10) FILTER (label = query_label AND cell_id <> query_id) AS p FROM r)
+@query(f"""WITH {PAIRS}, p AS (SELECT quantile_cont(act, 0.99) FILTER (label <> query_label) AS f, quantile_cont(act, 0.10) FILTER (label = query_label AND cell_id <> query_id) AS p FROM s)
 SELECT round(f, 6) AS foreign_p99, round(p, 6) AS positive_p10, f < p AS clean_band, round(CASE WHEN f < p THEN (f + p) / 2 ELSE f END, 6) AS theta FROM p""")
 def theta_recommendation(spark, d):
-    r = _ranked(spark, d, 50)
-    return _rounded(gates.theta_recommendation(r.where("label <> query_label"), r.where("label = query_label AND cell_id <> query_id")), "foreign_p99", "positive_p10", "theta")
+    cells, q = _bank(spark, d)
+    f, p = N.quantile(cells, q, N.OTHER, 0.99), N.quantile(cells, q, N.SAME, 0.10)
+    bars = spark.createDataFrame([(f, p)], "foreign_p99 double, positive_p10 double")
+    return _rounded(gates.recommended(bars), "foreign_p99", "positive_p10", "theta")
 
 
 @query(f"""WITH {PAIRS} SELECT query_id, cell_id, round(act, 6) AS act, label = query_label AS same_label FROM s WHERE cell_id <> query_id AND act > 0.22
@@ -169,20 +191,21 @@ def confusion_pairs(spark, d):
     return r.select("query_id", "cell_id", F.round("act", 6).alias("act"), (F.col("label") == F.col("query_label")).alias("same_label"))
 
 
-@query(f"""WITH {RANKED.format(n=50)}, x AS (SELECT act, label = query_label AS same FROM r WHERE cell_id <> query_id)
+@query(f"""WITH {PAIRS}, x AS (SELECT act, label = query_label AS same FROM s WHERE cell_id <> query_id)
 SELECT round(avg(act) FILTER (same), 6) AS mean_same, round(avg(act) FILTER (NOT same), 6) AS mean_other, round((avg(act) FILTER (same) - avg(act) FILTER (NOT same)) / sqrt((var_pop(act) FILTER (same) + var_pop(act) FILTER (NOT same)) / 2), 4) AS cohens_d,
 round(quantile_cont(act, 0.95) FILTER (NOT same), 6) AS other_p95 FROM x""")
 def confusion_effect_size(spark, d):
-    r = _ranked(spark, d, 50).where("cell_id <> query_id")
-    a, b = F.when(F.col("label") == F.col("query_label"), F.col("act")), F.when(F.col("label") != F.col("query_label"), F.col("act"))
-    return r.agg(F.round(F.avg(a), 6).alias("mean_same"), F.round(F.avg(b), 6).alias("mean_other"), F.round(evaluation.cohens_d(a, b), 4).alias("cohens_d"), F.round(F.percentile(b, 0.95), 6).alias("other_p95"))
+    cells, q = _bank(spark, d)
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    m = N.summary(cells, q).agg(of(N.SAME, "mean").alias("a"), of(N.OTHER, "mean").alias("b"), of(N.SAME, "variance").alias("va"), of(N.OTHER, "variance").alias("vb"))
+    effect = (F.col("a") - F.col("b")) / F.sqrt((F.col("va") + F.col("vb")) / 2)
+    return m.select(F.round("a", 6).alias("mean_same"), F.round("b", 6).alias("mean_other"), F.round(effect, 4).alias("cohens_d"), F.lit(round(N.quantile(cells, q, N.OTHER, 0.95), 6)).alias("other_p95"))
 
 
 @query(f"""WITH {PAIRS} SELECT query_id AS cell_id, round(max(act) FILTER (cell_id = query_id), 6) AS own, round(max(act) FILTER (cell_id <> query_id), 6) AS best_other, max(act) FILTER (cell_id <> query_id) <= 0.95 AS separated FROM s GROUP BY query_id""")
 def separation_report(spark, d):
-    r = _ranked(spark, d, 2)
-    own, other = F.max(F.when(F.col("cell_id") == F.col("query_id"), F.col("act"))), F.max(F.when(F.col("cell_id") != F.col("query_id"), F.col("act")))
-    return r.groupBy("query_id").agg(F.round(own, 6).alias("own"), F.round(other, 6).alias("best_other"), (other <= 0.95).alias("separated")).withColumnRenamed("query_id", "cell_id")
+    r = N.separation(*_bank(spark, d))
+    return r.select(F.col("query_id").alias("cell_id"), F.round("own", 6).alias("own"), F.round("best_other", 6).alias("best_other"), (F.col("best_other") <= 0.95).alias("separated"))
 
 
 @query(f"""WITH {PAIRS}, p AS (SELECT query_id, count(*) FILTER (act > 0.5) AS fires, max(act) AS best FROM s WHERE cell_id % 100 <> 0 GROUP BY query_id), a AS (SELECT avg((fires = 0)::INT) AS silence, avg(fires) AS mean_fires, max(fires) AS max_fires, avg(best - 0.5) AS margin_mean, quantile_cont(best - 0.5, 0.5) AS margin_median FROM p)
@@ -191,25 +214,16 @@ def rejection_report(spark, d):
     """Held-out vectors (the query set) against the bank of all others at a threshold of 0.5."""
     e = _vectors(spark, d)
     cells, q = R.as_cells(e.where("vec_id % 100 <> 0"), 0.5), R.as_queries(e)
-    best = R.topk(cells, q, 1, by="act", include_silent=True).select("query_id", "act")
-    # firing cells are counted by block, not listed
-    n = fire_counts(cells, q)
-    p = best.join(n, "query_id", "left").select(F.coalesce("fires", F.lit(0)).alias("fires"), (F.col("act") - 0.5).alias("margin"))
+    p = N.fire_counts(cells, q, 0.5).select("fires", (F.col("best") - 0.5).alias("margin"))
     a = p.agg(F.avg((F.col("fires") == 0).cast("int")).alias("silence"), F.avg("fires").alias("mean_fires"), F.max("fires").alias("max_fires"), F.avg("margin").alias("m"), F.percentile("margin", 0.5).alias("h"))
     return a.select(F.round("silence", 6).alias("silence_rate"), F.round("mean_fires", 6).alias("mean_fires"), "max_fires", F.round("m", 6).alias("margin_mean"), F.round("h", 6).alias("margin_median"), gates.rejection_verdict(F.col("silence")).alias("verdict"))
 
 
-def fire_counts(cells: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, fires: how many cells fire for each query; a cell's row becomes the ids of its queries only where it fires."""
-    q = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("qs")))
-    fired = cells.join(q).select(F.explode(F.expr("filter(qs, x -> aggregate(zip_with(x.vector, weight, (a, b) -> double(a) * double(b)), 0D, (s, v) -> s + v) > theta)")).alias("x"))
-    return fired.groupBy("x.query_id").agg(F.count(F.lit(1)).alias("fires"))
-
-
-@query(f"""WITH {RANKED.format(n=10)}, p AS (SELECT query_id, min(rank) FILTER (cell_id = query_id) AS own, avg((label = query_label)::INT) FILTER (rank <= 5) AS purity FROM r GROUP BY query_id)
+@query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(act, 9) DESC, cell_id) AS rank FROM s),
+p AS (SELECT query_id, min(rank) FILTER (cell_id = query_id) AS own, avg((label = query_label)::INT) FILTER (rank <= 5) AS purity FROM r GROUP BY query_id)
 SELECT count(*) AS n_queries, round(avg((own IS NOT NULL AND own <= 1)::INT), 6) AS recall_at_1, round(avg((own IS NOT NULL AND own <= 5)::INT), 6) AS recall_at_k, round(avg(coalesce(1.0 / own, 0)), 6)::DOUBLE AS mrr, round(avg(purity), 6) AS purity_at_k FROM p""")
 def retrieval_eval(spark, d):
-    return evaluation.retrieval_eval(_ranked(spark, d, 10))
+    return evaluation.retrieval_eval(_ranked(spark, d, 5), N.own_ranks(*_bank(spark, d)))
 
 
 @query(f"""WITH {RANKED.format(n=5)} SELECT query_id, rank::INT AS rank, cell_id, round(act, 6) AS act, CASE WHEN act - 0.22 > 0 THEN 'above_threshold' ELSE 'below_threshold' END AS status FROM r""")
@@ -250,35 +264,96 @@ def participation_ratio(spark, d):
     return spark.createDataFrame([(round(geometry.participation_ratio(cov), 4),)], "participation_ratio double")
 
 
-@query()
-def whiten_zca(spark, d):
-    e = _vectors(spark, d)
-    return geometry.fit_whitening(e).apply(e).select("vec_id", "whitened")
+#: Mean and covariance as lists of numbers: cov is a list of rows.
+_MOMENTS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(x) AS v FROM e), mn AS (SELECT i, avg(v) AS m FROM u GROUP BY i), cx AS (SELECT vec_id, i, v - m AS v FROM u JOIN mn USING (i)),
+cv AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS c FROM cx a JOIN cx b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+co AS (SELECT list(r ORDER BY i) AS cov, sum(tr) AS trace FROM (SELECT i, list(c ORDER BY j) AS r, sum(c) FILTER (i = j) AS tr FROM cv GROUP BY i)), xs AS (SELECT vec_id, list(v ORDER BY i) AS x FROM cx GROUP BY vec_id)"""
+_PRODUCT = "list_transform({a}, lambda r: list_transform({b}, lambda c: list_inner_product(r, c)))"  # of symmetric matrices
+#: The inverse square root of a symmetric matrix `a`: y goes to its root and z to the inverse, as (3 - z y) / 2 goes to 1.
+_ROOT = f"""one AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS i),
+ns AS (
+  SELECT 0 AS n, list_transform(a, lambda r: list_transform(r, lambda v: v / scale)) AS y, one.i AS z FROM mx, one
+  UNION ALL
+  SELECT n + 1, {_PRODUCT.format(a="y", b="t")}, {_PRODUCT.format(a="t", b="z")}
+  FROM (SELECT n, y, z, list_transform(list_zip(one.i, {_PRODUCT.format(a="z", b="y")}), lambda p: list_transform(list_zip(p[1], p[2]), lambda v: (3 * v[1] - v[2]) / 2)) AS t FROM ns, one WHERE n < 40)),
+rt AS (SELECT list_transform(z, lambda r: list_transform(r, lambda v: v / sqrt(scale))) AS matrix FROM ns, mx WHERE n = 40),
+wh AS (SELECT vec_id, list_transform(matrix, lambda r: list_inner_product(r, x)) AS w FROM xs, rt)"""
 
 
-@query()
+def _whitened(matrix: str, headroom: float, out: str = "list_transform(w, lambda v: round(v / (longest + 1e-8), 4) + 0.0) AS whitened") -> str:
+    return f"WITH RECURSIVE {_MOMENTS}, {matrix}, lo AS (SELECT {headroom} * max(sqrt(list_inner_product(w, w))) AS longest FROM wh) SELECT vec_id, {out} FROM wh, lo"
+
+
+def _rounded_vectors(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.transform("whitened", lambda v: F.round(v, 4) + 0.0).alias("whitened"))
+
+
+_SHRUNK = "list_transform(cov, lambda r, i: list_transform(r, lambda v, j: 0.8 * v + CASE WHEN i = j THEN 0.2 * trace / 64 ELSE 0 END))"
+
+
+@query(_whitened(f"mx AS (SELECT cov AS a, trace AS scale FROM co), {_ROOT}", 1.5))
+def whiten_zca(spark, d):
+    e = _vectors(spark, d)
+    return _rounded_vectors(geometry.fit_whitening(e).apply(e))
+
+
+@query(
+    _whitened(
+        f"""pw AS (
+  SELECT 0 AS n, list_transform(cov, lambda r: list_transform(r, lambda v: v / trace)) AS p FROM co
+  UNION ALL
+  SELECT n + 1, list_transform(q, lambda r: list_transform(r, lambda v: v / list_sum(list_transform(q, lambda s, i: s[i])))) FROM (SELECT n, {_PRODUCT.format(a="p", b="p")} AS q FROM pw WHERE n < 24)),
+wh AS (SELECT vec_id, list_transform(list_zip(x, list_transform(p, lambda r: list_inner_product(r, x))), lambda v: v[1] - v[2]) AS w FROM xs, pw WHERE n = 24)""",
+        1.5,
+    )
+)
 def whiten_abtt(spark, d):
+    """The direction of the greatest variance goes; the SQL finds its projector by squaring the covariance over and over."""
     e = _vectors(spark, d)
-    return geometry.fit_whitening(e, method="abtt").apply(e).select("vec_id", "whitened")
+    return _rounded_vectors(geometry.fit_whitening(e, method="abtt").apply(e))
 
 
-@query()
+@query(_whitened(f"mx AS (SELECT cov AS a, trace AS scale FROM co), {_ROOT}", 1.0, "round(sqrt(list_inner_product(w, w)) / (longest + 1e-8), 5) AS norm"))
 def whiten_pca(spark, d):
+    """Norms after PCA whitening: axes have no sign of their own, and a turn of the axes leaves norms as they are."""
     e = _vectors(spark, d)
-    return geometry.fit_whitening(e, method="pca", headroom=1.0).apply(e).select("vec_id", "whitened")
+    white = geometry.fit_whitening(e, method="pca", headroom=1.0).apply(e)
+    return white.select("vec_id", F.round(V.norm(F.col("whitened")), 5).alias("norm"))
 
 
-@query()
+@query(_whitened(f"mx AS (SELECT {_SHRUNK} AS a, trace AS scale FROM co), {_ROOT}", 1.0))
 def whiten_shrinkage(spark, d):
     e = _vectors(spark, d)
-    return geometry.fit_whitening(e, method="shrinkage", headroom=1.0).apply(e).select("vec_id", "whitened")
+    return _rounded_vectors(geometry.fit_whitening(e, method="shrinkage", headroom=1.0).apply(e))
+
+
+@query("""WITH RECURSIVE x AS (SELECT vec_id // 4 AS group_id, vec_id, list_transform(embedding::DOUBLE[], lambda v: v / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS x FROM embeddings),
+g AS (SELECT group_id, arg_min(x, vec_id) AS first, count(*) AS m FROM x GROUP BY group_id),
+s AS (SELECT group_id, list(v ORDER BY i) AS total FROM (SELECT group_id, i, sum(v) AS v FROM (SELECT group_id, unnest(range(1, 65)) AS i, unnest(x) AS v FROM x) GROUP BY ALL) GROUP BY group_id),
+k AS (SELECT g.group_id, m, first, total, list_inner_product(first, total) AS ft, list_inner_product(total, total) AS tt FROM g JOIN s USING (group_id)),
+o AS (
+  SELECT group_id, 0 AS n, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM k
+  UNION ALL
+  SELECT group_id, n + 1, a - c * y * a, b + c - c * y * b
+  FROM (SELECT o.*, y, 0.05 * greatest(y - 0.3, 0) * y AS c FROM (SELECT o.*, a * ft + b * tt AS y FROM o JOIN k USING (group_id) WHERE n < 300) o)),
+w AS (SELECT k.group_id, m, list_transform(list_zip(first, total), lambda v: a * v[1] + b * v[2]) AS weight FROM o JOIN k USING (group_id) WHERE n = 300),
+p AS (SELECT w.group_id, min(list_inner_product(weight, x)) AS least FROM w JOIN x USING (group_id) GROUP BY w.group_id)
+SELECT group_id, m, round(greatest(least - 0.02, 0), 6) AS theta, round(least, 6) AS min_projection, list_transform(weight, lambda v: round(v, 4) + 0.0) AS weight FROM w JOIN p USING (group_id)""")
+def oja_bind_quads(spark, d):
+    """Groups of four vectors by id bound into one cell each; the steps settle."""
+    return _bound_groups(spark, d, 4)
 
 
 @query()
 def oja_bind(spark, d):
-    """Groups of eight vectors by id bound into one cell each."""
-    e = _vectors(spark, d).select(F.expr("vec_id div 8").alias("group_id"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return geometry.bind(e).select("group_id", "m", "theta", "min_projection", "weight")
+    """Groups of eight: the sum of their vectors is so long that Euler steps of 0.05 don't settle but go on swinging, so that the last digits of a sum decide the outcome and SQL can't tell it."""
+    return _bound_groups(spark, d, 8)
+
+
+def _bound_groups(spark, d, m: int) -> DataFrame:
+    e = _vectors(spark, d).select(F.expr(f"vec_id div {m}").alias("group_id"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return _rounded(geometry.bind(e), "theta", "min_projection").select("group_id", "m", "theta", "min_projection", F.transform("weight", lambda v: F.round(v, 4) + 0.0).alias("weight"))
 
 
 @query("""WITH t AS (SELECT vec_id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT vec_id AS cell_id, round(n, 6) AS norm, round(n - 0.05, 6) AS theta_norm, round(1 - 0.05 / 0.9, 6) AS cosine_bar FROM t""")
@@ -303,11 +378,10 @@ def strided_sample(spark, d):
     return corpus.strided(_vectors(spark, d).select("vec_id"), "vec_id", 9)
 
 
-@query(f"""WITH {RANKED.format(n=50)}, f AS (SELECT unnest([10, 25, 50, 75, 100]) AS percent) SELECT percent, query_id, round(max(act), 6) AS best FROM f, r WHERE cell_id % 100 < percent AND rank <= 50 GROUP BY ALL""")
+@query(f"""WITH {PAIRS}, f AS (SELECT unnest([10, 25, 50, 75, 100]) AS percent) SELECT percent, query_id, round(max(act), 6) AS best FROM f, s WHERE cell_id % 100 < percent GROUP BY ALL""")
 def bank_scaling(spark, d):
-    """The best of each query's 50 nearest within growing shares of the bank."""
-    r = _ranked(spark, d, 50).select("query_id", "cell_id", "act", F.explode(F.array(*map(F.lit, (10, 25, 50, 75, 100)))).alias("percent"))
-    return r.where("cell_id % 100 < percent").groupBy("percent", "query_id").agg(F.round(F.max("act"), 6).alias("best"))
+    """Each query's best cell within growing shares of the bank."""
+    return _rounded(N.best_within(*_bank(spark, d), [10, 25, 50, 75, 100]), "best").withColumn("percent", F.col("percent").cast("int"))
 
 
 @query("""SELECT sum(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS base_cells, sum(CASE WHEN vec_id % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS overlay_cells, coalesce(max(CASE WHEN vec_id % 2 = 0 THEN vec_id END), -1) AS base_max FROM embeddings""")

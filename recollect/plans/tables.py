@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.operators import corpus, evaluation, governance
-from recollect.operators import intents as I
 from recollect.session import table
 from recollect.streaming import limits
 
@@ -60,7 +59,13 @@ def rate_limit_sliding(spark, d):
     return limits.hits_in_window(table(spark, d, "events")).select("event_id", "hits")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (
+  SELECT user_id, event_id, n, true AS allowed, [t] AS kept FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, len(still) < 3, CASE WHEN len(still) < 3 THEN list_append(still, t) ELSE still END
+  FROM (SELECT e.*, list_filter(w.kept, lambda x: x >= e.t - 86400) AS still FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT event_id, allowed FROM w""")
 def rate_limit_allowed(spark, d):
     return limits.limited(table(spark, d, "events"), 3, 86_400.0).select("event_id", "allowed")
 
@@ -84,11 +89,6 @@ def newest_history(spark, d):
     return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 20").select("user_id", "event_id")
 
 
-@query(I.INTENT_SQL)
-def intent_router(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", I.intent(F.col("text")).alias("intent"))
-
-
 @query("""SELECT 3 AS top_layer, round(0.55 / 0.75, 6) AS top_share, true AS dominates""")
 def layer_attribution(spark, d):
     losses = spark.createDataFrame([(1, 4.30), (2, 4.35), (3, 4.80)], "layer int, suppressed_loss double")

@@ -216,67 +216,6 @@ def detector_ablation(spark, d):
     return factcheck.ablation(_pairs(spark, d))
 
 
-# Answers: the assistant's turns, checked against the conversation's user turns as cells; the question is the turn before.
-def _answers(spark, d):
-    c = table(spark, d, "conversations")
-    cells = c.where("turn % 2 = 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("cell_id"), "text"))).alias("cells"))
-    q = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
-    return c.where("turn % 2 = 1").withColumnRenamed("text", "answer").join(q, ["conv_id", "turn"]).join(cells, "conv_id").select("conv_id", "turn", "question", "answer", "cells")
-
-
-_ANSWERS = """ce AS (SELECT conv_id, lower(string_agg(text, ' ' ORDER BY turn)) AS blob FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id), an AS (SELECT a.conv_id, a.turn, b.text AS question, a.text AS answer, blob FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 JOIN ce ON ce.conv_id = a.conv_id WHERE a.turn % 2 = 1)"""
-_NUMERICS = "list_distinct(list_concat(regexp_extract_all(coalesce({c}, ''), '[0-9]+(?:[.,][0-9]+)?'), list_filter(" + TOKENS + ", lambda t: list_contains(" + _list(X.MONTHS + X.SHORT_MONTHS) + ", t))))"
-
-
-@query(f"""WITH {_ANSWERS}, t AS (SELECT conv_id, turn, list_filter({_content('answer')}, lambda z: NOT list_contains({_content('question')}, z)) AS t, {_tok('blob')} AS b FROM an) SELECT conv_id, turn, len(t)::INT AS total, len(list_filter(t, lambda z: list_contains(b, z)))::INT AS covered FROM t""")
-def token_coverage(spark, d):
-    covered, total = A.coverage(F.col("answer"), F.col("question"), A.cell_blob(F.col("cells")))
-    return _answers(spark, d).select("conv_id", "turn", total.alias("total"), covered.alias("covered"))
-
-
-@query(f"""WITH {_ANSWERS} SELECT conv_id, turn, len(list_filter({_NUMERICS.format(c='answer')}, lambda z: NOT list_contains({_NUMERICS.format(c='question')}, z) AND NOT contains(blob, lower(z))))::INT AS n_uncited FROM an""")
-def uncited_numerics(spark, d):
-    return _answers(spark, d).select("conv_id", "turn", F.size(A.uncited_numbers(F.col("answer"), F.col("question"), A.cell_blob(F.col("cells")))).alias("n_uncited"))
-
-
-@query(f"""WITH t AS (SELECT item_id, {_tok('text')} AS t FROM benchmark) SELECT item_id, len(t) > 0 AND len(list_filter(t, lambda z: regexp_matches(z, '^[a-z]{{3,}}$') AND regexp_matches(z, '[aeiouy]'))) > 0 AND (len(t) < 3 OR list_max(list_transform(list_distinct(t), lambda z: len(list_filter(t, lambda y: y = z)))) * 2 <= len(t)) AS ok FROM t""")
-def query_coherence(spark, d):
-    return table(spark, d, "benchmark").select("item_id", A.coherent(F.col("text")).alias("ok"))
-
-
-@query(f"""WITH {_ANSWERS} SELECT conv_id, turn, len(list_distinct({_content('question')})) < 2 OR len(list_filter({_content('question')}, lambda z: contains(blob, z))) > 0 AS ok FROM an""")
-def evidence_overlap(spark, d):
-    return _answers(spark, d).select("conv_id", "turn", A.overlapping(F.col("question"), A.cell_blob(F.col("cells"))).alias("ok"))
-
-
-@query()
-def anchor_colocation(spark, d):
-    return _answers(spark, d).select("conv_id", "turn", F.size(A.anchors(F.col("question"))).alias("n_anchors"), F.array_join(A.unanchored(F.col("answer"), F.col("question"), F.col("cells")), "|").alias("unanchored"))
-
-
-@query()
-def answer_verification(spark, d):
-    return A.verified(_answers(spark, d)).select("conv_id", "turn", "covered", "total", F.size("uncited").alias("n_uncited"), F.size("unanchored").alias("n_unanchored"), "grounded", "reason")
-
-
-@query()
-def claim_decomposition(spark, d):
-    return A.claims(table(spark, d, "benchmark"), "item_id", "text")
-
-
-@query()
-def claim_support(spark, d):
-    a = _answers(spark, d).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    rows = A.claims(a, "id").join(a.select("id", "question"), "id")
-    return A.claim_support(rows, a.select("id", "cells")).select("id", "claim_index", "skipped", "supporter", "ok")
-
-
-@query()
-def rescue_decision(spark, d):
-    a = _answers(spark, d).withColumn("cells", F.transform("cells", lambda c, i: F.struct(c["cell_id"], c["text"], (F.lit(0.6) - i * 0.1).alias("act"))))
-    return A.rescue(a).select("conv_id", "turn", "outcome", "support_rank")
-
-
 @query("""SELECT event_id AS query_id, CASE WHEN value < 10 AND NOT (value * 2 < 15) THEN 'answer' WHEN value < 10 THEN 'silence' ELSE 'answer' END AS outcome, value < 10 AND NOT (value * 2 < 15) AS from_second FROM events""")
 def two_pass_fallback(spark, d):
     """Where the first pass is silent, the second, of a wider reach, is asked."""
@@ -307,7 +246,20 @@ def paragraph_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(p).alias("n_paragraphs"), F.md5(F.array_join(p, "|")).alias("paragraphs_md5"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '') AS paras FROM documents),
+f AS (
+  SELECT doc_id, paras, 0 AS i, '' AS open, []::VARCHAR[] AS closed FROM d
+  UNION ALL
+  SELECT doc_id, paras, i + 1,
+    CASE WHEN length(p) > 700 THEN '' WHEN open = '' THEN p WHEN length(open) + 2 + length(p) <= 700 THEN open || chr(10) || chr(10) || p ELSE p END,
+    list_concat(CASE WHEN open = '' OR (length(p) <= 700 AND length(open) + 2 + length(p) <= 700) THEN [] ELSE [open] END,
+      CASE WHEN length(p) > 700 THEN list_filter(list_transform(range(0, greatest(ceil((length(p) - 700) / 620), 0)::BIGINT + 1), lambda k: trim(substring(p, k * 620 + 1, 700))), lambda c: c <> '') ELSE [] END)
+  FROM (SELECT *, paras[i + 1] AS p FROM f WHERE i < len(paras))),
+c AS (
+  SELECT doc_id, i, unnest(closed) AS text, unnest(range(len(closed))) AS k FROM f
+  UNION ALL SELECT doc_id, i, open, 1000000 FROM f WHERE i = len(paras) AND open <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k))::INT AS chunk, length(text)::INT AS chars, length(text) >= 40 AS accepted, md5(text) AS text_md5 FROM c""")
 def greedy_chunks(spark, d):
     return corpus.greedy_chunks(table(spark, d, "documents"), separator=r"\n").select("doc_id", "chunk", F.length("text").alias("chars"), "accepted", F.md5("text").alias("text_md5"))
 

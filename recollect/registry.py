@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recollect.plans import dense, tables, texts
+from recollect.plans import answers, changes, dense, tables, texts
 
-QUERIES: dict = dense.QUERIES | texts.QUERIES | tables.QUERIES
-ORACLES: dict[str, str] = dense.ORACLES | texts.ORACLES | tables.ORACLES
+QUERIES: dict = dense.QUERIES | answers.QUERIES | texts.QUERIES | changes.QUERIES | tables.QUERIES
+ORACLES: dict[str, str] = dense.ORACLES | answers.ORACLES | texts.ORACLES | changes.ORACLES | tables.ORACLES

@@ -42,6 +42,13 @@ def latest(history: DataFrame, ts: str, n: int = 200) -> DataFrame:
     return history.orderBy(F.col(ts).desc()).limit(n)
 
 
+def last_lines(spark: SparkSession, path: str, schema: str, n: int = 200) -> DataFrame:
+    """The last n good records of a JSON lines file in the order of its lines; broken lines are dropped before the cut."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    parsed = lines.select("at", F.from_json("value", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r")).where("r IS NOT NULL AND r._broken IS NULL")
+    return parsed.orderBy(F.col("at").desc()).limit(n).orderBy("at").select("r.*").drop("_broken")
+
+
 def text_folder(spark: SparkSession, folder: str, min_chars: int, max_chars: int) -> DataFrame:
     """path, pos, text: paragraphs of the folder's .md and .txt files within the length band (both ends count), without code fences, the first of equal ones."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -67,37 +74,59 @@ def from_base64(payload: Column) -> Column:
     return F.decode(F.try_to_binary(payload, F.lit("base64")), "utf-8")
 
 
-def pdf_text(data: bytes, most: int = 20_000_000) -> str:
-    """The text of a PDF's content streams, as far as they are plain or deflated; inflating stops at `most` bytes."""
+_PDF_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|(-?[0-9.]+)|(T\*|Td|TD|Tm|')", re.S)
+_PDF_ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
+# What a character after a backslash stands for in a PDF string.
+_PDF_CHARACTERS = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_line(block: bytes) -> str:
+    """The strings of a text block: literal and hexadecimal ones; a wide gap or a move to another line is a space."""
+    unescaped = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_CHARACTERS.get(m[1], m[1])
+    parts: list[bytes] = []
+    for literal, digits, gap, move in _PDF_STRING.findall(block):
+        if digits:
+            code = bytes.fromhex((h := re.sub(rb"\s", b"", digits).decode()) + "0" * (len(h) % 2))
+            parts.append(code.decode("utf-16-be", "ignore").encode("latin-1", "ignore") if len(code) > 1 and not any(code[::2]) else code)
+        elif literal:
+            parts.append(_PDF_ESCAPE.sub(unescaped, literal))
+        elif parts and not parts[-1].endswith(b" ") and (move or float(gap.strip(b".") or 0) < -180):
+            parts.append(b" ")
+    return b"".join(parts).decode("latin-1").rstrip(" ")
+
+
+def pdf_content(data: bytes, most: int = 20_000_000) -> tuple[str, str | None]:
+    """The text of a PDF's content streams, plain or deflated, and a warning (None: all was read). Each stream is inflated up to `most` bytes; a longer one is cut there, and the warning says so."""
     out: list[str] = []
-    left = most
+    cut = 0
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
         body = m[1]
         try:
-            body = zlib.decompressobj().decompress(body, left)
+            inflater = zlib.decompressobj()
+            body = inflater.decompress(body, most)
+            cut += bool(inflater.unconsumed_tail)
         except zlib.error:
             pass
-        left -= len(body)
-        for block in re.findall(rb"BT(.*?)ET", body, re.S):
-            line = b"".join(re.sub(rb"\\([()\\])", rb"\1", s) for s in re.findall(rb"\(((?:\\.|[^\\()])*)\)", block))
-            out.append(line.decode("latin-1"))
-        if left <= 0:
-            break
-    return "\n".join(x for x in out if x.strip())
+        out += [_pdf_line(block) for block in re.findall(rb"BT(.*?)ET", body, re.S)]
+    return "\n".join(x for x in out if x.strip()), f"{cut} streams were cut at {most} bytes" if cut else None
+
+
+def pdf_text(data: bytes, most: int = 20_000_000) -> str:
+    return pdf_content(data, most)[0]
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """files: path, content (as of the source binaryFile). path, kind, text: by suffix; other kinds have no text."""
+    """files: path, content (as of the source binaryFile). path, kind, text and warning: by suffix; other kinds have no text."""
 
-    @F.pandas_udf("string")
-    def pdf_text_column(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: None if x is None else pdf_text(bytes(x)))
+    @F.pandas_udf("text string, warning string")
+    def pdf_columns(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None else pdf_content(bytes(x)) for x in data], columns=["text", "warning"])
 
-    kind = suffix(F.col("path"))
+    kind, none = suffix(F.col("path")), F.lit(None).cast("string").alias("warning")
     plain = kind.isin(".txt", ".md", ".csv", ".json", ".html")
-    a = files.where(plain).select("path", kind.alias("kind"), F.decode("content", "utf-8").alias("text"))
-    b = files.where(kind == ".pdf").select("path", kind.alias("kind"), pdf_text_column(F.col("content")).alias("text"))
-    c = files.where(~plain & (kind != ".pdf")).select("path", kind.alias("kind"), F.lit(None).cast("string").alias("text"))
+    a = files.where(plain).select("path", kind.alias("kind"), F.decode("content", "utf-8").alias("text"), none)
+    b = files.where(kind == ".pdf").select("path", kind.alias("kind"), pdf_columns(F.col("content")).alias("p")).select("path", "kind", "p.text", "p.warning")
+    c = files.where(~plain & (kind != ".pdf")).select("path", kind.alias("kind"), F.lit(None).cast("string").alias("text"), none)
     return a.unionByName(b).unionByName(c)
 
 

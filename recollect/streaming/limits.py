@@ -45,10 +45,13 @@ def limited(events: DataFrame, limit: int, seconds: float = 60.0, client: str =
     return rows.repartition("client").sortWithinPartitions("client", "ts", "event_id").mapInPandas(run, ALLOWED)
 
 
-def limited_stream(events: DataFrame, limit: int, seconds: float = 60.0, client: str = "user_id", event: str = "event_id", ts: str = "ts") -> DataFrame:
-    """The limiter over a stream, with the times of allowed hits as each client's state: at most `limit` numbers."""
+def limited_stream(events: DataFrame, limit: int, seconds: float = 60.0, client: str = "user_id", event: str = "event_id", ts: str = "ts", lateness: float = 0.0) -> DataFrame:
+    """The limiter over a stream, with the times of allowed hits as each client's state: at most `limit` numbers, dropped once the watermark (`lateness` seconds behind) has passed the last of them by `seconds`."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -56,10 +59,13 @@ def limited_stream(events: DataFrame, limit: int, seconds: float = 60.0, client:
             times, ok = _decide(times, t.timestamp(), limit, seconds)
             out.append(ok)
         state.update((times,))
+        if times:
+            state.setTimeoutTimestamp(max(int((max(times) + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield rows.assign(client=key[0], allowed=out)[["client", "event_id", "ts", "allowed"]]
 
     rows = events.select(F.col(client).cast("long").alias("client"), F.col(event).cast("long").alias("event_id"), F.col(ts).cast("timestamp").alias("ts"))
-    return rows.groupBy("client").applyInPandasWithState(run, ALLOWED, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.withWatermark("ts", f"{lateness} seconds")
+    return rows.groupBy("client").applyInPandasWithState(run, ALLOWED, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_log(stream: DataFrame, folder: str, checkpoint: str):

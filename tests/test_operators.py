@@ -1,12 +1,13 @@
 """Small cases with known results, for operators that SQL can't express and for their edges."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import answercheck, corpus, evaluation, factcheck, gates, geometry, governance, intents, lexical
+from recollect.operators import activation, answercheck, answerflow, corpus, evaluation, factcheck, gates, geometry, governance, intents, lexical, mutation
 from recollect.operators import retrieval as R
 from recollect.sources import files
 from recollect.streaming import limits
@@ -152,6 +153,64 @@ def test_governance(spark):
     assert governance.refused_deletes(spark.createDataFrame([(1,), (2,)], "cell_id long"), edges).first()["cell_id"] == 1
 
 
+def test_planned_changes(spark):
+    said = ["remember that  the sky is blue", "remove 7: wrong", "delete cell 9 because stale", "remove 7", "show provenance", "", "note:", "remove 7 - worse", "rememberable"]
+    rows = spark.createDataFrame(list(enumerate(said)), "seq long, text string")
+    stones = spark.createDataFrame([(9, "old")], "cell_id long, reason string")
+    plans = mutation.planned(rows, stones, base_max=20, anchor=20)
+    got = {r["seq"]: (r["op"], r["cell_id"], r["reason"], r["text"], r["blocked"], r["prior_reason"]) for r in plans.collect()}
+    assert got[0] == ("add", None, None, "the sky is blue", False, None) and got[8][:4] == ("add", None, None, "able")
+    assert got[1] == ("remove", 7, "wrong", None, False, None) and got[2] == ("remove", 9, "stale", None, False, "old")
+    assert all(got[k][0] == "unknown" and got[k][4] for k in (3, 5, 6)) and got[4] == ("inspect", None, None, None, False, None)
+    made = mutation.applied(plans, 20)
+    assert [(r["cell_id"], r["source_text"]) for r in made["cells"].orderBy("cell_id").collect()] == [(21, "the sky is blue"), (22, "able")]
+    assert {r["cell_id"]: r["reason"] for r in made["tombstones"].collect()} == {7: "worse", 9: "stale"} and made["log"].count() == 5
+    back = {r["seq"]: (r["applied"], r["ok"]) for r in mutation.read_back(plans, made["cells"], made["tombstones"], made["log"]).collect()}
+    assert back == {k: (k not in (3, 5, 6), k not in (3, 5, 6)) for k in range(9)}
+    broken = mutation.read_back(plans, made["cells"].where("cell_id <> 21"), made["tombstones"].withColumn("reason", F.lit("other")), made["log"].where("op <> 'add'"))
+    assert {r["seq"]: r["ok"] for r in broken.collect() if r["applied"]} == {0: False, 1: True, 2: False, 4: True, 7: False, 8: False}
+    grown = mutation.planned(rows, stones, base_max=21, anchor=20).where("op = 'add'")
+    assert all(r["blocked"] for r in grown.collect()) and mutation.planned(rows, stones, base_max=None).where("op = 'add' AND NOT blocked").count() == 0
+    cells = spark.createDataFrame([(2, "b", [1.0, 0.0]), (1, "a", [0.0, 1.0])], "order int, label string, weight array<double>")
+    none = spark.createDataFrame([], "cell_id long, label string, weight array<double>")
+    assert [(r["cell_id"], r["label"]) for r in mutation.loaded(none, cells, 20, 2).orderBy("cell_id").collect()] == [(21, "a"), (22, "b")]
+    with pytest.raises(ValueError):
+        mutation.loaded(none, cells, 20, 3)
+
+
+def test_answer_flow(spark):
+    found = spark.createDataFrame([(q, r, 10 * q + r, act) for q, acts in {1: (0.9, 0.5), 2: (0.5, 0.495), 3: (0.3, 0.29), 4: (0.9, 0.1), 5: (0.45, 0.44)}.items() for r, act in enumerate(acts, 1)], "query_id long, rank int, cell_id long, act double")
+    text = "Gene Hackman starred in The French Connection of 1971"
+    sources = spark.createDataFrame([(c, t, lab) for c, t, lab in [(11, text, "film"), (12, "other", None), (21, text, None), (22, "x", None), (31, text, None), (32, text, None), (41, None, "gone"), (42, None, None), (51, "Nothing about it", None), (52, text, None)]], "cell_id long, text string, label string")
+    asked = "Who starred in The French Connection?"
+    draft = {1: "Gene Hackman starred in 1971", 2: "Gene Hackman starred", 3: "Gene Hackman starred", 4: "anything", 5: "Roy Scheider won prizes in 1999"}
+    questions = spark.createDataFrame([(q, asked, a) for q, a in draft.items()] + [(6, asked, "no cells at all")], "query_id long, question string, draft string")
+    got = {r["query_id"]: r for r in answerflow.answered(questions, found, sources).collect()}
+    assert {q: r["outcome"] for q, r in got.items()} == {1: "grounded", 2: "grounded", 3: "silence_gate", 4: "silence_gate", 5: "silence_gate", 6: "silence_gate"}
+    assert got[1]["rescue"] is None and got[2]["rescue"] == "rescue" and got[3]["reason"] == "gate: margin below" and got[4]["reason"] == "gate passed, no source text"
+    assert got[5]["reason"].startswith("gate: margin below; verify: ") and got[1]["citations"] == [11, 12] and [t["topic"] for t in got[1]["topics"]] == ["film", "other"]
+    drift = answerflow.answered(questions.where("query_id = 1").withColumn("draft", F.lit("Roy Scheider won prizes in 1999")), found, sources).first()
+    assert drift["outcome"] == "silence_drift" and drift["silent"]
+    wide = answerflow.two_passes(answerflow.answered(questions, found, sources), answerflow.answered(questions, found, sources, threshold=0.001)).where("query_id = 3").first()
+    assert wide["outcome"] == "grounded" and wide["from_second"]
+
+
+def test_statistics_over_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(40, 8)), rng.integers(0, 3, 40)
+    cells = spark.createDataFrame([(i, v.tolist(), 0.1, int(k)) for i, (v, k) in enumerate(zip(x, label))] + [(99, None, 0.1, 1)], "cell_id long, weight array<double>, theta double, label int").repartition(3)
+    queries = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(0, 40, 5)] + [(77, x[3].tolist(), None)], "query_id long, vector array<double>, query_label int")
+    ids = [*range(0, 40, 5), 77]
+    act = np.array([x @ x[i if i < 40 else 3] for i in ids])
+    other = np.array([[j != i and (i == 77 or label[j] != label[i]) for j in range(40)] for i in ids])
+    for q in (0.0, 0.25, 0.99, 1.0):
+        assert activation.quantile(cells, queries, activation.OTHER, q, bins=8, ranked=4) == pytest.approx(np.quantile(act[other], q))
+    ranks = {r["query_id"]: r["own_rank"] for r in activation.own_ranks(cells, queries).collect()}
+    assert ranks == {i: (None if i == 77 else int((act[k] > act[k][i]).sum()) + 1) for k, i in enumerate(ids)}
+    fires = {r["query_id"]: r["fires"] for r in activation.fire_counts(cells, queries, 0.5).collect()}
+    assert fires == {i: int((act[k] > 0.5).sum()) for k, i in enumerate(ids)}
+
+
 def test_limiter_batch_and_stream_agree(spark, tmp_path):
     rows = [(e, 1 + e % 2, f"2024-01-01 00:00:{e:02d}") for e in range(40)]
     events = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
@@ -177,6 +236,13 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("intro\n# A\nbody\n## B\nmore",)], "t string").select(files.markdown_sections(F.col("t")).alias("s"), files.from_base64(F.lit("aGk=")).alias("b")).first()
     assert [(s["heading"], s["body"]) for s in df["s"]] == [("", "intro"), ("A", "body"), ("B", "more")] and df["b"] == "hi"
     assert files.pdf_text(b"1 0 obj stream\nBT (Hello) Tj (\\(x\\)) Tj ET\nendstream") == "Hello(x)"
+    assert files.pdf_text(b"stream\nBT [(One) -250 (two)-20(three)] TJ 0 -14 Td <466F7572> Tj ET\nendstream") == "One twothree Four"
+    streams = b"".join(b"stream\r\n" + zlib.compress(b"BT (" + c * 5000 + b") Tj ET") + b"\r\nendstream\n" for c in (b"a", b"b"))
+    assert files.pdf_content(streams) == ("a" * 5000 + "\n" + "b" * 5000, None)
+    assert files.pdf_content(streams, 1000)[1] == "2 streams were cut at 1000 bytes"
+    history = tmp_path / "history.jsonl"
+    history.write_text("".join('{"q": %d}\n' % i if i % 3 else "broken\n" for i in range(30)))
+    assert [r["q"] for r in files.last_lines(spark, str(history), "q int", 4).collect()] == [25, 26, 28, 29]
     bank = files.Bank(spark, str(tmp_path / "bank"))
     assert bank.count() == 0 and bank.get("dim", "int", 5) == 5
     bank.put("dim", F.lit(64), 1.0)
@@ -187,7 +253,7 @@ def test_sources(spark, tmp_path):
 def test_small_columns(spark):
     one = spark.range(1)
     low, high = evaluation.wilson(F.lit(0), F.lit(13))
-    r = one.select(low.alias("a"), high.alias("b"), evaluation.rule_of_three(F.lit(0), F.lit(13)).alias("c"), intents.intent(F.lit("Please remove cell 4")).alias("d"), intents.decision(F.lit('x {"action": "add", "confidence": 7} y')).alias("e"), intents.judged(F.lit("ok"), F.lit("nonsense")).alias("f")).first()
+    r = one.select(low.alias("a"), high.alias("b"), evaluation.rule_of_three(F.lit(0), F.lit(13)).alias("c"), intents.instruction(F.lit("remove cell 4 because it is old")).alias("d"), intents.decision(F.lit('x {"action": "add", "confidence": 7} y')).alias("e"), intents.judged(F.lit("ok"), F.lit("nonsense")).alias("f")).first()
     assert r["a"] == 0 and r["b"] == pytest.approx(0.2281, abs=1e-3) and r["c"] == pytest.approx(3 / 13)
-    assert r["d"] == "remove" and r["e"]["confidence"] == 1.0 and r["f"] == "ambiguous"
+    assert (r["d"]["kind"], r["d"]["cell_id"], r["d"]["reason"]) == ("remove", 4, "it is old") and r["e"]["confidence"] == 1.0 and r["f"] == "ambiguous"
     assert geometry.theta_star(1, 0.0, 0.0) == 1.0
