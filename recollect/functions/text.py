@@ -108,8 +108,7 @@ def normal_paragraph(text: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """SHA-1 of the normal form; null where that is empty."""
-    normal = normal_paragraph(text)
-    return F.when(normal != "", F.sha1(F.encode(normal, "utf-8")))
+    return bound(normal_paragraph(text), lambda normal: F.when(normal != "", F.sha1(F.encode(normal, "utf-8"))))
 
 
 def anchor_form(text: Column) -> Column:

@@ -18,7 +18,8 @@ def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
 
 def fingerprints(paragraphs: DataFrame, min_chars: int = 20, column: str = "text") -> DataFrame:
     """The distinct fingerprints of texts of `min_chars` or more."""
-    return paragraphs.where(F.length(column) >= min_chars).select(fingerprint(F.col(column)).alias("fp")).where("fp IS NOT NULL").distinct()
+    # exploded, so that no filter on the fingerprint is pushed to where it would be computed a second time
+    return paragraphs.where(F.length(column) >= min_chars).select(F.explode(F.array_compact(F.array(fingerprint(F.col(column))))).alias("fp")).distinct()
 
 
 def disjointness(bank: DataFrame, corpus: DataFrame, max_ratio: float = 0.001) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.vector import cosine, norm
+from recollect.functions.vector import cosine, dot, norm
 
 
 def moments(vectors: DataFrame, column: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
@@ -118,8 +118,8 @@ def oja(w: np.ndarray, total: np.ndarray, theta: float, alpha: float = 1.0, dt:
 BOUND = "group_id long, m long, weight array<double>, theta double, min_projection double"
 
 
-def bind(items: DataFrame, theta: float = 0.30, safety: float = 0.02, steps: int = 300, floor: bool = True) -> DataFrame:
-    """items: group_id, item_id, vector. One bound cell per group: its weight after Oja steps from the first unit vector, and a readout threshold.
+def bind(items: DataFrame, theta: float = 0.30, safety: float = 0.02, steps: int = 300, floor: bool = True, unit_items: bool = True) -> DataFrame:
+    """items: group_id, item_id, vector. One bound cell per group: its weight after Oja steps from the first unit vector, and a readout threshold. unit_items: all vectors are brought to unit length first.
 
     The threshold is the least projection of the group's vectors less `safety`, not below 0 where `floor` holds. A group is
     meant to be small (a handful of cells); its vectors meet in one task.
@@ -128,8 +128,10 @@ def bind(items: DataFrame, theta: float = 0.30, safety: float = 0.02, steps: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item_id")
         x = np.stack(pdf["vector"].to_list()).astype(np.float64)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        w = oja(x[0].copy(), x.sum(0), theta, steps=steps)
+        first = x[0] / max(np.linalg.norm(x[0]), 1e-12)
+        if unit_items:
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        w = oja(first, x.sum(0), theta, steps=steps)
         least = float((x @ w).min())
         bar = least - safety
         return pd.DataFrame([(int(pdf["group_id"].iloc[0]), len(x), w.tolist(), max(bar, 0.0) if floor else bar, least)], columns=["group_id", "m", "weight", "theta", "min_projection"])
@@ -142,3 +144,57 @@ def theta_star(m: int, eps: float, delta: float) -> float:
     a = 1 - eps
     denominator = m**0.5 * a * (a + delta * (m - 1))
     return (a**3 - delta * (m - 1)) / denominator if denominator > 0 else 0.0
+
+
+def binding_tests(trials: DataFrame, theta: float = 0.30, safety: float = 0.02, steps: int = 300) -> DataFrame:
+    """trials: trial, item_id, is_item, vector; a trial's items are bound into a cell, its other vectors must not make it fire.
+
+    Per trial: m, success (all items fire, nothing else does), items_fired, false_fires, least_margin (of the items),
+    greatest_other (the margin nearest to a false fire; null without others) and alignment (the cosine of the cell with the
+    items' mean). Items keep their length; the threshold is their least projection less `safety`.
+    """
+    items = trials.where("is_item").select(F.col("trial").alias("group_id"), "item_id", "vector")
+    cells = bind(items, theta, safety, steps, floor=False, unit_items=False).select(F.col("group_id").alias("trial"), "weight", F.col("theta").alias("bar"))
+    d = trials.join(cells, "trial").withColumn("margin", dot(F.col("weight"), F.col("vector")) - F.col("bar"))
+    hit, own = F.col("margin") > 0, F.col("is_item")
+    total = F.aggregate(F.collect_list(F.when(own, F.col("vector"))), F.array_repeat(F.lit(0.0), F.size(F.first("weight"))), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    per = d.groupBy("trial").agg(
+        F.count_if(own).alias("m"),
+        F.count_if(own & hit).alias("items_fired"),
+        F.count_if(~own & hit).alias("false_fires"),
+        F.min(F.when(own, F.col("margin"))).alias("least_margin"),
+        F.max(F.when(~own, F.col("margin"))).alias("greatest_other"),
+        F.first("weight").alias("weight"),
+        total.alias("total"),
+    )
+    success = (F.col("items_fired") == F.col("m")) & (F.col("false_fires") == 0)
+    return per.select("trial", "m", success.alias("success"), "items_fired", "false_fires", "least_margin", "greatest_other", cosine(F.col("weight"), F.col("total")).alias("alignment"))
+
+
+def binding_report(tests: DataFrame, success_target: float = 0.92, false_fires_target: float = 1.0) -> DataFrame:
+    """Per number of items: n_trials, success_rate, mean_false_fires, mean_alignment and whether both targets are met."""
+    g = tests.groupBy("m").agg(F.count(F.lit(1)).alias("n_trials"), F.avg(F.col("success").cast("int")).alias("success_rate"), F.avg("false_fires").alias("mean_false_fires"), F.avg("alignment").alias("mean_alignment"))
+    passes = (F.col("success_rate") >= success_target).alias("success_passes"), (F.col("mean_false_fires") <= false_fires_target).alias("false_fires_passes")
+    return g.select("m", "n_trials", F.round("success_rate", 6).alias("success_rate"), F.round("mean_false_fires", 6).alias("mean_false_fires"), F.round("mean_alignment", 6).alias("mean_alignment"), *passes)
+
+
+def whitening_gates(fit_on: DataFrame, measured_on: DataFrame, column: str = "embedding", id_col: str = "vec_id", dim_target: float = 0.95, cos_most: float = 0.05, step: int = 1) -> DataFrame:
+    """One row: ZCA fitted on one set and applied to another. The share of effective dimensions and the absolute mean cosine of pairs (ids `step` apart), before and after, and whether these pass.
+
+    Fewer rows to fit on than dimensions and one more are an error.
+    """
+    white = fit_whitening(fit_on, column, eps=1e-5, headroom=1.0)
+    d = len(white.mean)
+    if white.rows < d + 1:
+        raise ValueError(f"{white.rows} vectors are too few to whiten {d} dimensions")
+    after = white.apply(measured_on.select(id_col, column), column)
+    share = lambda c: participation_ratio(moments(after, c)[2]) / d
+
+    def cos(c: str) -> DataFrame:
+        a, b = after.select(F.col(id_col).alias("i"), F.col(c).alias("a")), after.select((F.col(id_col) - step).alias("i"), F.col(c).alias("b"))
+        return a.join(b, "i").agg(F.abs(F.avg(cosine(F.col("a"), F.col("b")))).alias("c"))
+
+    before_dim, after_dim = share(column), share("whitened")
+    out = cos(column).withColumnRenamed("c", "cos_before").join(F.broadcast(cos("whitened").withColumnRenamed("c", "cos_after")))
+    dims = F.lit(round(before_dim, 4)).alias("dim_before"), F.lit(round(after_dim, 4)).alias("dim_after")
+    return out.select(F.lit(white.rows).cast("long").alias("n_fit"), *dims, F.round("cos_before", 5).alias("cos_before"), F.round("cos_after", 5).alias("cos_after"), F.lit(after_dim >= dim_target).alias("dim_pass"), (F.col("cos_after") <= cos_most).alias("cos_pass"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.vector import norm, unit
 from recollect.operators.corpus import global_offsets
+from recollect.operators.geometry import Whitening, fit_whitening
 from recollect.operators.intents import instruction
 
 
@@ -71,6 +73,44 @@ def read_back(plans: DataFrame, overlay: DataFrame, tombstones: DataFrame, log:
     return d.select("seq", "op", did.alias("applied"), F.when(did & (add | remove), F.col("cell_id")).alias("cell_id"), *checks, ok.alias("ok"))
 
 
+def written(rows: DataFrame, top: int, white: Whitening | None = None, theta: float = 0.30, strict: bool = False, least: float = 1e-6) -> DataFrame:
+    """The cells that a batch of encoded texts makes: cell_id, label, source_text, weight, theta.
+
+    rows: order (integer), label, text, vector. Vectors are whitened (with `white`) and brought to unit length; ids go on
+    above `top` in the given order. A vector of next to no length is left out, or an error where `strict`.
+    """
+    d = rows if white is None else white.apply(rows, "vector", "vector")
+    d = d.withColumn("_norm", norm(F.col("vector")))
+    if strict and not d.where(F.col("_norm").isNull() | (F.col("_norm") < least)).isEmpty():
+        raise ValueError("a text's vector has next to no length")
+    kept = d.where(F.col("_norm") >= least).select("order", "label", F.col("text").alias("source_text"), unit(F.col("vector")).alias("weight"))
+    numbered = global_offsets(kept.withColumn("_one", F.lit(1)), "order", "_one")
+    return numbered.select((F.lit(top + 1) + F.col("start")).cast("long").alias("cell_id"), "label", "source_text", "weight", F.lit(theta).alias("theta"))
+
+
+def started(bank: DataFrame, rows: DataFrame, least: int = 200, **options) -> tuple[Whitening, DataFrame]:
+    """The whitening and the first cells of an empty bank, from a reference corpus of `least` texts or more."""
+    if not bank.isEmpty():
+        raise ValueError("the bank has cells already")
+    if rows.limit(least).count() < least:
+        raise ValueError(f"a reference corpus has {least} texts or more")
+    white = fit_whitening(rows, "vector")
+    return white, written(rows, -1, white, **options)
+
+
+def bound_ids(rows: DataFrame, ids: list[str], group: str, key: str = "memory_id") -> DataFrame:
+    """`rows` with group_id set for the ids given; at least two of them must be there."""
+    if rows.where(F.col(key).isin(ids)).limit(2).count() < 2:
+        raise ValueError("binding takes two memories or more")
+    return rows.withColumn("group_id", F.when(F.col(key).isin(ids), F.lit(group)).otherwise(F.col("group_id")))
+
+
+def next_number(rows: DataFrame, key: str = "memory_id") -> int:
+    """One more than the greatest number after the last dash of the ids; 0 without one. Ids of another form don't count."""
+    number = F.element_at(F.split(key, "-"), -1).try_cast("int")
+    return rows.agg(F.coalesce(F.max(number) + 1, F.lit(0)).alias("n")).first()["n"]
+
+
 def loaded(overlay: DataFrame, cells: DataFrame, top: int, dim: int) -> DataFrame:
     """The overlay with a table of ready cells (order, label, weight, source_text): ids go on above `top`. A weight of another dimension is an error."""
     if cells.where(F.col("weight").isNull() | (F.size("weight") != dim)).limit(1).count():

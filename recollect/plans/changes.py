@@ -156,3 +156,13 @@ def memory_state(spark, d):
     made = mutation.applied(_plans(spark, d), table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0])
     log = made["log"].select(F.lit("log").alias("kind"), "cell_id", F.concat("op", F.lit(":"), "detail").alias("detail"), "seq")
     return log.unionByName(made["tombstones"].select(F.lit("tombstone").alias("kind"), "cell_id", F.col("reason").alias("detail"), "seq"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 200 <> 100)
+SELECT 1000 + row_number() OVER (ORDER BY vec_id) AS cell_id, label, 'text ' || vec_id AS source_text, list_transform(x, lambda c: round(c / n, 5) + 0.0) AS weight, 0.3::DOUBLE AS theta FROM v""")
+def written_cells(spark, d):
+    """New cells of a batch of encoded texts; some have a vector without length, which makes no cell."""
+    e = table(spark, d, "embeddings").where("vec_id % 20 = 0")
+    vector = F.when(F.col("vec_id") % 200 == 100, F.transform("embedding", lambda c: F.lit(0.0))).otherwise(F.transform("embedding", lambda c: c.cast("double")))
+    rows = e.select(F.col("vec_id").alias("order"), "label", F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), vector.alias("vector"))
+    return mutation.written(rows, 1000).withColumn("weight", F.transform("weight", lambda c: F.round(c, 5) + 0.0))

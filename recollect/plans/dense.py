@@ -264,11 +264,12 @@ def participation_ratio(spark, d):
     return spark.createDataFrame([(round(geometry.participation_ratio(cov), 4),)], "participation_ratio double")
 
 
-#: Mean and covariance as lists of numbers: cov is a list of rows.
-_MOMENTS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-u AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(x) AS v FROM e), mn AS (SELECT i, avg(v) AS m FROM u GROUP BY i), cx AS (SELECT vec_id, i, v - m AS v FROM u JOIN mn USING (i)),
-cv AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS c FROM cx a JOIN cx b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+#: Mean and covariance of the vectors chosen as lists of numbers: cov is a list of rows; xs: all vectors, less the mean of those chosen.
+_MOMENTS_OF = """e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(x) AS v FROM e), mn AS (SELECT i, avg(v) AS m FROM u WHERE {chosen} GROUP BY i), cx AS (SELECT vec_id, i, v - m AS v FROM u JOIN mn USING (i)),
+cv AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS c FROM (FROM cx WHERE {chosen}) a JOIN cx b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
 co AS (SELECT list(r ORDER BY i) AS cov, sum(tr) AS trace FROM (SELECT i, list(c ORDER BY j) AS r, sum(c) FILTER (i = j) AS tr FROM cv GROUP BY i)), xs AS (SELECT vec_id, list(v ORDER BY i) AS x FROM cx GROUP BY vec_id)"""
+_MOMENTS = _MOMENTS_OF.format(chosen="true")
 _PRODUCT = "list_transform({a}, lambda r: list_transform({b}, lambda c: list_inner_product(r, c)))"  # of symmetric matrices
 #: The inverse square root of a symmetric matrix `a`: y goes to its root and z to the inverse, as (3 - z y) / 2 goes to 1.
 _ROOT = f"""one AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS i),
@@ -345,6 +346,39 @@ def oja_bind_quads(spark, d):
     return _bound_groups(spark, d, 4)
 
 
+@query(f"""WITH RECURSIVE {_MOMENTS_OF.format(chosen="vec_id % 2 = 0")}, mx AS (SELECT cov AS a, trace AS scale FROM co), {_ROOT},
+m AS (SELECT vec_id, x AS b, w FROM wh JOIN e USING (vec_id) WHERE vec_id % 2 = 1), b0 AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(b) AS v, unnest(w) AS z FROM m),
+b1 AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v, z - avg(z) OVER (PARTITION BY i) AS z FROM b0),
+b2 AS (SELECT p.i, q.i AS j, sum(p.v * q.v) AS cv, sum(p.z * q.z) AS cz FROM b1 p JOIN b1 q ON p.vec_id = q.vec_id GROUP BY p.i, q.i),
+b3 AS (SELECT (sum(cv) FILTER (i = j)) ^ 2 / sum(cv * cv) / 64 AS dv, (sum(cz) FILTER (i = j)) ^ 2 / sum(cz * cz) / 64 AS dz FROM b2),
+c AS (SELECT abs(avg(list_cosine_similarity(p.b, q.b))) AS cb, abs(avg(list_cosine_similarity(p.w, q.w))) AS ca FROM m p JOIN m q ON q.vec_id = p.vec_id + 2)
+SELECT (SELECT count(*) FROM e WHERE vec_id % 2 = 0) AS n_fit, round(dv, 4) AS dim_before, round(dz, 4) AS dim_after, round(cb, 5) AS cos_before, round(ca, 5) AS cos_after, dz >= 0.95 AS dim_pass, ca <= 0.05 AS cos_pass FROM b3, c""")
+def whitening_gates(spark, d):
+    """Fitted on vectors of even ids, measured on the others."""
+    e = _vectors(spark, d)
+    return geometry.whitening_gates(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), step=2)
+
+
+@query("""WITH RECURSIVE x AS (SELECT vec_id // 20 AS trial, vec_id, vec_id % 20 < 3 AS own, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT trial, list_transform(arg_min(x, vec_id), lambda v: v / greatest(sqrt(list_inner_product(arg_min(x, vec_id), arg_min(x, vec_id))), 1e-12)) AS first, count(*) AS m FROM x WHERE own GROUP BY trial),
+s AS (SELECT trial, list(v ORDER BY i) AS total FROM (SELECT trial, i, sum(v) AS v FROM (SELECT trial, unnest(range(1, 65)) AS i, unnest(x) AS v FROM x WHERE own) GROUP BY ALL) GROUP BY trial),
+k AS (SELECT g.trial, m, first, total, list_inner_product(first, total) AS ft, list_inner_product(total, total) AS tt FROM g JOIN s USING (trial)),
+o AS (
+  SELECT trial, 0 AS n, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM k
+  UNION ALL
+  SELECT trial, n + 1, a - c * y * a, b + c - c * y * b
+  FROM (SELECT o.*, y, 0.05 * greatest(y - 0.3, 0) * y AS c FROM (SELECT o.*, a * ft + b * tt AS y FROM o JOIN k USING (trial) WHERE n < 300) o)),
+w AS (SELECT k.trial, m, total, list_transform(list_zip(first, total), lambda v: a * v[1] + b * v[2]) AS weight FROM o JOIN k USING (trial) WHERE n = 300),
+p AS (SELECT x.trial, own, list_inner_product(weight, x) AS act FROM w JOIN x USING (trial)), q AS (SELECT trial, min(act) FILTER (own) - 0.02 AS bar FROM p GROUP BY trial),
+t AS (SELECT p.trial, count(*) FILTER (own AND act > bar) AS fired, count(*) FILTER (NOT own AND act > bar) AS wrong FROM p JOIN q USING (trial) GROUP BY p.trial)
+SELECT w.m, count(*) AS n_trials, round(avg((fired = m AND wrong = 0)::INT), 6) AS success_rate, round(avg(wrong), 6) AS mean_false_fires, round(avg(list_cosine_similarity(weight, total)), 6) AS mean_alignment, avg((fired = m AND wrong = 0)::INT) >= 0.92 AS success_passes, avg(wrong) <= 1 AS false_fires_passes
+FROM t JOIN w USING (trial) GROUP BY w.m""")
+def binding_calibration(spark, d):
+    """Trials of twenty vectors by id: three are bound, the others must stay silent."""
+    e = _vectors(spark, d).select(F.expr("vec_id div 20").alias("trial"), F.col("vec_id").alias("item_id"), (F.col("vec_id") % 20 < 3).alias("is_item"), F.col("embedding").alias("vector"))
+    return geometry.binding_report(geometry.binding_tests(e))
+
+
 @query()
 def oja_bind(spark, d):
     """Groups of eight: the sum of their vectors is so long that Euler steps of 0.05 don't settle but go on swinging, so that the last digits of a sum decide the outcome and SQL can't tell it."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import activation, answercheck, answerflow, corpus, evaluation, factcheck, gates, geometry, governance, intents, lexical, mutation
+from recollect.operators import activation, answercheck, answerflow, corpus, evaluation, factcheck, gates, geometry, governance, intents, lexical, mutation, splits
 from recollect.operators import retrieval as R
 from recollect.sources import files
 from recollect.streaming import limits
@@ -178,6 +178,52 @@ def test_planned_changes(spark):
         mutation.loaded(none, cells, 20, 3)
 
 
+def test_written_cells(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, f"l{i}", f"t{i}", rng.normal(size=3).tolist() if i != 4 else [0.0] * 3) for i in range(12)], "order int, label string, text string, vector array<double>")
+    cells = mutation.written(rows, 9).orderBy("cell_id").collect()
+    assert [(r["cell_id"], r["source_text"]) for r in cells] == list(zip(range(10, 21), [f"t{i}" for i in range(12) if i != 4]))
+    assert all(np.linalg.norm(r["weight"]) == pytest.approx(1) for r in cells)
+    with pytest.raises(ValueError):
+        mutation.written(rows, 9, strict=True)
+    empty = spark.createDataFrame([], "cell_id long")
+    white, first = mutation.started(empty, rows, least=12)
+    assert first.count() == 12 and white.rows == 12
+    for bank, least in ((spark.range(1), 12), (empty, 13)):
+        with pytest.raises(ValueError):
+            mutation.started(bank, rows, least=least)
+    memories = spark.createDataFrame([("mem-3", None), ("mem-11", "g"), ("other", None)], "memory_id string, group_id string")
+    assert mutation.next_number(memories) == 12 and mutation.next_number(memories.where("false")) == 0
+    assert {r["memory_id"]: r["group_id"] for r in mutation.bound_ids(memories, ["mem-3", "other"], "h").collect()} == {"mem-3": "h", "mem-11": "g", "other": "h"}
+    with pytest.raises(ValueError):
+        mutation.bound_ids(memories, ["mem-3", "absent"], "h")
+
+
+def test_token_blocks(spark):
+    one = spark.range(1)
+    ints = lambda *x: F.array(*map(F.lit, x))
+    r = one.select(
+        splits.tiled(ints(1, 2), 2, 3).alias("tiled"),
+        splits.probe_block(ints(7, 8), ints(9, 10), ints(1, 2, 3), 6).alias("probe"),
+        splits.oracle_neighbor(ints(*range(20)), F.lit(1), 4, 5).alias("near"),
+        splits.oracle_neighbor(ints(*range(20)), F.lit(4), 4, 5).alias("late"),
+        splits.packed_bundle(ints(1, 2), 4, 0).alias("packed"),
+        splits.shifted_windows(ints(*range(20)), F.lit(5), 6).alias("w"),
+        splits.sub_question(F.lit("\n SUB-QUESTION: subquestion:  who?\nmore"), F.lit("x")).alias("sub"),
+        splits.sub_question(F.lit(" \nSUBQUESTION:"), F.lit("x")).alias("none"),
+        splits.memory_answer(F.array(F.struct(F.lit(4).cast("long").alias("cell_id"), F.lit(None).cast("string").alias("text")))).alias("answer"),
+    ).first()
+    assert r["tiled"] == [[[1, 2]] * 3] * 2 and r["near"] == [5, 6, 7, 8, 9] and r["late"] == [14, 15, 16, 17, 18] and r["packed"] == [1, 2, 0, 0]
+    assert r["probe"]["x"] == [1, 2, 3, 7, 8, 9] and r["probe"]["y"] == [-1, -1, -1, -1, 9, 10]
+    assert len(r["w"]["x"]) == 6 and r["w"]["y"][:-1] == r["w"]["x"][1:] and (r["sub"], r["none"]) == ("who?", "x") and r["answer"]["refused"] and r["answer"]["cited"] == []
+    with pytest.raises(Exception, match="more than 1 tokens"):
+        one.select(splits.packed_bundle(ints(1, 2), 1, 0)).collect()
+    drafts = spark.createDataFrame([(1, [("a ", None, "", None), (" ", None, None, True), ("b", "d", "l", False)])], "batch int, drafts array<struct<text:string,draft_id:string,label:string,accepted:boolean>>")
+    assert [tuple(x) for x in splits.draft_cells(drafts).collect()] == [(1, "a", "draft-0001", "manual_cell_0001", True), (1, "b", "d", "l", False)]
+    page = "A short head\n\n" + "Words of a para-\ngraph that goes on. " * 3 + "\n\n" + "Figure 3 " + "x" * 90 + "\n\n" + "[12] Smith " + "y" * 80 + " doi:1"
+    assert one.select(splits.page_paragraphs(F.lit(page)).alias("p")).first()["p"] == [("Words of a paragraph that goes on. " * 3).strip()]
+
+
 def test_answer_flow(spark):
     found = spark.createDataFrame([(q, r, 10 * q + r, act) for q, acts in {1: (0.9, 0.5), 2: (0.5, 0.495), 3: (0.3, 0.29), 4: (0.9, 0.1), 5: (0.45, 0.44)}.items() for r, act in enumerate(acts, 1)], "query_id long, rank int, cell_id long, act double")
     text = "Gene Hackman starred in The French Connection of 1971"
