@@ -5,7 +5,7 @@ Each takes rows that other operators have made and is one aggregation or one ord
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.evaluation import wilson
@@ -149,3 +149,94 @@ def gate_signals(ranked: DataFrame, thresholds: list[float]) -> DataFrame:
     signals = {"top1": F.col("a"), "margin": F.col("a") - F.col("b"), "margin_rest": F.col("a") - F.col("m"), "deviations": (F.col("a") - F.col("m")) / F.nullif(F.col("sd"), F.lit(0.0)), "share": F.col("a") / F.nullif(F.col("s"), F.lit(0.0))}
     rows = per.select(F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), v.alias("v")) for n, v in signals.items()])).alias("x"), F.array(*map(F.lit, thresholds)).alias("ts")).select("x.*", F.explode("ts").alias("threshold"))
     return rows.groupBy("signal", "threshold").agg(F.count_if(F.col("v") >= F.col("threshold")).alias("fires"))
+
+
+def multihop_counts(rows: DataFrame) -> DataFrame:
+    """rows: decision (a label of decision_label), kw_hit. One row: n, grounded and rescued, each with the keyword in the answer and without (confidently wrong)."""
+    rescued = F.col("decision") == "grounded_via_rescue"
+    grounded, hit = rescued | (F.col("decision") == "grounded_normal"), F.col("kw_hit")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(grounded).alias("grounded"),
+        F.count_if(grounded & hit).alias("grounded_kw_hit"),
+        F.count_if(grounded & ~hit).alias("grounded_kw_miss"),
+        F.count_if(rescued & hit).alias("rescued_kw_hit"),
+        F.count_if(rescued & ~hit).alias("rescued_kw_miss"),
+    )
+
+
+def chunk_tallies(chunks: DataFrame, cutoff: float) -> DataFrame:
+    """chunks: low_share, skipped, top1. Per kind of chunk (low: low_share from the cutoff on): total, retrieved, and the three most frequent first cells among the retrieved (by count, then name)."""
+    low = F.when(F.col("low_share") >= cutoff, "low").otherwise("high")
+    got = ~F.col("skipped") & F.col("top1").isNotNull()
+    d = chunks.select(low.alias("kind"), got.alias("got"), "top1")
+    sums = d.groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.count_if("got").alias("retrieved"))
+    w = Window.partitionBy("kind").orderBy(F.col("c").desc(), "top1")
+    first = d.where("got").groupBy("kind", "top1").agg(F.count(F.lit(1)).alias("c")).withColumn("r", F.row_number().over(w)).where("r <= 3")
+    tops = first.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", "top1", F.col("c").cast("string")).alias("t")))).alias("s"))
+    return sums.join(tops, "kind", "left").select("kind", "total", "retrieved", F.coalesce(F.array_join(F.transform("s", lambda x: x["t"]), ","), F.lit("")).alias("top3"))
+
+
+def probed_cells(found: DataFrame, least: float = 0.25, most: int = 50) -> DataFrame:
+    """found: probe (the order in which several probes ask), cell_id, act. The cells that reach `least`, each with its activation for the first probe that finds it, the best `most` of them."""
+    first = found.where(F.col("act") >= least).groupBy("cell_id").agg(F.min_by("act", "probe").alias("act"))
+    return first.orderBy(F.round("act", 9).desc(), "cell_id").limit(most)
+
+
+def ratios_by_position(rows: DataFrame) -> DataFrame:
+    """rows: position, ratio. Per position n, mean and deviation (n - 1) of the ratios that are numbers."""
+    r = F.when(~F.isnan("ratio"), F.col("ratio"))
+    return rows.groupBy("position").agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("deviation"))
+
+
+def position_bias(means: Column, benefit: Column, end_least: float = 0.5, middle_most: float = 0.3, gap: float = 0.2, benefit_least: float = 0.1) -> Column:
+    """The verdict on means of six positions: whether what stands at the ends is used better than what stands in the middle. benefit: of a single fact over none."""
+    at = lambda i: F.get(means, F.lit(i))
+    strict = (at(0) >= end_least) & (at(5) >= end_least) & (at(2) < middle_most) & (at(3) < middle_most)
+    wide = (at(0) + at(5)) / 2 - (at(2) + at(3)) / 2 > gap
+    return F.when(benefit < benefit_least, "INCONCLUSIVE").when(strict, "POSITION_BIAS_CONFIRMED").when(wide, "PARTIAL_POSITION_BIAS").otherwise("NO_POSITION_BIAS")
+
+
+def confusion_verdict(cohens_d: Column, above: Column) -> Column:
+    """What a bank confuses: things of like meaning, both, or anything. above: the share of confused pairs over the random pairs' 95th percentile."""
+    return F.when((cohens_d > 0.8) & (above > 0.5), "SEMANTIC").when((cohens_d > 0.3) & (above > 0.25), "MIXED").otherwise("NOISE")
+
+
+def routing_report(rows: DataFrame, by: str) -> DataFrame:
+    """rows: expected, routed (intents), recalls (whether memory should answer), used, cited_right. Per configuration: routing accuracy, recall, correct refusals, unsupported answers and right attributions; null without cases."""
+    asks = F.col("expected") == "query"
+    rate = lambda hit, among, name: F.round(F.avg(F.when(among, hit.cast("int"))), 6).alias(name)
+    recalls, used = asks & F.col("recalls"), F.col("used")
+    quiet = asks & ~F.col("recalls")
+    return rows.groupBy(by).agg(
+        rate(F.col("routed") == F.col("expected"), F.lit(True), "routing_accuracy"),
+        rate(used, recalls, "recall"),
+        rate(~used, quiet, "refusal_accuracy"),
+        F.count_if(quiet & used).alias("unsupported"),
+        rate(F.col("cited_right"), recalls & used, "attribution"),
+    )
+
+
+def judge_counts(rows: DataFrame) -> DataFrame:
+    """rows: deterministic (a verdict), raw (the judge's answer). One row: calls, how many a deterministic rejection decided, how many answers were valid and how many malformed."""
+    short = F.col("deterministic") == "reject"
+    valid = F.coalesce(F.lower(F.from_json(F.regexp_extract("raw", r"(?s)\{.*\}", 0), "verdict string")["verdict"]).isin("accept", "reject", "ambiguous"), F.lit(False))
+    return rows.agg(F.count(F.lit(1)).alias("calls"), F.count_if(short).alias("short_circuits"), F.count_if(~short & valid).alias("valid"), F.count_if(~short & ~valid).alias("malformed"))
+
+
+def masked_losses(rows: DataFrame, mask: str = "mask", loss: str = "loss") -> DataFrame:
+    """Per mask of switched-off layers: n, the mean loss and its standard error (n - 1)."""
+    return rows.groupBy(mask).agg(F.count(loss).alias("n"), F.round(F.avg(loss), 6).alias("mean_loss"), F.round(F.stddev_samp(loss) / F.sqrt(F.count(loss)), 6).alias("stderr"))
+
+
+def training_plan(params: int, iters: int, batch: int, block: int, unique_target: int, candidate_tokens: int, per_param: int = 20) -> dict:
+    """Token counts of a training run: the compute-optimal number, those presented, how often each unique one is, and what to mind."""
+    optimal, presented = params * per_param, iters * batch * block
+    notes = {
+        "target below the optimum": unique_target < optimal,
+        "less than one epoch": presented < unique_target,
+        "candidates below the target": candidate_tokens < unique_target,
+        "more than three epochs": presented > 3 * unique_target,
+    }
+    ratios = {"epochs": presented / unique_target, "target_to_candidates": unique_target / candidate_tokens, "presented_to_optimal": presented / optimal}
+    return {"optimal": optimal, "presented": presented, **ratios, "notes": [n for n, said in notes.items() if said]}

@@ -227,3 +227,37 @@ def sub_question(raw: Column, original: Column) -> Column:
     """The first line of a rewritten question that says something, without the label before it; the original where there is none."""
     lines = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r\n|[\n\r]", -1), lambda x: F.trim(F.regexp_replace(F.trim(x), r"(?i)^\s*(SUB-?QUESTION\s*:?\s*)+", "")))
     return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), original)
+
+
+def gathered(neighbors: DataFrame, tokens: DataFrame) -> DataFrame:
+    """neighbors: chunk_id, slot, cell_id; tokens: cell_id, tokens. The neighbours' tokens per chunk in the order of the slots; an unknown cell is null."""
+    j = neighbors.join(tokens.select("cell_id", "tokens"), "cell_id", "left").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("slot", "tokens"))).alias("s"))
+    return j.select("chunk_id", F.transform("s", lambda x: x["tokens"]).alias("neighbors"))
+
+
+def looked_up_tokens(hits: DataFrame, tokens: DataFrame, encode, length: int = 64) -> DataFrame:
+    """hits: hit_id, cell_id, text; tokens: cell_id, tokens. Stored tokens where there are any, else those that `encode` (of a column) makes of the text, filled with 0."""
+    j = hits.join(tokens.select("cell_id", "tokens"), "cell_id", "left")
+    return j.select("hit_id", F.coalesce("tokens", padded(encode(F.col("text")), length, 0)).alias("tokens"))
+
+
+def neighbor_modes(chunks: DataFrame, cells: int, seed: int = 0) -> DataFrame:
+    """chunks: chunk_id, neighbors (cell ids, best first). Per chunk and mode (none, random, real, real1) its neighbours: no cell, cells that follow from a hash, all, or the first repeated."""
+    size = F.size("neighbors")
+    picked = F.transform("neighbors", lambda _, i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("chunk_id").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(cells)))
+    modes = {"none": F.array_repeat(F.lit(None).cast("long"), size), "random": picked, "real": F.col("neighbors"), "real1": F.array_repeat(F.get("neighbors", F.lit(0)), size)}
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), v.cast("array<long>").alias("neighbors")) for m, v in modes.items()])
+    return chunks.select("chunk_id", F.explode(rows).alias("m")).select("chunk_id", "m.mode", "m.neighbors")
+
+
+def joined_sources(first: DataFrame, second: DataFrame, key: str = "cell_id") -> DataFrame:
+    """Two banks as one: the second one's ids go on above the greatest of the first; source says where a row is from."""
+    shift = first.agg((F.coalesce(F.max(key), F.lit(-1)) + 1).alias("_shift"))
+    moved = second.join(F.broadcast(shift)).withColumn(key, F.col(key) + F.col("_shift")).drop("_shift")
+    return first.withColumn("source", F.lit("first")).unionByName(moved.withColumn("source", F.lit("second")))
+
+
+def truth(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """found: query_id, rank, cell_id; expected: query_id, target. Per expected row the rank of its target, null where it was not found."""
+    hit = found.join(expected, "query_id").where("cell_id = target").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return expected.join(hit, "query_id", "left")

@@ -172,3 +172,53 @@ t AS (SELECT unnest([0.1, 0.25, 0.5, 0.65, 1.0, 10.0, 30.0]) AS threshold)
 SELECT signal, threshold::DOUBLE AS threshold, count(*) FILTER (v >= threshold) AS fires FROM v, t GROUP BY ALL""")
 def gate_signals(spark, d):
     return P.gate_signals(_ranked(spark, d, 10), [0.1, 0.25, 0.5, 0.65, 1.0, 10.0, 30.0])
+
+
+@query("""WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'grounded_via_rescue' WHEN 'view' THEN 'grounded_normal' ELSE 'silence_gate' END AS decision, event_id % 3 = 0 AS kw_hit FROM events),
+f AS (SELECT *, decision = 'grounded_via_rescue' AS rescued, decision IN ('grounded_via_rescue', 'grounded_normal') AS grounded FROM e)
+SELECT count(*) AS n, count(*) FILTER (grounded) AS grounded, count(*) FILTER (grounded AND kw_hit) AS grounded_kw_hit, count(*) FILTER (grounded AND NOT kw_hit) AS grounded_kw_miss, count(*) FILTER (rescued AND kw_hit) AS rescued_kw_hit, count(*) FILTER (rescued AND NOT kw_hit) AS rescued_kw_miss FROM f""")
+def multihop_counts(spark, d):
+    t = F.col("event_type")
+    label = F.when(t == "click", "grounded_via_rescue").when(t == "view", "grounded_normal").otherwise("silence_gate")
+    return P.multihop_counts(table(spark, d, "events").select(label.alias("decision"), (F.col("event_id") % 3 == 0).alias("kw_hit")))
+
+
+@query("""WITH c AS (SELECT CASE WHEN n_chars % 100 / 100.0 >= 0.5 THEN 'low' ELSE 'high' END AS kind, doc_id % 4 <> 0 AND source IS NOT NULL AS got, source AS top1 FROM documents),
+f AS (SELECT kind, top1, count(*) AS c FROM c WHERE got GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY c DESC, top1) AS r FROM f QUALIFY r <= 3), s AS (SELECT kind, string_agg(top1 || ':' || c, ',' ORDER BY r) AS top3 FROM r GROUP BY kind)
+SELECT c.kind, count(*) AS total, count(*) FILTER (got) AS retrieved, coalesce(any_value(top3), '') AS top3 FROM c LEFT JOIN s ON c.kind = s.kind GROUP BY c.kind""")
+def chunk_tallies(spark, d):
+    """Documents as chunks: the share of empty tokens follows from their length, the first cell is their source."""
+    docs = table(spark, d, "documents")
+    return P.chunk_tallies(docs.select((F.col("n_chars") % 100 / 100.0).alias("low_share"), (F.col("doc_id") % 4 == 0).alias("skipped"), F.col("source").alias("top1")), 0.5)
+
+
+@query(f"""WITH {RANKED.format(n=20)}, f AS (SELECT cell_id, arg_min(act, query_id) AS act FROM r WHERE act >= 0.25 GROUP BY cell_id) SELECT cell_id, round(act, 6) AS act FROM f ORDER BY round(act, 9) DESC, cell_id LIMIT 30""")
+def probed_cells(spark, d):
+    """What several probes find together, the first one that finds a cell counting."""
+    found = _ranked(spark, d, 20).select(F.col("query_id").alias("probe"), "cell_id", "act")
+    return P.probed_cells(found, 0.25, 30).select("cell_id", F.round("act", 6).alias("act"))
+
+
+@query("""WITH r AS (SELECT (event_id % 6)::INT AS position, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS ratio FROM events), p AS (SELECT position, count(ratio) FILTER (NOT isnan(ratio)) AS n, avg(ratio) FILTER (NOT isnan(ratio)) AS mean, stddev_samp(ratio) FILTER (NOT isnan(ratio)) AS deviation FROM r GROUP BY position)
+SELECT position, n, round(mean, 6) AS mean, round(deviation, 6) AS deviation FROM p""")
+def ratios_by_position(spark, d):
+    rows = table(spark, d, "events").select((F.col("event_id") % 6).cast("int").alias("position"), F.when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("value")).alias("ratio"))
+    return P.ratios_by_position(rows).select("position", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query("""WITH r AS (SELECT event_type AS config, CASE user_id % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'write' ELSE 'delete' END AS expected, CASE WHEN event_id % 5 = 0 THEN 'query' ELSE CASE user_id % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'write' ELSE 'delete' END END AS routed, event_id % 2 = 0 AS recalls, value > 20 AS used, event_id % 7 > 0 AS cited FROM events)
+SELECT config, round(avg((routed = expected)::INT), 6) AS routing_accuracy, round(avg(used::INT) FILTER (expected = 'query' AND recalls), 6) AS recall, round(avg((NOT used)::INT) FILTER (expected = 'query' AND NOT recalls), 6) AS refusal_accuracy,
+  count(*) FILTER (expected = 'query' AND NOT recalls AND used) AS unsupported, round(avg(cited::INT) FILTER (expected = 'query' AND recalls AND used), 6) AS attribution FROM r GROUP BY config""")
+def routing_report(spark, d):
+    u = F.col("user_id") % 3
+    want = F.when(u == 0, "query").when(u == 1, "write").otherwise("delete")
+    e, i = table(spark, d, "events"), F.col("event_id")
+    rows = e.select(F.col("event_type").alias("config"), want.alias("expected"), F.when(i % 5 == 0, "query").otherwise(want).alias("routed"), (i % 2 == 0).alias("recalls"), (F.col("value") > 20).alias("used"), (i % 7 > 0).alias("cited_right"))
+    return P.routing_report(rows, "config")
+
+
+@query("""SELECT count(*) AS calls, count(*) FILTER (event_id % 4 = 0) AS short_circuits, count(*) FILTER (event_id % 4 <> 0 AND event_id % 3 <> 1) AS valid, count(*) FILTER (event_id % 4 <> 0 AND event_id % 3 = 1) AS malformed FROM events""")
+def judge_counts(spark, d):
+    i = F.col("event_id")
+    raw = F.when(i % 3 == 0, 'so: {"verdict": "Accept"}').when(i % 3 == 1, "I can not say").otherwise('{"verdict": "ambiguous"} .')
+    return P.judge_counts(table(spark, d, "events").select(F.when(i % 4 == 0, "reject").otherwise("accept").alias("deterministic"), raw.alias("raw")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.operators import splits as S
+from recollect.plans.dense import RANKED, _ranked
 from recollect.session import table
 
 QUERIES: dict = {}
@@ -135,3 +136,32 @@ def sample_halves(spark, d):
 def resume_point(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("t"))
     return S.resume_point(docs.select(F.col("doc_id").alias("cell_id"), F.upper("t").alias("label")), docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("idx"), F.col("t").alias("title")), 5)
+
+
+@query(f"""WITH {RANKED.format(n=4)}, t AS (SELECT vec_id AS cell_id, [vec_id * 2, label]::BIGINT[] AS tokens FROM embeddings WHERE vec_id % 5 <> 2) SELECT query_id AS chunk_id, list(tokens ORDER BY rank) AS neighbors FROM r LEFT JOIN t ON r.cell_id = t.cell_id GROUP BY query_id""")
+def gathered_neighbors(spark, d):
+    """The tokens of each query's four best cells; some cells have none."""
+    found = _ranked(spark, d, 4).select(F.col("query_id").alias("chunk_id"), F.col("rank").alias("slot"), "cell_id")
+    tokens = table(spark, d, "embeddings").where("vec_id % 5 <> 2").select(F.col("vec_id").alias("cell_id"), F.array((F.col("vec_id") * 2).cast("long"), F.col("label").cast("long")).alias("tokens"))
+    return S.gathered(found, tokens)
+
+
+@query(f"""WITH {RANKED.format(n=3)}, n AS (SELECT query_id AS chunk_id, list(cell_id ORDER BY rank) AS real FROM r GROUP BY query_id)
+SELECT chunk_id, 'none' AS mode, list_transform(real, lambda c: NULL::BIGINT) AS neighbors FROM n UNION ALL SELECT chunk_id, 'real', real FROM n UNION ALL SELECT chunk_id, 'real1', list_transform(real, lambda c: real[1]) FROM n
+UNION ALL SELECT chunk_id, 'random', list_transform(real, lambda c, i: ('0x' || substring(md5('0:' || chunk_id || ':' || (i - 1)), 1, 8))::BIGINT % 500) FROM n""")
+def neighbor_modes(spark, d):
+    found = _ranked(spark, d, 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cell_id"))).alias("s"))
+    return S.neighbor_modes(found.select(F.col("query_id").alias("chunk_id"), F.transform("s", lambda x: x["cell_id"]).alias("neighbors")), 500)
+
+
+@query("""SELECT doc_id AS cell_id, lang, 'first' AS source FROM documents WHERE lang = 'en' UNION ALL SELECT page_id + (SELECT max(doc_id) + 1 FROM documents WHERE lang = 'en'), 'xx', 'second' FROM pages""")
+def joined_sources(spark, d):
+    return S.joined_sources(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("cell_id"), "lang"), table(spark, d, "pages").select(F.col("page_id").alias("cell_id"), F.lit("xx").alias("lang")))
+
+
+@query(f"""WITH {RANKED.format(n=10)}, x AS (SELECT DISTINCT query_id, query_id + (query_id // 100) % 2 AS target FROM r) SELECT x.query_id, x.target, min(rank)::INT AS rank FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.cell_id = x.target GROUP BY ALL""")
+def truth_ranks(spark, d):
+    """The rank of the cell that each query should find: its own, or for each second one the next."""
+    found = _ranked(spark, d, 10)
+    i = F.col("query_id")
+    return S.truth(found, found.select("query_id", (i + F.floor(i / 100) % 2).alias("target")).distinct())

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import activation, answercheck, answerflow, corpus, evaluation, factcheck, gates, geometry, governance, intents, lexical, mutation, splits
+from recollect.operators import activation, answercheck, answerflow, corpus, evaluation, factcheck, gates, geometry, governance, intents, lexical, mutation, reports, splits
 from recollect.operators import retrieval as R
 from recollect.sources import files
 from recollect.streaming import limits
@@ -199,6 +199,32 @@ def test_written_cells(spark):
         mutation.bound_ids(memories, ["mem-3", "absent"], "h")
 
 
+def test_verdicts_of_reports(spark):
+    six = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    r = spark.range(1).select(
+        reports.position_bias(six(0.6, 0, 0.1, 0.2, 0, 0.5), F.lit(1.0)).alias("a"),
+        reports.position_bias(six(0.6, 0, 0.35, 0.2, 0, 0.5), F.lit(1.0)).alias("b"),
+        reports.position_bias(six(0.4, 0, 0.35, 0.3, 0, 0.5), F.lit(1.0)).alias("c"),
+        reports.position_bias(six(0.6, 0, 0.1, 0.2, 0, 0.5), F.lit(0.01)).alias("d"),
+        reports.confusion_verdict(F.lit(0.9), F.lit(0.6)).alias("e"),
+        reports.confusion_verdict(F.lit(0.9), F.lit(0.3)).alias("f"),
+        reports.confusion_verdict(F.lit(0.2), F.lit(0.9)).alias("g"),
+        reports.decision_label(F.lit(True), F.lit("verify: x"), F.lit("y")).alias("h"),
+        reports.decision_label(F.lit(True), F.lit("gate"), F.lit("y")).alias("i"),
+        reports.decision_label(F.lit(False), F.lit(""), F.lit("y")).alias("j"),
+        reports.mode_verdict(F.lit("in Paris"), F.lit(False), F.array(F.lit("PARIS"))).alias("k"),
+        reports.agreement(F.lit(0.5), F.lit(0.51), 0.02).alias("l"),
+    ).first()
+    assert list(r) == ["POSITION_BIAS_CONFIRMED", "PARTIAL_POSITION_BIAS", "NO_POSITION_BIAS", "INCONCLUSIVE", "SEMANTIC", "MIXED", "NOISE", "silence_drift", "silence_rescue_reject", "grounded_via_rescue", "grounded", "match"]
+    plan = reports.training_plan(404_000_000, 400_000, 32, 256, 8_000_000_000, 9_000_000_000)
+    assert (plan["optimal"], plan["presented"], plan["notes"]) == (8_080_000_000, 3_276_800_000, ["target below the optimum", "less than one epoch"])
+    losses = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "mask string, loss double")
+    assert {x["mask"]: (x["n"], x["mean_loss"], x["stderr"]) for x in reports.masked_losses(losses).collect()} == {"a": (2, 2.0, 1.0), "b": (1, 2.0, None)}
+    hits, tokens = spark.createDataFrame([(1, 5, "a b"), (2, 6, "c")], "hit_id int, cell_id int, text string"), spark.createDataFrame([(6, [9, 9, 9])], "cell_id int, tokens array<int>")
+    got = {x["hit_id"]: x["tokens"] for x in splits.looked_up_tokens(hits, tokens, lambda t: F.transform(F.split(t, " "), lambda w: F.ascii(w)), 3).collect()}
+    assert got == {1: [97, 98, 0], 2: [9, 9, 9]}
+
+
 def test_token_blocks(spark):
     one = spark.range(1)
     ints = lambda *x: F.array(*map(F.lit, x))
