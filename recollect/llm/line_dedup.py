@@ -56,13 +56,15 @@ def drop_shared_lines(
     # joined by hash and document, then counted down: a line that stands everywhere is spread over its documents
     stays = lines.join(shared.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("first_id"))).groupBy("h", "first_id").agg(F.min("pos").alias("first_pos"))
     gone = lines.select("id", "pos", "h").join(stays, "h").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
-    said = lambda pos, h: F.concat(pos.cast("string"), F.lit(":"), h.cast("string"))
-    by_doc = gone.groupBy(F.col("id").alias("_l_id")).agg(F.collect_set(said(F.col("pos"), F.col("h"))).alias("_l_gone"))
+    by_doc = gone.groupBy(F.col("id").alias("_l_id")).agg(F.collect_set(F.struct("pos", "h")).alias("_l_gone"))
     joined = docs.drop("n_shared_lines").join(by_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_l_id")), "left")
-    # lines are known by place and hash; array_except looks these up in a hash set, so a text takes time in proportion to its lines
     joined = joined.withColumn("_l_all", F.when(F.col("_l_gone").isNotNull(), F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)))
-    kept = F.array_except(F.transform("_l_all", lambda line, i: said(i, _hash(line))), F.col("_l_gone"))
-    joined = joined.withColumn("_l_kept", F.transform(kept, lambda k: F.get("_l_all", F.substring_index(k, ":", 1).cast("int"))))
+    # lines are known by place and hash: a few are looked up in a list, many by array_except in a hash set, so that time stays in proportion to the lines
+    few = F.filter("_l_all", lambda line, i: ~F.array_contains(F.col("_l_gone"), F.struct(i.alias("pos"), _hash(line).alias("h"))))
+    said = lambda pos, h: F.concat(pos.cast("string"), F.lit(":"), h.cast("string"))
+    left = F.array_except(F.transform("_l_all", lambda line, i: said(i, _hash(line))), F.transform("_l_gone", lambda g: said(g["pos"], g["h"])))
+    many = F.transform(left, lambda k: F.get("_l_all", F.substring_index(k, ":", 1).cast("int")))
+    joined = joined.withColumn("_l_kept", F.when(F.size("_l_gone") <= 64, few).otherwise(many))
     text = F.when(F.col("_l_kept").isNotNull(), F.array_join("_l_kept", "\n")).otherwise(F.col(f"`{text_col}`"))
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_shared_lines"]
     return joined.select(*out, F.when(F.col("_l_kept").isNotNull(), F.size("_l_all") - F.size("_l_kept")).otherwise(0).cast("long").alias("n_shared_lines"))

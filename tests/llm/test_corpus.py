@@ -169,6 +169,13 @@ def test_line_dedup(spark):
     assert set(documents(spark, texts).columns) <= set(line_dedup.drop_shared_lines(documents(spark, texts)).columns)
 
 
+def test_many_shared_lines_in_one_document(spark):
+    shared = "\n".join(f"shared line number {i}" for i in range(200))
+    texts = [shared, "own words stand here\n" + shared + "\nand here too", shared + "\nlast words of it"]
+    got = {r["doc_id"]: (r["text"], r["n_shared_lines"]) for r in line_dedup.drop_shared_lines(documents(spark, texts, ["a", "b", "c"])).collect()}
+    assert got == {0: (shared, 0), 1: ("own words stand here\nand here too", 200), 2: ("last words of it", 200)}
+
+
 def test_sites_that_meet_in_one_register(spark):
     register = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit("s"), "source")), 57)
     sites = spark.range(600).select(F.concat(F.lit("site"), "id").alias("source")).groupBy(register).agg(F.sort_array(F.collect_list("source")).alias("s")).where(F.size("s") >= 3).first()["s"][:3]
