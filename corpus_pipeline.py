@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No SQL: a trained model and a tokenizer take part. Each stage is tested against a brute-force version.
+#: No SQL: a trained model and a tokenizer take part. The operators are tested against plain versions, packing by a round trip, and what the stages add to them by small cases.
 ORACLE_SQL = None
 
 
