@@ -6,21 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Function words that retrieval and answer verification drop.
-STOP_WORDS = """
-a an the is are was were be been being do does did have has had having of for to in on at by with from as and or but if then
-else than that this these those it its they them their he she his her him we our us you your i me my what which who whom whose
-when where why how not no yes can could would should may might must shall will won wont there here also such some any all each
-more most less least very only just even into onto about between during after before above below over under again still yet so
-because while until though although
-""".split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "have", "has", "had",
+    "having", "of", "for", "to", "in", "on", "at", "by", "with", "from", "as", "and", "or", "but", "if", "then", "else",
+    "than", "that", "this", "these", "those", "it", "its", "they", "them", "their", "he", "she", "his", "her", "him",
+    "we", "our", "us", "you", "your", "i", "me", "my", "what", "which", "who", "whom", "whose", "when", "where", "why",
+    "how", "not", "no", "yes", "can", "could", "would", "should", "may", "might", "must", "shall", "will", "won",
+    "wont", "there", "here", "also", "such", "some", "any", "all", "each", "more", "most", "less", "least", "very",
+    "only", "just", "even", "into", "onto", "about", "between", "during", "after", "before", "above", "below", "over",
+    "under", "again", "still", "yet", "so", "because", "while", "until", "though", "although",
+]
 # Function words that the pairwise fact check drops.
-FACT_STOP_WORDS = "the a an is are was were be been being for of on in to at and or our we this that by with as it its their there will have has had from".split()
+FACT_STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "for", "of", "on", "in", "to", "at", "and",
+    "or", "our", "we", "this", "that", "by", "with", "as", "it", "its", "their", "there", "will", "have", "has", "had",
+    "from",
+]
 # Markers of negation or cancellation.
-NEGATIONS = "not never no none cannot cant wont without failed fail cancelled canceled denied deny neither nor nothing".split()
+NEGATIONS = [
+    "not", "never", "no", "none", "cannot", "cant", "wont", "without", "failed", "fail", "cancelled", "canceled",
+    "denied", "deny", "neither", "nor", "nothing",
+]
 # Fixed values.
-WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
-MONTHS = "january february march april may june july august september october november december".split()
-SHORT_MONTHS = "jan feb mar apr jun jul aug sep sept oct nov dec".split()
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+SHORT_MONTHS = ["jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec"]
 # Words that stand for numbers.
 NUMBER_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
@@ -41,8 +51,11 @@ ANTONYMS = [
 # An obligation against a permission or an option.
 MODALS = [("must", "may"), ("must", "might"), ("shall", "may"), ("shall", "might"), ("required", "optional"), ("required", "may"), ("mandatory", "optional"), ("mandatory", "may")]
 # Titles that may stand before a name, and words that are no names.
-HONORIFICS = "king queen prince princess lord lady sir dame dr mr mrs ms ms. saint st st. mount mt mt. lake river cape the a an".split()
-NO_NAMES = "fact facts answer question context yes no".split()
+HONORIFICS = [
+    "king", "queen", "prince", "princess", "lord", "lady", "sir", "dame", "dr", "mr", "mrs", "ms", "ms.", "saint", "st",
+    "st.", "mount", "mt", "mt.", "lake", "river", "cape", "the", "a", "an",
+]
+NO_NAMES = ["fact", "facts", "answer", "question", "context", "yes", "no"]
 
 # What counts as a token, and as a run of capitalised words.
 TOKEN = "[A-Za-z0-9']+"
