@@ -89,17 +89,21 @@ def newest_history(spark, d):
     return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 20").select("user_id", "event_id")
 
 
-@query("""SELECT 3 AS top_layer, round(0.55 / 0.75, 6) AS top_share, true AS dominates""")
+@query("""WITH l AS (SELECT (user_id % 5)::INT AS layer, (avg(value) - 10) / (100 - 10) AS share FROM events GROUP BY ALL)
+SELECT arg_max(layer, share) AS top_layer, round(max(share), 6) AS top_share, max(share) >= 0.5 AS dominates FROM l""")
 def layer_attribution(spark, d):
-    losses = spark.createDataFrame([(1, 4.30), (2, 4.35), (3, 4.80)], "layer int, suppressed_loss double")
-    return evaluation.layer_attribution(losses, without=5.0, full=4.25)
+    """Values of events as losses with one of five layers switched off, between 100 without memory and 10 with all layers."""
+    losses = table(spark, d, "events").groupBy((F.col("user_id") % 5).cast("int").alias("layer")).agg(F.avg("value").alias("suppressed_loss"))
+    return evaluation.layer_attribution(losses, without=100.0, full=10.0)
 
 
-@query("""SELECT 4.4231 AS "none", 4.4148 AS random, 4.2445 AS "real", false AS ignorance_ok, true AS gap_ok, false AS ceiling_ok, false AS accepted""")
+@query("""WITH m AS (SELECT avg(value) FILTER (event_id % 3 = 0) AS n, avg(value) FILTER (event_id % 3 = 1) AS r, avg(value) FILTER (event_id % 3 = 2) AS t FROM events)
+SELECT round(n, 6) AS "none", round(r, 6) AS random, round(t, 6) AS "real", r - n >= 0.041 AS ignorance_ok, n - t >= 0.167 AS gap_ok, t <= 60 AS ceiling_ok, r - n >= 0.041 AND n - t >= 0.167 AND t <= 60 AS accepted FROM m""")
 def acceptance_gates(spark, d):
-    # fixed values: a published set of losses by mode
-    losses = spark.createDataFrame([("none", 4.4231), ("random", 4.4148), ("real", 4.2445)], "mode string, loss double")
-    return evaluation.acceptance(losses)
+    """Values of events as losses of three modes."""
+    third = F.col("event_id") % 3
+    mode = F.when(third == 0, "none").when(third == 1, "random").otherwise("real")
+    return evaluation.acceptance(table(spark, d, "events").select(mode.alias("mode"), F.col("value").alias("loss")), ceiling=60.0)
 
 
 @query("""SELECT round(avg(value), 6) AS mean_loss, round(stddev_samp(value) / sqrt(count(value)), 6) AS stderr, event_type AS mode FROM events GROUP BY event_type""")
