@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.decontaminate import find_contamination
 from recollect.llm.jaccard_join import jaccard_components
+from recollect.llm.license_scan import BASE, LEAST_PERCENT, RARE, TEMPLATES, WIDTH, needed, scan_licenses
 from recollect.llm.line_dedup import drop_shared_lines
 from recollect.llm.packing import pack_documents
 from recollect.llm import pii, secrets
@@ -73,7 +74,11 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_ppm": op10_ppm}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_ppm": op10_ppm, "op11_license_scan": op11_license_scan}
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -97,11 +102,32 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed_rules) = 0 AS kept, failed_rules FROM f"""
 
 
+def _licenses_sql() -> str:
+    """op11 in SQL, with the same templates."""
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+    rows = ",\n".join(f"({k}, '{label}', {quoted(text.split())}, {quoted(sorted({w for p in must for w in p.split()}))}, {quoted(f' {p} ' for p in must)}, {quoted(f' {p} ' for p in never)}, {needed(text.split())})" for k, (label, text, must, never) in enumerate(TEMPLATES))
+    base = " UNION ALL ".join(f"SELECT doc_id, p, '{label}' AS label FROM i WHERE w[p + 1:p + {len(p.split())}] = {quoted(p.split())}" for p, label in BASE)
+    return rf"""WITH a AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(t, label, words, asked, must, never, need) AS MATERIALIZED (VALUES {rows}),
+i AS MATERIALIZED (SELECT doc_id, w, unnest(range(len(w))) AS p FROM a), d AS (SELECT DISTINCT doc_id, w[p + 1] AS x FROM i), f AS (SELECT x, count(*) AS df FROM d GROUP BY x), v AS (SELECT DISTINCT x FROM (SELECT unnest(words) AS x FROM t)),
+nn AS (SELECT count(*) AS n FROM a), r AS (SELECT v.x, n // (coalesce(df, 0) + 1) AS r FROM v LEFT JOIN f ON f.x = v.x CROSS JOIN nn), g AS MATERIALIZED (SELECT x, CASE WHEN r = 0 THEN 0 ELSE length(bin(r)) END AS weight FROM r), wt AS (SELECT u.t, greatest(1, sum(weight)) AS total FROM (SELECT DISTINCT t, unnest(words) AS x FROM t) u JOIN g ON g.x = u.x GROUP BY u.t),
+k AS (SELECT a.doc_id, t.* FROM a JOIN t ON list_has_all(a.w, t.asked)), u AS (SELECT DISTINCT t, unnest(words) AS x FROM t), l AS (SELECT k.doc_id, k.t, u.x FROM k JOIN u ON u.t = k.t JOIN d ON d.doc_id = k.doc_id AND d.x = u.x JOIN g ON g.x = u.x QUALIFY row_number() OVER (PARTITION BY k.doc_id, k.t ORDER BY g.weight DESC, u.x) <= {RARE}),
+q AS (SELECT t, unnest(words) AS x, unnest(range(len(words))) AS q FROM t), h AS (SELECT doc_id, w[p + 1] AS x, p FROM i),
+b AS (SELECT l.doc_id, l.t, l.x, unnest([floor((p - q) / {WIDTH}) * {WIDTH}, floor((p - q + {WIDTH // 2}) / {WIDTH}) * {WIDTH} - {WIDTH // 2}])::BIGINT AS s, unnest([0, 1]) AS o FROM l JOIN h ON h.doc_id = l.doc_id AND h.x = l.x JOIN q ON q.t = l.t AND q.x = l.x),
+c AS (SELECT doc_id, b.t, s, o FROM b JOIN t ON t.t = b.t GROUP BY doc_id, b.t, s, o HAVING count(DISTINCT x) >= any_value(need)),
+y AS (SELECT c.doc_id, t.*, a.w[greatest(s, 0) + 1:s + len(words) + {2 * WIDTH}] AS part, ' ' || array_to_string(part, ' ') || ' ' AS said FROM c JOIN t ON t.t = c.t JOIN a ON a.doc_id = c.doc_id),
+z AS (SELECT DISTINCT y.doc_id, y.t, label, words, part FROM y WHERE len(list_filter(must, lambda m: contains(said, m))) = len(must) AND len(list_filter(never, lambda m: contains(said, m))) = 0),
+zz AS (SELECT doc_id, t, label, part, unnest(list_distinct(words)) AS x FROM z), m AS (SELECT doc_id, label, sum(weight) FILTER (list_contains(part, zz.x)) AS got, any_value(total) AS total FROM zz JOIN g ON g.x = zz.x JOIN wt ON wt.t = zz.t GROUP BY doc_id, zz.t, label, part HAVING got * 100 >= any_value(total) * {LEAST_PERCENT}), o AS ({base}), bb AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM o GROUP BY doc_id),
+j AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM o) GROUP BY doc_id), e AS (SELECT doc_id, max(got / total) AS share FROM m GROUP BY doc_id)
+SELECT a.doc_id, len(a.w)::BIGINT AS n_words, coalesce(bb.n, 0)::BIGINT AS n_base, bb.a::BIGINT AS first_word, bb.z::BIGINT AS last_word, coalesce(bb.labels, '') AS base_labels, coalesce(j.labels, '') AS labels, greatest(coalesce(e.share, 0), CASE WHEN bb.n > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM a LEFT JOIN bb ON bb.doc_id = a.doc_id LEFT JOIN j ON j.doc_id = a.doc_id LEFT JOIN e ON e.doc_id = a.doc_id"""
+
+
 # Where SQL can say the same. The others are tested against plain versions in tests/llm.
 ORACLES: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), r AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS m FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to FROM r""",
     "op6_quality_rules": _rules_sql(),
+    "op11_license_scan": _licenses_sql(),
     "op8_line_dedup": r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l), c AS (SELECT * FROM k WHERE len(regexp_extract_all(key, '[^\x20\x09-\x0D]+')) >= 3),
 s AS (SELECT key, min(doc_id) AS first FROM c GROUP BY key HAVING count(DISTINCT source) >= 3), g AS (SELECT c.doc_id, c.pos FROM c JOIN s USING (key) QUALIFY c.doc_id <> s.first OR row_number() OVER (PARTITION BY key, c.doc_id ORDER BY c.pos) > 1),
