@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm.decontaminate import find_contamination
+from recollect.llm.delta_lloyd import delta_lloyd
+from recollect.llm.hard_negatives import hard_negatives
 from recollect.llm.jaccard_join import jaccard_components
 from recollect.llm.license_scan import BASE, LEAST_PERCENT, RARE, TEMPLATES, WIDTH, needed, scan_licenses
 from recollect.llm.line_dedup import drop_shared_lines
@@ -78,7 +80,16 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_ppm": op10_ppm, "op11_license_scan": op11_license_scan}
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_line_dedup": op8_line_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_ppm": op10_ppm, "op11_license_scan": op11_license_scan, "op12_delta_lloyd": op12_delta_lloyd, "op13_hard_negatives": op13_hard_negatives}
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -122,12 +133,36 @@ j AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FR
 SELECT a.doc_id, len(a.w)::BIGINT AS n_words, coalesce(bb.n, 0)::BIGINT AS n_base, bb.a::BIGINT AS first_word, bb.z::BIGINT AS last_word, coalesce(bb.labels, '') AS base_labels, coalesce(j.labels, '') AS labels, greatest(coalesce(e.share, 0), CASE WHEN bb.n > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM a LEFT JOIN bb ON bb.doc_id = a.doc_id LEFT JOIN j ON j.doc_id = a.doc_id LEFT JOIN e ON e.doc_id = a.doc_id"""
 
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """op12 in SQL, a few tables per round."""
+    out = [f"v AS MATERIALIZED (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = {dims})", f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT v, sha256('2:' || vec_id) AS h FROM v ORDER BY h, v LIMIT {k}))"]
+    distance = "list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m)"
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(s) AS s FROM (SELECT vec_id, v, {{'d': ({distance})::BIGINT, 'c': c}} AS s FROM v, c{r}) GROUP BY vec_id)")
+        if r < rounds:
+            out.append(f"s{r} AS (SELECT c, i, sum(x)::BIGINT AS t, count(*) AS n FROM (SELECT s.c AS c, unnest(v) AS x, unnest(range({dims})) AS i FROM a{r}) GROUP BY c, i)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list(((t - ((t % n) + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM s{r} GROUP BY c) n ON n.c = c{r}.c)")
+    return f"WITH {', '.join(out)} SELECT vec_id, s.c::INTEGER AS cluster, s.d AS distance, (sum(s.d) OVER (PARTITION BY s.c))::BIGINT AS cluster_inertia, (sum(s.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(m, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = s.c"
+
+
+_NEGATIVES_SQL = f"""WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS s FROM e a JOIN e c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, c) <= 5)
+SELECT p.a AS anchor_id, p.c AS positive_id, (row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.s DESC, s.c))::INTEGER AS rank, s.c AS negative_id, p.s AS positive_score, s.s AS negative_score FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s QUALIFY rank <= 10"""
+
+
 # Where SQL can say the same. The others are tested against plain versions in tests/llm.
 ORACLES: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), r AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS m FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to FROM r""",
     "op6_quality_rules": _rules_sql(),
     "op11_license_scan": _licenses_sql(),
+    "op12_delta_lloyd": _lloyd_sql(),
+    "op13_hard_negatives": _NEGATIVES_SQL,
     "op8_line_dedup": r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l), c AS (SELECT * FROM k WHERE len(regexp_extract_all(key, '[^\x20\x09-\x0D]+')) >= 3),
 s AS (SELECT key, min(doc_id) AS first FROM c GROUP BY key HAVING count(DISTINCT source) >= 3), g AS (SELECT c.doc_id, c.pos FROM c JOIN s USING (key) QUALIFY c.doc_id <> s.first OR row_number() OVER (PARTITION BY key, c.doc_id ORDER BY c.pos) > 1),
