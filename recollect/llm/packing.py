@@ -53,6 +53,16 @@ def _encoding(ranks_path: str, pattern: str, added_path: str | None = None):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), enders
 
 
+@functools.lru_cache(2)
+def _tokenizer(json_path: str, plain: bool):
+    """The tokenizers file whose ids the ranks give; plain: strings of special tokens are ordinary text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(json_path)
+    tokenizer.encode_special_tokens = plain
+    return tokenizer
+
+
 def cut_points(enders: np.ndarray, ends: np.ndarray, total: int, length: int, spacing: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """(positions, penalties) of the allowed cuts of `total` tokens, without 0. enders: whether a token ends a sentence; ends: where documents end."""
     kind = np.full(total + 1, FORCED)
@@ -174,10 +184,13 @@ def pack_documents(
     added_tokens: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    json_path: str | None = None,
 ) -> DataFrame:
     """One row per piece of a document in a sequence of at most `length` tokens.
 
     tokenizer_path: the byte-level BPE as ranks (None: the public 50k file, whose ids are those of byte_bpe_50k.json).
+    json_path: a tokenizers file of the same ids (None: byte_bpe_50k.json); a text with a run of white space too long for the ranks'
+    pattern (about half a million characters) is encoded by it, whole.
     Strings of special tokens in a text are ordinary text; with added_tokens they are the ids of that file's added tokens,
     as tokenizers gives them without further options. Columns: doc_id, start (the document's ids before the piece),
     length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit), doc_tokens (with the end id), sequence_id
@@ -190,7 +203,8 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoding, enders = _encoding(tokenizer_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json") if added_tokens else None)
+        same = json_path or public_tokenizers.path("byte_bpe_50k.json")
+        encoding, enders = _encoding(tokenizer_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, same if added_tokens else None)
         packer = _Packer(length, TaskContext.get().partitionId() << 33, block)
         schema = pa.schema([(n, pa.string() if n == "cut" else pa.int64()) for n in (x.split()[0] for x in SCHEMA.split(", "))])
 
@@ -199,7 +213,12 @@ def pack_documents(
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.array([*encoding.encode(text.as_py() or "", allowed_special="all", disallowed_special=()), end_id], np.uint16)
+                text = text.as_py() or ""
+                try:
+                    ids = encoding.encode(text, allowed_special="all", disallowed_special=())
+                except ValueError:  # the pattern backtracks over a run of white space, and its stack is bounded
+                    ids = _tokenizer(same, not added_tokens).encode(text, add_special_tokens=False).ids
+                ids = np.array([*ids, end_id], np.uint16)
                 packer.add(doc_id.as_py(), ids, enders[ids])
                 if packer.size >= block and (rows := packer.pack(False)):
                     yield out(rows)
