@@ -16,6 +16,7 @@ Words are counted by a 64-bit hash. The `top` most frequent are looked up where
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -194,6 +195,24 @@ class Trie:
         return out
 
 
+class Model:
+    """What the tasks get: the counts of the pairs that are sent and those of frequent words. Each worker builds the trie of them, once, so that the driver holds the numbers alone."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, order: int, words: np.ndarray, times: np.ndarray):
+        self.key, self.n, self.order, self.words, self.times = key, n, order, words, times
+
+    @functools.cached_property
+    def trie(self) -> Trie:
+        return Trie(self.key, self.n, self.order)
+
+    @functools.cached_property
+    def frequent(self) -> tuple[HashIndex, np.ndarray]:
+        """(words to their places, log10 of the count at each place, plus one)."""
+        index = HashIndex()
+        index.add(self.words.view(np.uint64))
+        return index, np.log10(self.times + 1.0)
+
+
 def _parent(key: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The key of the same byte in the context without its oldest byte."""
     shorter = np.maximum(k - 1, 0).astype(np.uint64)
@@ -202,8 +221,8 @@ def _parent(key: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (shorter << np.uint64(56)) | (body & keep)
 
 
-def train_trie(counted: DataFrame, order: int, max_nodes: int) -> tuple[Trie, tuple[DataFrame, DataFrame] | None]:
-    """The trie of the counted bytes, of the contexts of the largest counts beyond `max_nodes` pairs; and, if it isn't all, the tables of all pairs (key, n) and contexts (c, total, distinct, sent: whether it is in the trie)."""
+def train_trie(counted: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray, tuple[DataFrame, DataFrame] | None]:
+    """Keys and counts of the trie of the counted bytes, of the contexts of the largest counts beyond `max_nodes` pairs; and, if it isn't all, the tables of all pairs (key, n) and contexts (c, total, distinct, sent: whether it is in the trie)."""
     key, n = F.col("key"), F.col("n")
     # a byte in a context counts in each shorter context too
     every = counted.where("kind = 0").select(F.explode(F.expr(_shorter(0))).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
@@ -218,13 +237,12 @@ def train_trie(counted: DataFrame, order: int, max_nodes: int) -> tuple[Trie, tu
             break
         held, least = held + m, b
     if least is None:
-        return Trie(np.zeros(0, np.uint64), np.zeros(0), order), None
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), None
     # a shorter context's count is no smaller, so the trie holds all shorter contexts of those it holds
     sizes = sizes.withColumn("sent", F.floor(2 * F.log2("total")) >= least)
     kept = every.join(sizes.where("sent").select("c"), context == F.col("c"), "left_semi")
     rows = kept.select("key", "n").toArrow()
-    trie = Trie(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), order)
-    return trie, None if held == sum(m for _, m in buckets) else (every, sizes)
+    return rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), None if held == sum(m for _, m in buckets) else (every, sizes)
 
 
 def _shorter(least: int) -> str:
@@ -254,7 +272,7 @@ def beyond_trie(asked: DataFrame, every: DataFrame, sizes: DataFrame, order: int
     down = missed.join(levels.groupBy("key").agg(*[F.max(F.when(at == k, F.col(f).cast("double"))).alias(f"{f}{k}") for k in range(1, order + 1) for f in fields]), "key", "left")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = sent.value[0]
+        trie = sent.value.trie
         for batch in batches:
             value = {name: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i, name in enumerate(batch.schema.names) if i}
             key = batch.column(0).to_numpy().view(np.uint64)
@@ -308,9 +326,9 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
     words = counted.where("kind = 1").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = most_frequent(words, top)
-    trie, tables = train_trie(counted, order, max_nodes)
-    sent = spark.sparkContext.broadcast((trie, frequent["key"].to_numpy(), frequent["n"].to_numpy()))
-    del trie
+    key, n, tables = train_trie(counted, max_nodes)
+    sent = spark.sparkContext.broadcast(Model(key, n, order, frequent["key"].to_numpy(), frequent["n"].to_numpy()))
+    del key, n
     whole = distinct == frequent.num_rows
     complete = tables is None
     scale = math.log10(total + distinct + 1)
@@ -320,10 +338,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=count))]).astype(np.int32)), pa.array(values.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, n = sent.value
-        index = HashIndex()
-        index.add(keys.view(np.uint64))
-        log_n = np.log10(n + 1.0)
+        trie, (index, log_n) = sent.value.trie, sent.value.frequent
         for part, data, offsets in chunks(batches, "text"):
             count = len(offsets) - 1
             s, bounds, h, row = symbols(data, offsets)
