@@ -3,7 +3,8 @@
 Three base patterns report by their own form. Beside them, runs that could be encoded material (base64, base64url, hex,
 PEM blocks, dotted tokens) are decoded and reported only if what they decode to has the structure of a secret: nested DER
 lengths that add up, length-prefixed SSH key fields that fill the blob, a signed token's JSON header that names its
-algorithm, or text that holds a base secret itself.
+algorithm, or text (UTF-8 or UTF-16) that holds a base secret itself or, encoded once more, up to three times, one of these. Armoured OpenPGP keys
+are reported if they begin with the packet of a secret key and their checksum holds; those without a checksum line are not.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)*")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*)*")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY[A-Z0-9 ]{0,20})-----((?:[A-Za-z0-9+/=\s\\:,]|-(?!----))*+)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----\s*(?:[A-Za-z]+: [^\n]*\n)*\s*([A-Za-z0-9+/\s]++={0,2}\s*)=([A-Za-z0-9+/]{4})\s*-----END PGP PRIVATE KEY BLOCK-----")
 _ENCRYPTED = re.compile(r"(?:\s|\\[nr])*Proc-Type:\s*4,ENCRYPTED(?:\s|\\[nr])+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}(?:\s|\\[nr])+")
 # the shortest base secret, token=abcdef, has 12 bytes: 16 letters in base64, 24 in hex
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -105,7 +107,8 @@ def is_key(data: bytes) -> bool:
         return scheme[0][0] == 0x06 and scheme[0][1].startswith(_SCHEMES)
     if tags[:1] != [0x02] or parts[0][1] not in (b"\0", b"\1"):
         return False
-    numbers = len(tags) >= 9 and all(t == 0x02 for t in tags[:9])
+    # nine numbers of an RSA key, six of a DSA key (version, p, q, g, public, private)
+    numbers = (len(tags) >= 9 or len(tags) == 6) and all(t == 0x02 for t in tags[:9])
     wrapped = tags[1:3] == [0x30, 0x04] and (der_items(parts[1][1]) or [(0, b"")])[0][0] == 0x06
     curve = tags[1:2] == [0x04] and len(parts[1][1]) in (28, 32, 48, 66)
     return numbers or wrapped or curve
@@ -115,7 +118,7 @@ def is_token(text: str) -> bool:
     """Whether dotted base64url parts begin with a JSON header that names an algorithm, and carry a JSON body or ciphertext."""
     parts = text.split(".")
     header = decoded(parts[0])
-    if len(parts) not in (3, 5) or header is None:
+    if len(parts) not in (3, 5) or header is None or (not parts[1] and len(parts) == 3):
         return False
     try:
         head = json.loads(header)
@@ -139,15 +142,29 @@ def token_length(text: str) -> int:
     return 0
 
 
-def holds_secret(data: bytes) -> bool:
-    """Whether bytes are printable text with a base secret or a signed token."""
+def as_text(data: bytes) -> str | None:
+    """Bytes as printable text: UTF-8, or UTF-16 in either order where every other byte of its ASCII part is 0; else None."""
+    order = "utf-16-le" if data[:2] == b"\xff\xfe" or data[1:8:2] == b"\0\0\0\0"[: len(data[1:8:2])] else "utf-16-be" if data[:2] == b"\xfe\xff" or data[0:8:2] == b"\0\0\0\0"[: len(data[0:8:2])] else "utf-8"
     try:
-        text = data.decode("ascii")
+        text = data.decode(order).removeprefix("\ufeff")
     except UnicodeDecodeError:
+        return None
+    return text if all(c.isprintable() or c in "\r\n\t" for c in text) else None
+
+
+def holds_secret(data: bytes, depth: int = 0) -> bool:
+    """Whether bytes are printable text with a base secret or a signed token, or with encoded text (up to DEPTH times) that holds one."""
+    text = as_text(data)
+    if text is None:
         return False
-    if not all(c.isprintable() or c in "\r\n\t" for c in text):
-        return False
-    return bool(base_spans(text)) or any(token_length(m[0]) for m in _TOKEN.finditer(text))
+    if base_spans(text) or any(token_length(m[0]) for m in _TOKEN.finditer(text)):
+        return True
+    return depth < DEPTH and any(secret_kind(inner, depth + 1) for pattern, decode in DECODERS for m in pattern.finditer(text) for inner in decode(m[0]))
+
+
+def secret_kind(data: bytes | None, depth: int = 0) -> str | None:
+    """What decoded bytes are: a key, text that holds a secret, or neither."""
+    return None if not data else "key" if is_key(data) else "encoded" if holds_secret(data, depth) else None
 
 
 def is_block(body: str) -> bool:
@@ -159,11 +176,29 @@ def is_block(body: str) -> bool:
     return is_key(decoded(body) or b"")
 
 
+def is_armour(body: str, checksum: str) -> bool:
+    """Whether the lines of an armoured block decode to packets of a secret key (tag 5 or 7) whose checksum is the one given."""
+    data = decoded(body)
+    if not data or not data[0] & 0x80 or (data[0] & 0x3F if data[0] & 0x40 else data[0] >> 2 & 0xF) not in (5, 7):
+        return False
+    crc = 0xB704CE
+    for byte in data:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    return (decoded(checksum) or b"") == crc.to_bytes(3)
+
+
 def from_hex(run: str) -> list[bytes]:
     """What a run of hex digits may stand for; one of odd length without its last or its first digit."""
     return [bytes.fromhex(x) for x in ([run[:-1], run[1:]] if len(run) % 2 else [run])]
 
 
+#: How often text found by decoding is decoded again. A run of n letters costs n * (1 + 3/4 + ...) at most.
+DEPTH = 3
+DECODERS = [(_RUN, lambda x: [decoded(x)]), (_HEX_RUN, from_hex)]
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of encoded candidates whose decoded structure is a secret's."""
     out = []
@@ -171,7 +206,8 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("token", m.start(), m.start() + n) for m in _TOKEN.finditer(text) if (n := token_length(m[0]))]
     if "-----BEGIN" in text:
         out += [("key", m.start(), m.end()) for m in _BLOCK.finditer(text) if is_block(m[2])]
-    for pattern, decode in ((_RUN, lambda x: [decoded(x)]), (_HEX_RUN, from_hex)):
+        out += [("key", m.start(), m.end()) for m in _ARMOUR.finditer(text) if is_armour(m[1], m[2])]
+    for pattern, decode in DECODERS:
         taken, at, added = sorted((s, e) for _, s, e in out), 0, []
         for m in pattern.finditer(text):  # both are in order, so one place moves along
             while at < len(taken) and taken[at][1] <= m.start():
@@ -179,8 +215,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             if at < len(taken) and taken[at][0] < m.end():
                 continue
             for data in decode(m[0]):
-                kind = data and ("key" if is_key(data) else "encoded" if holds_secret(data) else None)
-                if kind:
+                if kind := secret_kind(data):
                     added.append((kind, m.start(), m.end()))
                     break
         out += added

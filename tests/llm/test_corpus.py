@@ -220,6 +220,19 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack_documents(documents(spark, texts).where("false")).count() == 0
 
 
+def test_long_runs_are_packed(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [" " * 1_000_000 + "a", "\n" * 1_000_000 + "b", "c" * 1_000_000, "!" * 1_000_000, "<|endoftext|>" + " \n" * 600_000]
+    for added in (True, False):
+        tokenizer.encode_special_tokens = not added
+        n = [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+        rows = packing.pack_documents(documents(spark, texts), added_tokens=added).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("length")).orderBy("doc_id").collect()
+        assert [(r["doc_tokens"], r["length"]) for r in rows] == [(x, x) for x in n]
+
+
 def test_added_tokens_have_their_ids(spark, tmp_path):
     import public_tokenizers as P
     from recollect.llm.queries import op2_packing

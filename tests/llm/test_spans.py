@@ -111,6 +111,40 @@ def test_encrypted_keys_are_confirmed():
     assert secrets.confirmed_spans(text.replace("DEK-Info", "Info")) == []
 
 
+def test_more_forms_are_confirmed():
+    b64 = lambda b: base64.b64encode(b).decode()
+    kinds = lambda t: [k for k, _, _ in secrets.confirmed_spans(t)]
+    said = "für db: password=verysecret123"
+    for coded in (said.encode(), said.encode("utf-16-le"), said.encode("utf-16"), said.encode("utf-16-be"), b64(said.encode()).encode(), b64(b64(said.encode()).encode()).encode(), said.encode().hex().encode()):
+        assert kinds(f"x {b64(coded)} y") == ["encoded"]
+    plain = "für alle: dies ist ein gewöhnlicher Satz"
+    for coded in (plain.encode(), plain.encode("utf-16-le"), b64(plain.encode()).encode(), bytes(range(200, 256))):
+        assert kinds(f"x {b64(coded)} y") == []
+    dsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + i] * 20)) for i in range(5)))
+    for body, found in ((dsa, ["key"]), (der(0x30, der(2, b"\0") + der(2, bytes(20)) * 4), [])):
+        assert kinds(f"-----BEGIN DSA PRIVATE KEY-----\n{b64(body)}\n-----END DSA PRIVATE KEY-----") == found
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    direct = ".".join([part(json.dumps({"alg": "dir", "enc": "A128GCM"}).encode()), "", part(b"iv" * 6), part(b"cipher text"), part(b"tag" * 5)])
+    assert secrets.confirmed_spans(f"a {direct}.") == [("token", 2, 2 + len(direct))]
+    assert kinds(part(b'{"alg": "HS256"}') + "..c2lnbmF0dXJl") == []
+
+
+def test_armoured_keys_need_their_checksum():
+    packets = b"\xc5\x20" + bytes(range(32))
+    crc = 0xB704CE
+    for byte in packets:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    body, line = base64.b64encode(packets).decode(), base64.b64encode(crc.to_bytes(3)).decode()
+    for head in ("", "Version: 1\nComment: x y\n"):
+        text = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n{head}\n{body}\n={line}\n-----END PGP PRIVATE KEY BLOCK-----"
+        assert secrets.confirmed_spans(f"a {text}") == [("key", 2, 2 + len(text))]
+        assert secrets.confirmed_spans(text.replace(line, "AAAA")) == []
+    public = base64.b64encode(b"\xc6" + packets[1:]).decode()
+    assert secrets.confirmed_spans(text.replace(body, public)) == []
+
+
 def test_many_spans_take_time_in_proportion():
     import time
 
