@@ -8,7 +8,8 @@ from recollect.functions import text as X
 from recollect.operators import answercheck as A
 from recollect.operators import corpus, factcheck, lexical
 from recollect.operators import retrieval as R
-from recollect.session import table
+from recollect.session import release, scratch_path, table
+from recollect.sources.files import exists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,16 +81,31 @@ a AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, u
 sc AS (SELECT query_id, p.doc_id, sum(qtf * (CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.t) / avgdl))) AS score FROM a JOIN f USING (token) JOIN p USING (token) JOIN d ON d.doc_id = p.doc_id, st, mi GROUP BY query_id, p.doc_id HAVING score > 0)"""
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def document_index(spark, d):
+    """The index over the documents of a folder: built and saved once per application, then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes or not exists(spark, f"{_indexes[key]}/manifest"):
+        built = lexical.build_index(table(spark, d, "documents").select("doc_id", "text"))
+        folder = scratch_path(spark, "index")
+        lexical.save_index(built, folder)
+        release(built["tokenised"])
+        _indexes[key] = folder
+    return lexical.load_index(spark, _indexes[key])
+
+
 @query(f"""WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM sc QUALIFY rank <= 10""")
 def bm25_topk(spark, d):
-    index = lexical.build_index(table(spark, d, "documents").select("doc_id", "text"))
+    index = document_index(spark, d)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return lexical.bm25_topk(index, q).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"""SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_content('text')})) AS token FROM documents) GROUP BY token""")
 def document_frequency(spark, d):
-    return lexical.build_index(table(spark, d, "documents").select("doc_id", "text"))["terms"]
+    return document_index(spark, d)["terms"]
 
 
 def _queries_with_vectors(spark, d, words: bool):
@@ -106,7 +122,7 @@ def _cascade(spark, d, words):
     q = _queries_with_vectors(spark, d, words)
     e = table(spark, d, "embeddings")
     dense = R.topk(R.as_cells(e), q.select("query_id", "vector"), 5, by="act", include_silent=True)
-    index = lexical.build_index(table(spark, d, "documents").select("doc_id", "text"))
+    index = document_index(spark, d)
     out = lexical.cascade(index, q, R.as_cells(e), dense, 200, 5)
     return out.select("query_id", "rank", "cell_id", F.round("act", 6).alias("act"), "path")
 

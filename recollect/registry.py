@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recollect.plans import answers, changes, dense, reports, splits, tables, texts
+from recollect.plans import answers, changes, dense, memory, reports, splits, tables, texts
 
-QUERIES: dict = dense.QUERIES | answers.QUERIES | texts.QUERIES | changes.QUERIES | reports.QUERIES | splits.QUERIES | tables.QUERIES
-ORACLES: dict[str, str] = dense.ORACLES | answers.ORACLES | texts.ORACLES | changes.ORACLES | reports.ORACLES | splits.ORACLES | tables.ORACLES
+QUERIES: dict = dense.QUERIES | answers.QUERIES | texts.QUERIES | changes.QUERIES | reports.QUERIES | splits.QUERIES | tables.QUERIES | memory.QUERIES
+ORACLES: dict[str, str] = dense.ORACLES | answers.ORACLES | texts.ORACLES | changes.ORACLES | reports.ORACLES | splits.ORACLES | tables.ORACLES | memory.ORACLES
