@@ -8,43 +8,32 @@ which comes last, so that what a failed write leaves behind is never read. Entri
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.operators import lexical
-from recollect.sources.files import exists
-
-LOG = "seq long, kind string, path string"
+from recollect.sources.commits import CommitLog
 
 
 class Segments:
     """An index over (doc_id, text) in a folder that all executors share. One writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.commits = spark, CommitLog(spark, folder)
 
     def log(self) -> list[tuple[int, str, str]]:
         """(number, docs or gone, path) of the segments that count, in order: those from the last compaction on."""
-        path = f"{self.folder}/log"
-        rows = sorted(tuple(r) for r in self.spark.read.schema(LOG).json(path).collect()) if exists(self.spark, path) else []
+        rows = self.commits.entries()
         start = max([i for i, r in enumerate(rows) if r[1] == "compacted"], default=0)
         return [(seq, "docs" if kind == "compacted" else kind, at) for seq, kind, at in rows[start:]]
 
-    def _commit(self, kind: str, path: str, seq: int) -> None:
-        self.spark.range(1).select(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.lit(path).alias("path")).coalesce(1).write.mode("append").json(f"{self.folder}/log")
-
-    def _next(self) -> int:
-        return max([seq for seq, _, _ in self.log()], default=0) + 1
-
     def _write(self, postings: DataFrame, lengths: DataFrame, kind: str) -> None:
-        seq, path = self._next(), f"{self.folder}/segment-{uuid.uuid4().hex}"
+        path = self.commits.fresh()
         lengths.write.parquet(f"{path}/lengths")
         postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{path}/postings")
         written = self.spark.read.parquet(f"{path}/postings")
         written.groupBy("token").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
-        self._commit(kind, path, seq)
+        self.commits.append(kind, path)
 
     def add(self, texts: DataFrame) -> None:
         """A segment of the rows (doc_id, text), whose ids are in no live segment; delete them first."""
@@ -53,9 +42,9 @@ class Segments:
 
     def delete(self, ids: DataFrame) -> None:
         """ids: doc_id. Takes them out of all segments so far; ids that none holds do nothing."""
-        seq, path = self._next(), f"{self.folder}/segment-{uuid.uuid4().hex}"
+        path = self.commits.fresh()
         ids.select("doc_id").distinct().write.parquet(f"{path}/ids")
-        self._commit("gone", path, seq)
+        self.commits.append("gone", path)
 
     def _parts(self, name: str, log: list) -> DataFrame | None:
         out = None

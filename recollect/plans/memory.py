@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recollect.operators import lexical, multihop
+from recollect.operators import governance, lexical, multihop
 from recollect.operators import retrieval as R
 from recollect.operators.segments import Segments
 from recollect.plans.dense import RANKED
 from recollect.plans.texts import _BM25, _list, document_index
 from recollect.session import scratch_path, table
+from recollect.sources import commits as C
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,74 @@ def segmented_bm25(spark, d):
     s.add(docs.where("doc_id % 3 = 2 OR doc_id % 30 = 4"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return lexical.bm25_topk(s.open(), asked).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+def _bank(spark, d):
+    """A bank of the vectors with their documents' texts; each tenth cell rests on two others, which may be bound themselves."""
+    bank = C.LoggedBank(spark, scratch_path(spark, "bank"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("weight"), F.col("label").cast("string").alias("label"), F.lit(0.22).alias("theta"), F.when(F.col("vec_id") % 10 == 9, "bound").otherwise("single").alias("kind"), F.lit(0.0).alias("created_at"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("cell_id"), "text").join(e.select("cell_id"), "cell_id", "left_semi")
+    bound = F.col("cell_id")
+    edges = e.where("kind = 'bound'").select(bound.alias("bound_cell_id"), F.explode(F.array(F.floor(bound / 2).cast("long"), bound - 10)).alias("source_cell_id")).where("source_cell_id >= 0").distinct()
+    meta = spark.range(1).select(F.lit("dim").alias("key"), F.lit("64").alias("value"), F.lit(0.0).alias("ts"))
+    bank.commit(bank.write({"cells": e, "texts": texts, "edges": edges, "meta": meta}))
+    return bank
+
+
+_CLOSED = """c AS (SELECT vec_id AS cell_id, vec_id % 10 = 9 AS bound FROM embeddings), g AS (SELECT DISTINCT cell_id AS b, unnest([cell_id // 2, cell_id - 10]) AS s FROM c WHERE bound), f AS (SELECT cell_id FROM c WHERE NOT bound ORDER BY cell_id LIMIT 200),
+x AS (SELECT cell_id FROM c WHERE NOT bound AND cell_id NOT IN (SELECT cell_id FROM f) UNION SELECT g.b FROM x JOIN g ON g.s = x.cell_id), k AS (SELECT cell_id, bound FROM c WHERE cell_id IN (SELECT cell_id FROM f) OR bound AND cell_id NOT IN (SELECT cell_id FROM x))"""
+
+
+@query(f"""WITH RECURSIVE {_CLOSED} SELECT k.cell_id, CASE WHEN k.bound THEN 'bound' ELSE 'single' END AS kind, md5(text) AS text_md5, (SELECT count(*) FROM g WHERE g.b = k.cell_id AND g.s >= 0) AS n_sources FROM k LEFT JOIN documents ON doc_id = k.cell_id""")
+def subset_export(spark, d):
+    """The first 200 single cells and the bound cells that rest on them, read back from the exported bank."""
+    out = C.export_subset(_bank(spark, d), scratch_path(spark, "subset"), 200)
+    sources = out.table("edges").groupBy(F.col("bound_cell_id").alias("cell_id")).agg(F.count(F.lit(1)).alias("n_sources"))
+    cells = out.table("cells").join(out.table("texts"), "cell_id", "left").join(sources, "cell_id", "left")
+    return cells.select("cell_id", "kind", F.md5("text").alias("text_md5"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+
+
+@query("""SELECT vec_id AS cell_id, label::VARCHAR AS label, md5(text) AS text_md5 FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 10 <> 9 AND trim(text) <> ''""")
+def single_cell_texts(spark, d):
+    return C.single_texts(_bank(spark, d)).select("cell_id", "label", F.md5("text").alias("text_md5"))
+
+
+_ITEMS = r"""p AS (SELECT url, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10) || chr(10), 'g'), '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 80)) AS text FROM pages),
+i AS (SELECT DISTINCT translate(regexp_replace(regexp_extract(url, '([^/]*?)/*$', 1), '^(.+)\.[^.]*$', '\1'), '_-', '  ') AS label, text FROM p)"""
+
+
+@query(f"""WITH {_ITEMS} SELECT label, count(*) AS n_cells, sum(length(text))::BIGINT AS n_chars, sum(('0x' || substring(md5(text), 1, 8))::BIGINT)::BIGINT AS digest FROM i GROUP BY label""")
+def ledgered_load(spark, d):
+    """The paragraphs of all pages loaded as cells: half of them first, then all, then all again."""
+    bank = C.LoggedBank(spark, scratch_path(spark, "loaded"))
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.regexp_replace("html", "<[^>]*>", "\n\n").alias("text"))
+    for part in (pages.where("page_id % 2 = 0"), pages, pages):
+        C.load_once(bank, C.load_items(part.select("path", "text")))
+    cells = bank.table("cells").join(bank.table("texts"), "cell_id")
+    h = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
+    return cells.groupBy("label").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.sum(h).alias("digest"))
+
+
+_DRAFTS = r"""t AS (SELECT vec_id, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM embeddings JOIN documents ON doc_id = vec_id), b AS (SELECT DISTINCT k FROM t WHERE vec_id % 2 = 0),
+o AS (SELECT *, length(text) >= 40 AS accepted FROM t WHERE vec_id % 2 = 1), n AS (SELECT min(vec_id) AS vec_id FROM o WHERE accepted AND k <> '' AND k NOT IN (SELECT k FROM b) GROUP BY k), m AS (SELECT max(vec_id) AS top FROM embeddings WHERE vec_id % 2 = 0),
+a AS (SELECT count(*) AS proposed, count(*) FILTER (NOT accepted) AS rejected, count(*) FILTER (accepted) AS passed, sum(length(text))::BIGINT AS text_chars FROM o), f AS (SELECT count(*) AS added FROM n), z AS (SELECT min(vec_id) AS low FROM embeddings WHERE vec_id % 2 = 0)"""
+
+
+@query(f"""WITH {_DRAFTS} SELECT 'refused' AS source, proposed, 0::BIGINT AS added, rejected, passed - added AS duplicates, text_chars, true AS smoke_ran, false AS smoke_hit, low AS top_cell_id, NULL::BIGINT AS first_id, NULL::BIGINT AS last_id, false AS reload_required FROM a, f, z
+UNION ALL SELECT 'taken', proposed, added, rejected, passed - added, text_chars, true, true, top + 1, top + 1, top + added, true FROM a, f, m
+UNION ALL SELECT 'again', proposed, 0, rejected, passed, text_chars, false, false, NULL, NULL, NULL, false FROM a""")
+def committed_candidates(spark, d):
+    """Texts of odd ids as candidates for a bank of the even ones, three times: with a smoke query that finds another cell, with one that finds a new cell, and once more."""
+    bank = C.LoggedBank(spark, scratch_path(spark, "bank"))
+    e = table(spark, d, "embeddings")
+    t = e.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    even = e.where("vec_id % 2 = 0")
+    cells = even.select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("weight"), F.col("label").cast("string").alias("label"), F.lit(0.3).alias("theta"), F.lit("single").alias("kind"), F.lit(0.0).alias("created_at"))
+    bank.commit(bank.write({"cells": cells, "texts": t.where("vec_id % 2 = 0").select(F.col("vec_id").alias("cell_id"), "text")}))
+    drafts = t.where("vec_id % 2 = 1").select(F.col("vec_id").alias("draft_id"), "text", F.lit("draft").alias("label"), F.col("embedding").alias("weight"), (F.length("text") >= 40).alias("accepted"))
+    other = even.orderBy("vec_id").first()["embedding"]
+    kept = governance.new_texts_only(drafts.where("accepted").select("draft_id", "text"), bank.table("texts"))
+    own = drafts.join(kept.select("draft_id"), "draft_id", "left_semi").orderBy("draft_id").first()["weight"]
+    out = C.commit_candidates(bank, drafts, "refused", other, 1)
+    out = out.unionByName(C.commit_candidates(bank, drafts, "taken", own, 5))
+    return out.unionByName(C.commit_candidates(bank, drafts, "again"))
