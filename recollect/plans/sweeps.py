@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from recollect.operators import geometry
 from recollect.operators import sweep as W
-from recollect.session import table
+from recollect.operators import variants as X
+from recollect.plans.dense import _MOMENTS, _ROOT
+from recollect.session import stored, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +72,51 @@ def split_leakage(spark, d):
     by_group = e.where("group % 5 <> 0 OR row_id % 100 < 10").withColumn("part", F.when(F.col("group") % 5 != 0, "train").otherwise("test"))
     rows = W.split_leakage(by_row, 0.35).select(F.lit("rows").alias("split"), "*")
     return rows.unionByName(W.split_leakage(by_group, 0.35, disjoint=True).select(F.lit("groups").alias("split"), "*"))
+
+
+# Variants: a bank of the even ids, asked for cells of it as they are and mixed with their neighbours, and for others.
+_VARIANTS = ["raw", "centred", "zca"]
+_SPACES = f"""{_MOMENTS}, mx AS (SELECT cov AS a, trace AS scale FROM co), {_ROOT}, y AS (SELECT 'raw' AS variant, vec_id, x AS v FROM e UNION ALL SELECT 'centred', vec_id, x FROM xs UNION ALL SELECT 'zca', vec_id, w FROM wh),
+b AS (SELECT variant, vec_id AS cell_id, list_transform(v, lambda z: z / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS w FROM y WHERE vec_id % 2 = 0),
+k AS (SELECT vec_id AS query_id, CASE vec_id % 100 WHEN 0 THEN 'exact' WHEN 50 THEN 'paraphrase' WHEN 25 THEN 'near_miss' ELSE 'unrelated' END AS kind FROM e WHERE vec_id % 100 IN (0, 25, 50, 75)),
+m AS (SELECT p.variant, query_id, kind, CASE WHEN kind IN ('paraphrase', 'near_miss') THEN list_transform(list_zip(p.v, n.v), lambda z: 0.6 * z[1] + 0.4 * z[2]) ELSE p.v END AS v FROM k JOIN y p ON p.vec_id = query_id LEFT JOIN y n ON n.vec_id = query_id + 1 AND n.variant = p.variant),
+q AS (SELECT variant, query_id, kind, list_transform(v, lambda z: z / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS qv FROM m),
+s AS (SELECT b.variant, query_id, kind, cell_id, list_inner_product(qv, w) AS act FROM q JOIN b ON b.variant = q.variant),
+p AS (SELECT variant, query_id, any_value(kind) IN ('exact', 'paraphrase') AS positive, any_value(kind) AS kind, max(act) AS best, max(act) FILTER (cell_id = query_id) AS target FROM s GROUP BY variant, query_id),
+r AS (SELECT *, CASE WHEN positive THEN target ELSE best END AS score FROM p), z AS (SELECT variant, min(score) - 1e-9 AS lo, CASE WHEN max(score) <= min(score) - 1e-9 THEN min(score) + 1e-6 ELSE max(score) END + 1e-9 AS hi FROM r GROUP BY variant),
+g AS (SELECT variant, i, lo + (hi - lo) * i / 255 AS t FROM z, (SELECT unnest(range(256)) AS i)), w AS (SELECT g.variant, i, t, avg((score > t)::INT) FILTER (positive) AS recall, avg((score > t)::INT) FILTER (NOT positive) AS wrong FROM g JOIN r ON r.variant = g.variant GROUP BY g.variant, i, t),
+h AS (SELECT variant, t, wrong <= 0.1 AS feasible FROM w QUALIFY row_number() OVER (PARTITION BY variant ORDER BY (wrong <= 0.1) DESC, CASE WHEN wrong <= 0.1 THEN round(recall, 9) ELSE round(recall - wrong, 9) END DESC, CASE WHEN wrong <= 0.1 THEN round(wrong, 9) ELSE 0 END, i) = 1)"""
+
+
+def _spaces(spark, d):
+    """(cells, queries) in all variants, stored."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    white = geometry.fit_whitening(e, "v")
+    variants = {"raw": None, "centred": geometry.Whitening(white.mean, np.eye(len(white.mean)), 1.0, white.rows), "zca": white}
+    r = F.col("vec_id") % 100
+    asked = e.where(r.isin(0, 25, 50, 75)).withColumn("kind", F.when(r == 0, "exact").when(r == 50, "paraphrase").when(r == 25, "near_miss").otherwise("unrelated"))
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("next"))
+    mixed = F.when(F.col("kind").isin("paraphrase", "near_miss"), F.zip_with("v", "next", lambda a, b: 0.6 * a + 0.4 * b)).otherwise(F.col("v"))
+    asked = asked.join(following, "vec_id", "left").select(F.col("vec_id").alias("query_id"), "kind", F.when(F.col("kind").isin(*X.POSITIVE), F.col("vec_id")).alias("target_id"), mixed.alias("v"))
+    cells = stored(X.in_variants(e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "cell_id"), "cell_id", "v", variants), "cells")
+    queries = stored(X.in_variants(asked, "query_id", "v", variants, ("kind", "target_id")), "asked")
+    return cells, queries
+
+
+@query(f"""WITH RECURSIVE {_SPACES}, l AS (SELECT variant, quantile_cont(score, 0.05) AS low FROM r WHERE positive GROUP BY variant)
+SELECT r.variant, round(t, 6) AS threshold, feasible, round(avg((score > t)::INT) FILTER (kind = 'exact'), 6) AS exact_recall, round(avg((score > t)::INT) FILTER (kind = 'paraphrase'), 6) AS paraphrase_recall, round(avg((score > t)::INT) FILTER (kind = 'near_miss'), 6) AS near_miss_false_fires, round(avg((score > t)::INT) FILTER (kind = 'unrelated'), 6) AS unrelated_false_fires,
+round(avg((best <= t)::INT), 6) AS silence_rate, round(quantile_cont(score - t, 0.5) FILTER (positive), 6) AS median_positive_margin, round(quantile_cont(score - t, 0.05) FILTER (positive), 6) AS p05_positive_margin, round(quantile_cont(score - t, 0.95) FILTER (NOT positive), 6) AS p95_negative_margin, round(avg((score >= low)::INT) FILTER (NOT positive), 6) AS margin_overlap
+FROM r JOIN h USING (variant) JOIN l USING (variant) GROUP BY r.variant, t, feasible""")
+def variant_evaluation(spark, d):
+    """Recall, false fires and margins of each variant at its own best threshold."""
+    cells, queries = _spaces(spark, d)
+    return X.variant_report(X.variant_scores(cells, queries, _VARIANTS), queries.select("query_id", "kind"), _VARIANTS)
+
+
+@query(f"""WITH RECURSIVE {_SPACES}, f AS (SELECT s.variant, query_id, cell_id FROM s WHERE act > 0.4), c AS (SELECT variant, count(*) AS n FROM f GROUP BY variant), v AS (SELECT unnest(['raw', 'centred', 'zca']) AS a),
+x AS (SELECT f.variant AS a, o.variant AS b, count(*) AS n FROM f JOIN f o USING (query_id, cell_id) GROUP BY f.variant, o.variant)
+SELECT v.a, u.a AS b, coalesce(x.n, 0)::BIGINT AS in_both, (coalesce(ca.n, 0) + coalesce(cb.n, 0) - coalesce(x.n, 0))::BIGINT AS in_either FROM v, v u LEFT JOIN x ON x.a = v.a AND x.b = u.a LEFT JOIN c ca ON ca.variant = v.a LEFT JOIN c cb ON cb.variant = u.a""")
+def variant_overlap(spark, d):
+    """How many cells fire in two variants at once, at a threshold of 0.4."""
+    cells, queries = _spaces(spark, d)
+    return X.fired_overlap(cells, queries, {v: 0.4 for v in _VARIANTS})

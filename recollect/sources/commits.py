@@ -41,7 +41,7 @@ class CommitLog:
 class LoggedBank:
     """A bank whose changes are parts (folders of parquet tables) named by a commit log: all tables of a part count at once, or none does."""
 
-    SCHEMAS = {**{k: v for k, v in Bank.SCHEMAS.items()}, "whitening": "mean array<double>, matrix array<double>, scale double, rows long", "log": "op string, cell_id long, detail string, source string", "ledger": "item_hash string, cell_id long, source string"}
+    SCHEMAS = Bank.SCHEMAS | {"whitening": "mean array<double>, matrix array<array<double>>, max_norm double, rows long", "log": "op string, cell_id long, detail string, source string", "ledger": "item_hash string, cell_id long, source string"}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.commits = spark, CommitLog(spark, folder)
