@@ -154,6 +154,16 @@ def test_many_spans_take_time_in_proportion():
     assert time.time() - began < 10
 
 
+def test_numeric_texts_take_bounded_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    n = sum(1 for _ in pii.each_proposal("call " + "7 " * 100_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 700_000 and peak < 5 << 20
+
+
 def test_long_addresses_are_proposed_whole():
     name, domain = "n" * 90, " [dot] ".join(["part" * 20] * 8)
     text = f"{name} [at] {domain}"
