@@ -517,3 +517,14 @@ def test_pipeline(spark, data):
     made = whole(docs)
     assert set(made) == {r["doc_id"] for r in before.collect()} and all(n == tokens for n, tokens in made.values())
     assert whole(corpus_pipeline.run(spark, data)) == made
+
+
+def test_line_dedup_without_ids_and_with_any_names(spark):
+    line = "this line stands everywhere at last"
+    rows = [(i if i < 3 else None, f"own words {i} of text\n{line}\n{line}", f"site{i}", "a", "b") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _l_id string, h string")
+    out = line_dedup.drop_shared_lines(df)
+    assert out.columns == [*df.columns, "n_shared_lines"]
+    got = {r["text"].split("\n")[0]: (r["text"].count(line), r["n_shared_lines"]) for r in out.collect()}
+    first = min((r["h"], r["t"]) for r in df.where("doc_id IS NULL").select(F.xxhash64("text").alias("h"), F.col("text").alias("t")).collect())[1].split("\n")[0]
+    assert got == {f"own words {i} of text": (1, 1) if f"own words {i} of text" == first else (0, 2) for i in range(6)}
