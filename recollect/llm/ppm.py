@@ -309,7 +309,7 @@ def most_frequent(words: DataFrame, top: int) -> pa.Table:
     return words.where(bucket >= least if least is not None else F.lit(False)).select("key", "n").toArrow()
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000, top: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000, top: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) and one end. base_score adds log10((c + 1) / (N + V + 1)) over
@@ -339,7 +339,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 2_000_000,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, (index, log_n) = sent.value.trie, sent.value.frequent
-        for part, data, offsets in chunks(batches, "text"):
+        for part, data, offsets in chunks(batches, "text", 1 << 19):
             count = len(offsets) - 1
             s, bounds, h, row = symbols(data, offsets)
             packed, most = contexts(s, bounds, trie.order)
