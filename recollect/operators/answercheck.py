@@ -6,7 +6,7 @@ presentation. Nothing is shuffled: a row holds all that its verdict needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import anchor_form, bound, content_tokens, name_runs, numeric_strings, tokens
@@ -139,25 +139,22 @@ def rescue(rows: DataFrame, window: int = RESCUE_WINDOW, floor: float = RESCUE_F
 def claims(answers: DataFrame, id_col: str, column: str = "answer") -> DataFrame:
     """One row per claim: id, claim_index, start, end (code points), claim. Sentences end at .!?; and white space; clauses at dashes and at a comma with a conjunction. Short fragments and refusals are no claims.
 
-    A mark is put on either side of each end, so that fragments and ends alternate and lengths add up to places.
+    A match is a fragment with the end behind it; the places of fragments are the running sums of the matches' lengths, so that time is in
+    proportion to the number of claims. An answer's matches meet in one window.
     """
-    mark = "\u0001"
-    text = F.translate(F.coalesce(F.col(column), F.lit("")), mark, " ")
-    parts = F.split(F.regexp_replace(text, f"(?U)({SENTENCE_END}|{CLAUSE_END})", f"{mark}$1{mark}"), mark, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("out"))
-    placed = F.aggregate(parts, start, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), p.alias("part"))).alias("out")), lambda acc: acc["out"])
-    fragments = F.filter(placed, lambda x, i: i % 2 == 0)
-
-    def claim(x: Column) -> Column:
-        tail = F.regexp_replace(x["part"], r"(?U)^\s+", "")
-        first = x["at"] + F.length(x["part"]) - F.length(tail)
-        body = F.regexp_replace(tail, r"(?U)\s+$", "")
-        return F.struct(first.alias("start"), (first + F.length(body)).alias("end"), body.alias("claim"))
-
-    bare = lambda c: F.btrim(F.regexp_replace(c["claim"], CITATION, ""), F.lit(CLAIM_EDGES))
-    said = lambda c: (F.length(bare(c)) >= MIN_CLAIM) & ~F.exists(F.array(*map(F.lit, REFUSALS)), lambda r: F.contains(F.lower(bare(c)), r))
-    rows = answers.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.filter(F.transform(fragments, claim), said)).alias("claim_index", "c"))
-    return rows.select("id", "claim_index", "c.start", "c.end", "c.claim")
+    # the row is told from others of its id by a number of its own
+    text = F.coalesce(F.col(column), F.lit(""))
+    pattern = F.lit(rf"(?sU)(.*?)(?:{SENTENCE_END}|{CLAUSE_END}|\z)")
+    matches = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("part"), F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("n"))
+    cut = answers.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("id"), matches.alias("m")).select("_row", "id", F.posexplode("m").alias("i", "m")).select("_row", "id", "i", "m.part", "m.n")
+    w = Window.partitionBy("_row").orderBy("i")
+    placed = cut.withColumn("at", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    tail = F.regexp_replace("part", r"(?U)^\s+", "")
+    body = F.regexp_replace(tail, r"(?U)\s+$", "")
+    found = placed.select("_row", "id", "i", (F.col("at") + F.length("part") - F.length(tail)).alias("start"), body.alias("claim"))
+    bare = F.btrim(F.regexp_replace("claim", CITATION, ""), F.lit(CLAIM_EDGES))
+    said = found.withColumn("_bare", bare).where((F.length("_bare") >= MIN_CLAIM) & ~F.exists(F.array(*map(F.lit, REFUSALS)), lambda r: F.contains(F.lower("_bare"), r)))
+    return said.select("id", (F.row_number().over(w) - 1).alias("claim_index"), "start", (F.col("start") + F.length("claim")).alias("end"), "claim")
 
 
 def claim_support(claim_rows: DataFrame, cells: DataFrame) -> DataFrame:

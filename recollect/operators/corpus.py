@@ -106,6 +106,16 @@ def token_chunks(docs: DataFrame, length: int = 64) -> DataFrame:
     return touched.select("chunk_id", "doc_id", inside.alias("k")).groupBy("chunk_id").agg(F.sum("k").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
+def mixture_fill(docs: DataFrame, shares: dict[str, float], budget: int, order: list[str]) -> DataFrame:
+    """docs: source, n (tokens) and the columns of `order`. The union of several corpora under one token budget: each source gets its share, filled by documents in order while those before them leave room; others get nothing.
+
+    Adds start (the source's tokens before the document) and quota.
+    """
+    quotas = docs.sparkSession.createDataFrame([(k, int(v * budget)) for k, v in shares.items()], "source string, quota long")
+    chosen = docs.join(F.broadcast(quotas), "source")
+    return running_sums(chosen, order, "n", ["source"]).where(F.col("start") < F.col("quota"))
+
+
 def budget_fill(docs: DataFrame, budget: int, order: str = "doc_id") -> DataFrame:
     """Documents in order while the tokens before them stay below the budget."""
     t = docs.select("doc_id", order, F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("n")) if order != "doc_id" else docs.select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("n"))

@@ -108,9 +108,17 @@ def recommended(bars: DataFrame) -> DataFrame:
     return bars.select("foreign_p99", "positive_p10", clean.alias("clean_band"), F.when(clean, (F.col("foreign_p99") + F.col("positive_p10")) / 2).otherwise(F.col("foreign_p99")).alias("theta"))
 
 
-def selectivity_bound(dim: int, background: Column, t: Column) -> Column:
+def selectivity_bound(dim: Column | int, background: Column, t: Column) -> Column:
     """max(1 - (1 - t^2)^(dim / 2) / 2, 0) ^ background."""
-    return F.pow(F.greatest(1 - 0.5 * F.pow(1 - t * t, F.lit(dim / 2)), F.lit(0.0)), background)
+    half = (F.lit(dim) if isinstance(dim, int) else dim) / 2.0
+    return F.pow(F.greatest(1 - 0.5 * F.pow(1 - t * t, half), F.lit(0.0)), background)
+
+
+def bank_selectivity(cells: DataFrame) -> DataFrame:
+    """cells: theta, dim. Per threshold and dimension: n_cells, background (the bank's other cells) and the bound on the chance that one of these cells fires for none of them."""
+    groups = cells.groupBy("theta", "dim").agg(F.count(F.lit(1)).alias("n_cells"))
+    all_ = groups.agg((F.sum("n_cells") - 1).alias("background"))
+    return groups.join(F.broadcast(all_)).select("theta", "dim", "n_cells", "background", F.round(selectivity_bound(F.col("dim"), F.col("background"), F.col("theta")), 6).alias("bound"))
 
 
 def rejection_verdict(silence: Column) -> Column:

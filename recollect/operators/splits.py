@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,6 +188,21 @@ def characters(rows: DataFrame, column: str) -> DataFrame:
     return chars.withColumn("id", (F.row_number().over(Window.orderBy(F.hex("char"))) - 1).cast("int"))
 
 
+def character_codes(rows: DataFrame, key: str, column: str, share: float = 0.1) -> DataFrame:
+    """Texts as numbers of their alphabet, and their part in a split by position over all characters: key, start (characters before), codes, n_train (how many of them lie before the last `share`).
+
+    The alphabet is a constant of the plan, bounded by Unicode; it is the only thing that comes to the driver.
+    """
+    letters = {r["char"]: r["id"] for r in characters(rows, column).collect()}
+    text = F.coalesce(F.col(column), F.lit(""))
+    placed = running_sums(rows.select(key, text.alias("text"), F.length(text).cast("long").alias("n")), [key], "n")
+    cut = placed.agg((F.coalesce(F.sum("n"), F.lit(0)) - F.floor(F.coalesce(F.sum("n"), F.lit(0)) * share)).cast("long").alias("cut"))
+    codes = F.from_json(F.lit(json.dumps(letters)), "map<string,int>")
+    each = F.filter(F.split("text", ""), lambda c: c != "")
+    inside = F.greatest(F.least(F.col("n"), F.col("cut") - F.col("start")), F.lit(0))
+    return placed.join(F.broadcast(cut)).select(key, "start", F.transform(each, lambda c: codes[c]).alias("codes"), inside.alias("n_train"))
+
+
 def halves(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in shuffled order, the first half to fit on and the rest to measure on."""
     chosen = rows.select(key, shuffled_key(seed, F.col(key)).alias("_k")).orderBy("_k", key).limit(n)

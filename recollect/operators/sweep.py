@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions import vector as V
 from recollect.operators import activation, corpus, gates, geometry
 from recollect.session import stored
 
@@ -19,13 +20,19 @@ def drawn_number(key: Column, n: int) -> Column:
     return F.conv(F.substring(F.sha1(key), 1, 8), 16, 10).cast("long") % n
 
 
+def shuffled_ring(items: DataFrame, seed: int = 0) -> DataFrame:
+    """item_id, vector and place, from 0 in shuffled order; stored."""
+    keyed = items.select("item_id", "vector", corpus.shuffled_key(seed, F.col("item_id")).alias("_key"), F.lit(1).cast("long").alias("_one"))
+    return stored(corpus.running_sums(keyed, ["_key", "item_id"], "_one").select("item_id", "vector", F.col("start").alias("place")), "ring")
+
+
 def drawn_trials(items: DataFrame, sizes: list[int], others: int, share: int = 20, seed: int = 0) -> DataFrame:
     """items: item_id, vector. For each size m one trial per `share` items: m, trial, slot, is_item, item_id, vector.
 
     The items stand in a shuffled ring. A trial begins at a place that follows from its number; the next m are its items, the `others`
     after them must stay silent. Too few items for the largest trial are an error.
     """
-    ring = stored(corpus.running_sums(items.select("item_id", "vector", corpus.shuffled_key(seed, F.col("item_id")).alias("_key"), F.lit(1).cast("long").alias("_one")), ["_key", "item_id"], "_one").select("item_id", "vector", F.col("start").alias("place")), "ring")
+    ring = shuffled_ring(items, seed)
     n = ring.count()
     if n < max(sizes) + others:
         raise ValueError(f"{n} items are too few for {max(sizes)} and {others} others")
@@ -36,6 +43,18 @@ def drawn_trials(items: DataFrame, sizes: list[int], others: int, share: int = 2
     return placed.join(ring, "place").drop("place")
 
 
+def random_pairs(items: DataFrame, per_item: int = 1, seed: int = 0) -> DataFrame:
+    """items: item_id, vector. Per item and draw another item at a place of the shuffled ring that follows from the item's id: a_id, b_id, draw, cosine. No item is paired with itself; fewer than two give no pair."""
+    ring = shuffled_ring(items, seed)
+    n = ring.count()
+    if n < 2:
+        return ring.select(F.col("item_id").alias("a_id"), F.col("item_id").alias("b_id"), F.lit(0).alias("draw"), F.lit(0.0).alias("cosine")).limit(0)
+    drawn = ring.select("item_id", "vector", "place", F.explode(F.sequence(F.lit(0), F.lit(per_item - 1))).alias("draw"))
+    drawn = drawn.withColumn("to", (F.col("place") + 1 + drawn_number(F.concat_ws(":", "item_id", "draw"), n - 1)) % n)
+    other = ring.select(F.col("place").alias("to"), F.col("item_id").alias("b_id"), F.col("vector").alias("b"))
+    return drawn.join(other, "to").select(F.col("item_id").alias("a_id"), "b_id", "draw", V.cosine(F.col("vector"), F.col("b")).alias("cosine"))
+
+
 def anchored(anchor: np.ndarray) -> np.ndarray:
     """The cell of a single item before binding: on the unit sphere in its direction, so that it fires for items of any length above the threshold."""
     return anchor / max(np.linalg.norm(anchor), 1e-12)

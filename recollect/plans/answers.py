@@ -198,9 +198,9 @@ def _asked(spark, d, threshold: float) -> DataFrame:
     found = R.topk(R.as_cells(e), R.as_queries(e), 10, by="act", include_silent=True)
     label = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", "lang", "source"))
     sources = docs.select(F.col("doc_id").alias("cell_id"), F.when(F.col("doc_id") % 5 != 3, F.col("text")).alias("text"), label.alias("label"))
-    best = found.where("rank = 1").select("query_id", F.col("cell_id").alias("doc_id")).join(docs.select("doc_id", F.substring("text", 1, 200).alias("said")), "doc_id").select("query_id", "said")
+    best = found.where("rank = 1").select("query_id", F.col("cell_id").alias("doc_id")).join(docs.select("doc_id", F.col("text").alias("said")), "doc_id").select("query_id", "said")
     more = F.when(F.col("query_id") % 300 == 100, " and 1987 of Old Zanzibar").when(F.col("query_id") % 500 == 200, " said Ann Miller").otherwise("")
-    own = docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 120).alias("question"))
+    own = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     questions = R.as_queries(e).select("query_id").join(own, "query_id").join(best, "query_id").select("query_id", "question", F.concat("said", more).alias("draft"))
     return answerflow.answered(questions, found, sources, threshold)
 
@@ -215,7 +215,7 @@ sh AS (
     list(coalesce(trim(label), CASE WHEN coalesce(text, '') <> '' THEN substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) || CASE WHEN length(text) > 80 THEN '…' ELSE '' END END) ORDER BY rank) FILTER (rank <= 3) AS topics
   FROM hd GROUP BY query_id),
 qs AS (
-  SELECT r.query_id, substring(o.text, 1, 120) AS question, substring(b.text, 1, 200) || CASE WHEN r.query_id % 300 = 100 THEN ' and 1987 of Old Zanzibar' WHEN r.query_id % 500 = 200 THEN ' said Ann Miller' ELSE '' END AS answer
+  SELECT r.query_id, o.text AS question, b.text || CASE WHEN r.query_id % 300 = 100 THEN ' and 1987 of Old Zanzibar' WHEN r.query_id % 500 = 200 THEN ' said Ann Miller' ELSE '' END AS answer
   FROM r JOIN documents o ON o.doc_id = r.query_id JOIN documents b ON b.doc_id = r.cell_id WHERE r.rank = 1),
 an AS (SELECT qs.*, coalesce(cells, []) AS cells, lower(array_to_string(list_transform(coalesce(cells, []), lambda c: c.text), ' ')) AS blob, top1 - top2 AS margin, plausible, topics FROM qs JOIN sh USING (query_id)),
 {_CHECKED}, {_RESCUED.format(mark=_form("m"), form=_form("prim"), source="ve", act="cells[place].act")},

@@ -26,25 +26,25 @@ def query(sql: str):
 _MADE = """ins AS (
   SELECT conv_id * 1000 + turn AS seq, CASE (conv_id + turn) % 8
     WHEN 0 THEN 'remove ' || (conv_id % 40) || ': stale entry ' || turn
-    WHEN 1 THEN 'Remember that ' || substring(text, 1, 40)
+    WHEN 1 THEN 'Remember that ' || text
     WHEN 2 THEN '  show provenance '
     WHEN 3 THEN 'tombstone cell ' || (conv_id % 7) || ' because it is wrong'
     WHEN 4 THEN text
-    WHEN 5 THEN 'note: "' || substring(text, 1, 20) || '"'
+    WHEN 5 THEN 'note: "' || text || '"'
     WHEN 6 THEN 'remove ' || conv_id
     ELSE 'please forget mem_' || conv_id END AS text FROM conversations)"""
 
 
 def _instructions(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
-    n, said = F.col("conv_id").cast("string"), lambda k: F.substring("text", 1, k)
+    n = F.col("conv_id").cast("string")
     forms = {
         0: F.concat(F.lit("remove "), (F.col("conv_id") % 40).cast("string"), F.lit(": stale entry "), F.col("turn").cast("string")),
-        1: F.concat(F.lit("Remember that "), said(40)),
+        1: F.concat(F.lit("Remember that "), F.col("text")),
         2: F.lit("  show provenance "),
         3: F.concat(F.lit("tombstone cell "), (F.col("conv_id") % 7).cast("string"), F.lit(" because it is wrong")),
         4: F.col("text"),
-        5: F.concat(F.lit('note: "'), said(20), F.lit('"')),
+        5: F.concat(F.lit('note: "'), F.col("text"), F.lit('"')),
         6: F.concat(F.lit("remove "), n),
         7: F.concat(F.lit("please forget mem_"), n),
     }

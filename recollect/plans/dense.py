@@ -396,10 +396,13 @@ def build_cells(spark, d):
     return _vectors(spark, d).select(F.col("vec_id").alias("cell_id"), F.round(n, 6).alias("norm"), F.round(n - 0.05, 6).alias("theta_norm"), F.round(F.lit(1 - 0.05 / 0.9), 6).alias("cosine_bar"))
 
 
-@query("""SELECT b AS background, t::DOUBLE AS t, round(pow(greatest(1 - 0.5 * pow(1 - t * t, 32), 0), b), 6) AS bound FROM (SELECT unnest([100, 1000, 100000]) AS b), (SELECT unnest([0.22, 0.3, 0.5]) AS t)""")
+@query("""WITH c AS (SELECT CASE label % 3 WHEN 0 THEN 0.22 WHEN 1 THEN 0.30 ELSE 0.5 END::DOUBLE AS theta, len(embedding) AS dim FROM embeddings), g AS (SELECT theta, dim, count(*) AS n_cells FROM c GROUP BY theta, dim), n AS (SELECT count(*) AS n FROM c)
+SELECT theta, dim::INT AS dim, n_cells, n - 1 AS background, round(pow(greatest(1 - 0.5 * pow(1 - theta * theta, dim / 2.0), 0), n - 1), 6) AS bound FROM g, n""")
 def selectivity_bounds(spark, d):
-    g = spark.range(1).select(F.explode(F.array(*map(F.lit, (100, 1000, 100000)))).alias("background"), F.array(*map(F.lit, (0.22, 0.3, 0.5))).alias("ts")).select("background", F.explode("ts").alias("t"))
-    return g.select("background", "t", F.round(gates.selectivity_bound(64, F.col("background"), F.col("t")), 6).alias("bound"))
+    """How likely a cell is to stay silent for all others of the bank, by its threshold."""
+    theta = F.when(F.col("label") % 3 == 0, 0.22).when(F.col("label") % 3 == 1, 0.30).otherwise(0.5)
+    cells = _vectors(spark, d).select(theta.alias("theta"), F.size("embedding").alias("dim"))
+    return gates.bank_selectivity(cells)
 
 
 @query("""SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha1(concat('0:', vec_id)), vec_id) <= 5""")

@@ -30,12 +30,12 @@ _KINDS = ["exact", "paraphrase", "near_miss", "near_miss", "unrelated"]
 _PAIRED = """WITH fp AS (
   SELECT conv_id, turn, t || ' they must approve 12 units' AS query, CASE turn % 5 WHEN 0 THEN t || ' they must approve 12 units' WHEN 1 THEN 'must approve 12 units they' WHEN 2 THEN t || ' they must approve 15 units'
     WHEN 3 THEN t || ' they may approve 12 units' ELSE 'some other matter of ' || reverse(t) END AS candidate, (['exact', 'paraphrase', 'near_miss', 'near_miss', 'unrelated'])[1 + turn % 5] AS kind
-  FROM (SELECT conv_id, turn, lower(substring(text, 1, 60)) AS t FROM conversations))"""
+  FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations))"""
 _VERDICT = _PAIRED + ", de AS" + _TURNS.split(", de AS", 1)[1].replace("SELECT conv_id, turn,", "SELECT conv_id, turn, kind,", 1)
 
 
 def _pairs(spark, d) -> DataFrame:
-    c, t, k = table(spark, d, "conversations"), F.lower(F.substring("text", 1, 60)), F.col("turn") % 5
+    c, t, k = table(spark, d, "conversations"), F.lower("text"), F.col("turn") % 5
     said = lambda x: F.concat(t, F.lit(x))
     candidate = (
         F.when(k == 0, said(" they must approve 12 units")).when(k == 1, "must approve 12 units they").when(k == 2, said(" they must approve 15 units")).when(k == 3, said(" they may approve 12 units")).otherwise(F.concat(F.lit("some other matter of "), F.reverse(t)))

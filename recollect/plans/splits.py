@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.operators import corpus
 from recollect.operators import splits as S
 from recollect.plans.dense import RANKED, _ranked
 from recollect.session import table
@@ -98,12 +99,12 @@ def token_rules(spark, d):
     )
 
 
-@query("""WITH a AS (SELECT conv_id, array_to_string(list_transform(list_filter(list({'id': turn, 'text': CASE WHEN turn % 3 <> 1 THEN substring(text, 1, 30) END} ORDER BY turn), lambda c: c.text IS NOT NULL), lambda c: '[' || c.id || '] ' || c.text), chr(10)) AS facts,
-  array_to_string(list_filter(list(CASE WHEN turn % 3 <> 1 THEN '[' || (turn + 1) || '] ' || substring(text, 1, 30) END ORDER BY turn), lambda x: x IS NOT NULL), chr(10)) AS passages,
-  array_to_string(list_transform(list_filter(list({'id': turn, 'text': CASE WHEN turn % 3 <> 1 THEN substring(text, 1, 30) END} ORDER BY turn), lambda c: c.text IS NOT NULL), lambda c: '- (' || c.id || ') ' || c.text), chr(10)) AS body FROM conversations GROUP BY conv_id)
+@query("""WITH a AS (SELECT conv_id, array_to_string(list_transform(list_filter(list({'id': turn, 'text': CASE WHEN turn % 3 <> 1 THEN text END} ORDER BY turn), lambda c: c.text IS NOT NULL), lambda c: '[' || c.id || '] ' || c.text), chr(10)) AS facts,
+  array_to_string(list_filter(list(CASE WHEN turn % 3 <> 1 THEN '[' || (turn + 1) || '] ' || text END ORDER BY turn), lambda x: x IS NOT NULL), chr(10)) AS passages,
+  array_to_string(list_transform(list_filter(list({'id': turn, 'text': CASE WHEN turn % 3 <> 1 THEN text END} ORDER BY turn), lambda c: c.text IS NOT NULL), lambda c: '- (' || c.id || ') ' || c.text), chr(10)) AS body FROM conversations GROUP BY conv_id)
 SELECT conv_id, md5('FACTS:' || chr(10) || facts || chr(10) || chr(10) || 'QUESTION: why?' || chr(10) || chr(10) || 'Answer using only the FACTS above, with citations.') AS prompt_md5, md5(passages) AS passages_md5, md5('From memory:' || chr(10) || body) AS answer_md5 FROM a""")
 def prompts_and_answers(spark, d):
-    cell = F.struct(F.col("turn").alias("cell_id"), F.when(F.col("turn") % 3 != 1, F.substring("text", 1, 30)).alias("text"))
+    cell = F.struct(F.col("turn").alias("cell_id"), F.when(F.col("turn") % 3 != 1, F.col("text")).alias("text"))
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     return c.select("conv_id", F.md5(S.facts_prompt(F.lit("why?"), F.col("cells"))).alias("prompt_md5"), F.md5(S.passages(F.col("cells"))).alias("passages_md5"), F.md5(S.memory_answer(F.col("cells"))["text"]).alias("answer_md5"))
 
@@ -165,3 +166,21 @@ def truth_ranks(spark, d):
     found = _ranked(spark, d, 10)
     i = F.col("query_id")
     return S.truth(found, found.select("query_id", (i + F.floor(i / 100) % 2).alias("target")).distinct())
+
+
+@query("""WITH w AS (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n FROM documents), z AS (SELECT * FROM (VALUES ('en', 0.5), ('de', 0.3), ('fr', 0.2)) t(lang, share)), b AS (SELECT sum(n) // 4 AS budget FROM w),
+p AS (SELECT w.*, floor(share * budget)::BIGINT AS quota, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM w JOIN z USING (lang), b) SELECT lang, doc_id, n, start, quota FROM p WHERE start < quota""")
+def corpus_mixture(spark, d):
+    """Documents of three languages under a budget of a quarter of all words."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    w = table(spark, d, "documents").select(F.col("lang").alias("source"), "doc_id", F.size(words).cast("long").alias("n"))
+    budget = w.agg(F.sum("n")).first()[0] // 4
+    return corpus.mixture_fill(w, {"en": 0.5, "de": 0.3, "fr": 0.2}, budget, ["doc_id"]).select(F.col("source").alias("lang"), "doc_id", "n", "start", "quota")
+
+
+@query("""WITH c AS (SELECT char, (row_number() OVER (ORDER BY hex(encode(char))) - 1) AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM benchmark) WHERE char <> ''), m AS (SELECT map(list(char), list(id)) AS codes FROM c),
+t AS (SELECT item_id, text, length(text) AS n, coalesce(sum(length(text)) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sum(length(text)) OVER () AS total FROM benchmark)
+SELECT item_id, start, md5(array_to_string(list_transform(string_split(text, ''), lambda x: codes[x]), ',')) AS codes_md5, greatest(least(n, total - floor(total * 0.1) - start), 0)::BIGINT AS n_train FROM t, m""")
+def character_codes(spark, d):
+    """Benchmark items as numbers of their alphabet, nine tenths of the characters to train on."""
+    return S.character_codes(table(spark, d, "benchmark"), "item_id", "text").select("item_id", "start", F.md5(F.array_join("codes", ",")).alias("codes_md5"), "n_train")

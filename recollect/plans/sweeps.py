@@ -40,6 +40,14 @@ def _items(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY sha1('0:' || vec_id), vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings), d AS (SELECT *, unnest([0, 1]) AS draw FROM n), p AS (SELECT *, (place + 1 + ('0x' || substring(sha1(vec_id || ':' || draw), 1, 8))::BIGINT % (n - 1)) % n AS t FROM d)
+SELECT p.vec_id AS a_id, n.vec_id AS b_id, draw, round(list_cosine_similarity(p.x, n.x), 6) AS cosine FROM p JOIN n ON n.place = p.t""")
+def random_pairs(spark, d):
+    """Two random partners per vector, the baseline for confused pairs."""
+    p = W.random_pairs(_items(spark, d), 2)
+    return p.withColumn("cosine", F.round("cosine", 6))
+
+
 _STAR = "greatest(CASE WHEN sqrt(w.m) * 0.95 * (0.95 + 0.05 * (w.m - 1)) > 0 THEN (0.95 ^ 3 - 0.05 * (w.m - 1)) / (sqrt(w.m) * 0.95 * (0.95 + 0.05 * (w.m - 1))) ELSE 0 END * 0.9, 0)"
 
 
