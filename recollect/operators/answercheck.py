@@ -136,6 +136,25 @@ def rescue(rows: DataFrame, window: int = RESCUE_WINDOW, floor: float = RESCUE_F
     return d.withColumn("outcome", outcome).withColumn("support_rank", F.when(found, F.col("support_rank"))).drop("_primary", "_marks")
 
 
+def rank_support(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows: the keys, question, answer, cells and forms. One row per cell in its place (rank, from 0): the answer's new names and the question's anchors that stand in it, whether it holds all of the names (supports_all), and whether it alone bears the answer out (validates: an anchor too)."""
+    d = rows.select(*keys, "cells", "forms", novel_entities(F.col("answer"), F.col("question")).alias("_new"), F.transform(anchors(F.col("question")), anchor_form).alias("_marks"))
+    d = d.select(*keys, "_new", "_marks", F.posexplode(F.arrays_zip("cells", "forms")).alias("rank", "_c")).select(*keys, "rank", F.col("_c.cells.cell_id").alias("cell_id"), F.col("_c.cells.text").alias("_text"), F.col("_c.forms").alias("_form"), "_new", "_marks")
+    names = F.transform(F.filter("_new", lambda n: F.contains(F.col("_form"), n["norm"])), lambda n: n["span"])
+    marks = F.filter("_marks", lambda m: (m != "") & F.contains(F.col("_form"), m))
+    d = d.select(*keys, "rank", "cell_id", (F.coalesce("_text", F.lit("")) != "").alias("has_text"), names.alias("names"), marks.alias("anchors"), ((F.size("_new") > 0) & (F.size(names) == F.size("_new"))).alias("supports_all"))
+    return d.withColumn("validates", F.col("supports_all") & (F.size("anchors") > 0))
+
+
+def verified_answer(candidates: Column) -> Column:
+    """candidates: structs (cell_id, text, accepted), in order. What may be said from those accepted: a struct of text, cited and refused. Others are neither said nor cited, however loudly they fired."""
+    kept = F.filter(candidates, lambda c: c["accepted"])
+    lines = F.transform(kept, lambda c: F.concat(F.lit("- ("), c["cell_id"].cast("string"), F.lit(") "), F.coalesce(c["text"], F.lit(""))))
+    silent = F.size(kept) == 0
+    text = F.when(silent, "Memory is silent: no candidate was verified as a match.").otherwise(F.concat(F.lit("From verified memory:\n"), F.array_join(lines, "\n")))
+    return F.struct(text.alias("text"), F.transform(kept, lambda c: c["cell_id"]).alias("cited"), silent.alias("refused"))
+
+
 def claims(answers: DataFrame, id_col: str, column: str = "answer") -> DataFrame:
     """One row per claim: id, claim_index, start, end (code points), claim. Sentences end at .!?; and white space; clauses at dashes and at a comma with a conjunction. Short fragments and refusals are no claims.
 
@@ -169,11 +188,3 @@ def claim_support(claim_rows: DataFrame, cells: DataFrame) -> DataFrame:
     first = F.get(F.filter("_cells", lambda c: F.forall(F.col("signals"), lambda s: F.contains(c["form"], s))), F.lit(0))["cell_id"]
     d = d.withColumn("skipped", F.size("signals") == 0).withColumn("supporter", F.when(~F.col("skipped"), first))
     return d.withColumn("ok", F.col("skipped") | F.col("supporter").isNotNull()).drop("_cells")
-
-
-def two_pass(first: DataFrame, second: DataFrame) -> DataFrame:
-    """first, second: query_id, outcome and others alike. The second pass answers where the first kept silent and the second didn't."""
-    s = second.select("query_id", F.struct(*[c for c in second.columns if c != "query_id"]).alias("_s"))
-    j = first.join(s, "query_id", "left")
-    use = (F.col("outcome") == "silence") & (F.col("_s.outcome") != "silence")
-    return j.select("query_id", *[F.when(use, F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in first.columns if c != "query_id"], F.coalesce(use, F.lit(False)).alias("from_second"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as X
 from recollect.operators import answercheck as A
-from recollect.operators import answerflow
+from recollect.operators import answerflow, reports
 from recollect.operators import retrieval as R
 from recollect.plans.dense import RANKED
 from recollect.plans.sql import content, numerics, tokens, word_list
@@ -175,6 +175,30 @@ def claim_support(spark, d):
     return A.claim_support(rows, a.select("id", "cells")).select("id", "claim_index", "skipped", "supporter", "ok")
 
 
+_RANKS = f"""{_ANSWERS}, {_named("an")}, k AS (SELECT conv_id, turn, cells, forms, novel, list_transform(marks, lambda m: {_form("m")}) AS marked, unnest(range(len(cells)))::INT AS rank FROM nm),
+v AS (SELECT conv_id, turn, rank, cells[rank + 1].cell_id AS cell_id, cells[rank + 1].text AS text, list_transform(list_filter(novel, lambda r: contains(forms[rank + 1], r.norm)), lambda r: r.span) AS names, list_filter(marked, lambda m: m <> '' AND contains(forms[rank + 1], m)) AS anchors, len(novel) AS n FROM k),
+su AS (SELECT *, n > 0 AND len(names) = n AS supports_all FROM v)"""
+
+
+@query(f"""WITH {_RANKS} SELECT conv_id, turn, rank, cell_id, coalesce(text, '') <> '' AS has_text, array_to_string(names, '|') AS names, array_to_string(list_sort(anchors), '|') AS anchors, supports_all, supports_all AND len(anchors) > 0 AS validates FROM su""")
+def rank_support(spark, d):
+    """What each cell of an answer holds of its names and of the question's anchors."""
+    r = A.rank_support(_answers(spark, d), ["conv_id", "turn"])
+    return r.withColumns({"names": F.array_join("names", "|"), "anchors": F.array_join(F.array_sort("anchors"), "|")})
+
+
+@query(f"""WITH {_RANKS}, z AS (SELECT conv_id, turn, list({{'c': cell_id, 't': text}} ORDER BY rank) FILTER (supports_all AND len(anchors) > 0) AS kept FROM su GROUP BY conv_id, turn)
+SELECT conv_id, turn, kept IS NULL AS refused, coalesce(array_to_string(list_transform(kept, lambda k: k.c), ','), '') AS cited, md5(CASE WHEN kept IS NULL THEN 'Memory is silent: no candidate was verified as a match.' ELSE 'From verified memory:' || chr(10) || array_to_string(list_transform(kept, lambda k: '- (' || k.c || ') ' || coalesce(k.t, '')), chr(10)) END) AS text_md5 FROM z""")
+def verified_answers(spark, d):
+    """Answers from the cells that bear them out alone; none where no cell does."""
+    answers = _answers(spark, d)
+    texts = answers.select("conv_id", "turn", F.explode("cells").alias("c")).select("conv_id", "turn", "c.cell_id", "c.text")
+    r = A.rank_support(answers, ["conv_id", "turn"]).select("conv_id", "turn", "rank", "cell_id", "validates").join(texts, ["conv_id", "turn", "cell_id"])
+    g = r.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("rank", "cell_id", "text", F.col("validates").alias("accepted")))).alias("c"))
+    said = g.select("conv_id", "turn", A.verified_answer(F.col("c")).alias("a"))
+    return said.select("conv_id", "turn", "a.refused", F.array_join(F.transform("a.cited", lambda c: c.cast("string")), ",").alias("cited"), F.md5("a.text").alias("text_md5"))
+
+
 _RESCUED = """rs AS (
   SELECT *, CASE WHEN len(marks) > 0 THEN novel[1].span END AS prim, list_transform(marks, lambda m: {mark}) AS marked FROM {source}),
 rp AS (SELECT *, {form} AS pf FROM rs),
@@ -198,11 +222,16 @@ def _asked(spark, d, threshold: float) -> DataFrame:
     found = R.topk(R.as_cells(e), R.as_queries(e), 10, by="act", include_silent=True)
     label = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", "lang", "source"))
     sources = docs.select(F.col("doc_id").alias("cell_id"), F.when(F.col("doc_id") % 5 != 3, F.col("text")).alias("text"), label.alias("label"))
+    return answerflow.answered(_drafts(spark, d, found), found, sources, threshold)
+
+
+def _drafts(spark, d, found) -> DataFrame:
+    """query_id, question and draft."""
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
     best = found.where("rank = 1").select("query_id", F.col("cell_id").alias("doc_id")).join(docs.select("doc_id", F.col("text").alias("said")), "doc_id").select("query_id", "said")
     more = F.when(F.col("query_id") % 300 == 100, " and 1987 of Old Zanzibar").when(F.col("query_id") % 500 == 200, " said Ann Miller").otherwise("")
     own = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
-    questions = R.as_queries(e).select("query_id").join(own, "query_id").join(best, "query_id").select("query_id", "question", F.concat("said", more).alias("draft"))
-    return answerflow.answered(questions, found, sources, threshold)
+    return R.as_queries(e).select("query_id").join(own, "query_id").join(best, "query_id").select("query_id", "question", F.concat("said", more).alias("draft"))
 
 
 def _flow(threshold: float, name: str) -> str:
@@ -256,3 +285,15 @@ def outcome_accuracy(spark, d):
     known = F.when(F.col("query_id") % 200 == 0, "known").otherwise("foreign")
     rows = _asked(spark, d, 0.015).select(known.alias("class"), "outcome").withColumn("expected", F.when(F.col("class") == "known", "grounded").otherwise("silence"))
     return answerflow.accuracy_by_class(rows, "class", "expected")
+
+
+@query(f"""WITH {RANKED.format(n=10)}, {_flow(0.015, "fl")}, e AS (SELECT CASE WHEN NOT given THEN {_OUTCOME} WHEN fires THEN 'grounded_normal' ELSE 'grounded_via_rescue' END AS decision, contains(lower(answer), 'und') OR contains(lower(answer), 'the') AS kw_hit FROM fl),
+f AS (SELECT *, decision = 'grounded_via_rescue' AS rescued, decision IN ('grounded_via_rescue', 'grounded_normal') AS grounded FROM e)
+SELECT count(*) AS n, count(*) FILTER (grounded) AS grounded, count(*) FILTER (grounded AND kw_hit) AS grounded_kw_hit, count(*) FILTER (grounded AND NOT kw_hit) AS grounded_kw_miss, count(*) FILTER (rescued AND kw_hit) AS rescued_kw_hit, count(*) FILTER (rescued AND NOT kw_hit) AS rescued_kw_miss FROM f""")
+def pipeline_multihop_counts(spark, d):
+    """How the answer pipeline's questions end, and whether the drafts given hold one of two words."""
+    e = table(spark, d, "embeddings")
+    found = R.topk(R.as_cells(e), R.as_queries(e), 10, by="act", include_silent=True)
+    said = _drafts(spark, d, found).select("query_id", (F.contains(F.lower("draft"), F.lit("und")) | F.contains(F.lower("draft"), F.lit("the"))).alias("kw_hit"))
+    label = F.when(F.col("outcome") != "grounded", F.col("outcome")).when(F.col("fires"), "grounded_normal").otherwise("grounded_via_rescue")
+    return reports.multihop_counts(_asked(spark, d, 0.015).select("query_id", label.alias("decision")).join(said, "query_id"))

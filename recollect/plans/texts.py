@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.functions import text as X
-from recollect.operators import answercheck as A
-from recollect.operators import corpus, factcheck, lexical
+from recollect.operators import answerflow, corpus, factcheck, lexical
 from recollect.operators import retrieval as R
 from recollect.session import release, scratch_path, table
 from recollect.sources.files import exists
@@ -238,7 +237,8 @@ def two_pass_fallback(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("query_id"), "value")
     one = e.select("query_id", F.when(F.col("value") < 10, "silence").otherwise("answer").alias("outcome"))
     two = e.where("value < 10").select("query_id", F.when(F.col("value") * 2 < 15, "silence").otherwise("answer").alias("outcome"))
-    return A.two_pass(one, two)
+    silent = (F.col("outcome") == "silence").alias("silent")
+    return answerflow.two_passes(one.select("*", silent), two.select("*", silent)).select("query_id", "outcome", "from_second")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)

@@ -329,3 +329,24 @@ def test_small_columns(spark):
     assert r["a"] == 0 and r["b"] == pytest.approx(0.2281, abs=1e-3) and r["c"] == pytest.approx(3 / 13)
     assert (r["d"]["kind"], r["d"]["cell_id"], r["d"]["reason"]) == ("remove", 4, "it is old") and r["e"]["confidence"] == 1.0 and r["f"] == "ambiguous"
     assert geometry.theta_star(1, 0.0, 0.0) == 1.0
+
+
+def test_support_per_rank_and_verified_answers(spark):
+    cells = [(7, "Ann Lee runs the old mill in Zürich."), (8, None), (9, "Ann Lee met Bob Roy at the mill.")]
+    rows = spark.createDataFrame([("What does the mill of Ann Lee make?", "It was Bob Roy who came.", cells), ("why?", "because", cells[:1])], "question string, answer string, cells array<struct<cell_id:long,text:string>>")
+    rows = rows.withColumn("forms", answercheck.cell_forms(F.col("cells"))).withColumn("k", F.monotonically_increasing_id())
+    got = answercheck.rank_support(rows, ["question"]).where("question LIKE 'What%'").orderBy("rank").collect()
+    assert [(r["cell_id"], r["has_text"], r["names"], r["anchors"], r["supports_all"], r["validates"]) for r in got] == [(7, True, [], ["ann lee"], False, False), (8, False, [], [], False, False), (9, True, ["Bob Roy"], ["ann lee"], True, True)]
+    c = spark.createDataFrame([([(1, "loud", False), (2, "true", True), (3, None, True)],), ([(1, "loud", False)],), ([],)], "c array<struct<cell_id:long,text:string,accepted:boolean>>")
+    said = [r["a"] for r in c.select(answercheck.verified_answer(F.col("c")).alias("a")).collect()]
+    assert [(a["cited"], a["refused"]) for a in said] == [([2, 3], False), ([], True), ([], True)] and said[0]["text"] == "From verified memory:\n- (2) true\n- (3) "
+
+
+def test_many_claims_take_time_in_proportion(spark):
+    import time
+
+    text = " ".join(f"This is claim number {i} of the answer." for i in range(16_000))
+    began = time.time()
+    rows = answercheck.claims(spark.createDataFrame([(1, text), (1, "One\x01two and three of them. " * 2)], "id long, answer string"), "id").collect()
+    assert time.time() - began < 20 and len(rows) == 16_002
+    assert all(r["claim"] == (text if r["claim_index"] > 1 or "claim number" in r["claim"] else "One\x01two and three of them. " * 2)[r["start"] : r["end"]] for r in rows)
