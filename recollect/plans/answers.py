@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as X
 from recollect.operators import answercheck as A
-from recollect.operators import answerflow, reports
+from recollect.operators import answerflow, intents, reports, splits
 from recollect.operators import retrieval as R
 from recollect.plans.dense import RANKED
 from recollect.plans.sql import content, numerics, tokens, word_list
@@ -297,3 +297,41 @@ def pipeline_multihop_counts(spark, d):
     said = _drafts(spark, d, found).select("query_id", (F.contains(F.lower("draft"), F.lit("und")) | F.contains(F.lower("draft"), F.lit("the"))).alias("kw_hit"))
     label = F.when(F.col("outcome") != "grounded", F.col("outcome")).when(F.col("fires"), "grounded_normal").otherwise("grounded_via_rescue")
     return reports.multihop_counts(_asked(spark, d, 0.015).select("query_id", label.alias("decision")).join(said, "query_id"))
+
+
+@query(f"""WITH {RANKED.format(n=10)}, {_flow(0.015, "fl")}, w AS (SELECT *, {_WHY} AS why, coalesce(looked_at AND grounded AND NOT fires, false) AS tried FROM fl)
+SELECT query_id, CASE WHEN given AND tried THEN 'grounded_via_rescue' WHEN given THEN 'grounded_normal' WHEN starts_with(why, 'verify') THEN 'silence_drift' WHEN tried THEN 'silence_rescue_reject' ELSE 'silence_gate' END AS decision,
+  CASE WHEN NOT given THEN 'silence' WHEN contains(lower(answer), 'und') OR contains(lower(answer), 'the') THEN 'grounded' ELSE 'wrong' END AS mode FROM w""")
+def decision_labels(spark, d):
+    """The label of each question's outcome, and whether what is said holds one of two words."""
+    e = table(spark, d, "embeddings")
+    found = R.topk(R.as_cells(e), R.as_queries(e), 10, by="act", include_silent=True)
+    j = _asked(spark, d, 0.015).select("query_id", "silent", "reason", "rescue").join(_drafts(spark, d, found), "query_id")
+    return j.select("query_id", reports.decision_label(F.col("silent"), F.col("reason"), F.col("rescue")).alias("decision"), reports.mode_verdict(F.col("draft"), F.col("silent"), F.array(F.lit("und"), F.lit("the"))).alias("mode"))
+
+
+@query(f"""WITH {RANKED.format(n=10)} SELECT query_id, array_to_string(list(cell_id ORDER BY rank) FILTER (act > 0.22 AND cell_id % 2 = 0), ',') AS kept, count(*) FILTER (cell_id % 2 = 0)::INT AS n_claimed FROM r GROUP BY query_id""")
+def claims_within_fired(spark, d):
+    """Of the even ids that an answer claims, those that have fired."""
+    e = table(spark, d, "embeddings")
+    found = R.topk(R.as_cells(e), R.as_queries(e), 10, by="act", include_silent=True)
+    g = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cell_id", "fired"))).alias("s"))
+    ids = lambda cond: F.transform(F.filter("s", cond), lambda x: x["cell_id"])
+    claimed = ids(lambda x: x["cell_id"] % 2 == 0)
+    kept = intents.within_fired(claimed, ids(lambda x: x["fired"]))
+    return g.select("query_id", F.nullif(F.array_join(F.transform(kept, lambda c: c.cast("string")), ","), F.lit("")).alias("kept"), F.size(claimed).alias("n_claimed"))
+
+
+@query(r"""SELECT conv_id, turn, coalesce(nullif(list_filter(list_transform(regexp_split_to_array('  ' || chr(10) || 'Sub-Question: SUBQUESTION ' || CASE WHEN turn % 3 = 0 THEN '' ELSE text END || chr(13) || chr(10) || CASE WHEN turn % 2 = 0 THEN 'next' ELSE '' END, '\r\n|[\n\r]'), lambda x: trim(regexp_replace(trim(x), '(?i)^\s*(SUB-?QUESTION\s*:?\s*)+', ''))), lambda x: x <> '')[1], ''), role) AS question FROM conversations""")
+def sub_questions(spark, d):
+    """The first line of a rewritten question that says something, else the question itself."""
+    said = F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text"))
+    raw = F.concat(F.lit("  \nSub-Question: SUBQUESTION "), said, F.lit("\r\n"), F.when(F.col("turn") % 2 == 0, "next").otherwise(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", splits.sub_question(raw, F.col("role")).alias("question"))
+
+
+@query(r"""SELECT conv_id, turn, md5('{"said": {"text": "' || regexp_replace(text, '[{}]', '', 'g') || '"}}') AS json_md5 FROM conversations""")
+def json_in_answers(spark, d):
+    """From the first brace to the last one of an answer with words around."""
+    said = F.concat(F.lit('Sure: {"said": {"text": "'), F.regexp_replace("text", "[{}]", ""), F.lit('"}} and\nno more'))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.first_json(said)).alias("json_md5"))

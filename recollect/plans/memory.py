@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.functions import vector as V
 from recollect.operators import governance, lexical, multihop
 from recollect.operators import retrieval as R
 from recollect.operators.segments import Segments
@@ -11,6 +12,7 @@ from recollect.plans.dense import RANKED
 from recollect.plans.texts import _BM25, _list, document_index
 from recollect.session import scratch_path, table
 from recollect.sources import commits as C
+from recollect.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +144,42 @@ def committed_candidates(spark, d):
     out = C.commit_candidates(bank, drafts, "refused", other, 1)
     out = out.unionByName(C.commit_candidates(bank, drafts, "taken", own, 5))
     return out.unionByName(C.commit_candidates(bank, drafts, "again"))
+
+
+def _plain_bank(spark, d):
+    bank, logged = files.Bank(spark, scratch_path(spark, "plain")), _bank(spark, d)
+    for name in ("cells", "texts", "edges"):
+        bank.append(name, logged.table(name))
+    return bank
+
+
+@query("""SELECT count(*) AS n_cells, count(*) FILTER (vec_id % 10 = 9) AS n_bound, max(len(embedding))::INT AS dim, max(vec_id) AS last_id FROM embeddings""")
+def bank_info(spark, d):
+    return _plain_bank(spark, d).info()
+
+
+@query("""SELECT vec_id AS cell_id, label::VARCHAR AS label, 'bound' AS kind FROM embeddings WHERE vec_id % 10 = 9 ORDER BY vec_id LIMIT 15 OFFSET 5""")
+def bank_page(spark, d):
+    """The second page of the bound cells."""
+    return _plain_bank(spark, d).page(15, 5, "bound").select("cell_id", "label", "kind")
+
+
+@query("""SELECT vec_id AS cell_id, 'bound' AS kind, md5(text) AS text_md5, array_to_string(list_sort(list_distinct([vec_id // 2, vec_id - 10])), ',') AS sources FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id = 59""")
+def bank_cell(spark, d):
+    """One cell with its text and what it rests on."""
+    return _plain_bank(spark, d).cell(59).select("cell_id", "kind", F.md5("text").alias("text_md5"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@query("""SELECT doc_id, md5(text) AS text_md5 FROM documents""")
+def base64_texts(spark, d):
+    """Texts from their base64 payloads."""
+    return table(spark, d, "documents").select("doc_id", F.md5(files.from_base64(F.base64(F.encode("text", "utf-8")))).alias("text_md5"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM e)
+SELECT vec_id, round(n, 5) AS norm, list_transform(v, lambda x: round(x / n, 5) + 0.0) AS unit, list_transform(v, lambda x: round(0.9 * x / n, 5) + 0.0) AS at_radius FROM n""")
+def normal_vectors(spark, d):
+    """Vectors of several lengths at unit length, and at the radius of the bank."""
+    v = table(spark, d, "embeddings").select("vec_id", V.scale(F.col("embedding"), 1 + F.col("vec_id") % 5).alias("v"))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 5) + 0.0)
+    return v.select("vec_id", F.round(V.norm(F.col("v")), 5).alias("norm"), rounded(V.unit(F.col("v"))).alias("unit"), rounded(V.to_radius(F.col("v"), 0.9)).alias("at_radius"))
