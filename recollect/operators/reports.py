@@ -165,6 +165,14 @@ def multihop_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def multihop_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """rows: margin, outcome (with the gate open) and kw_hit. Per gate threshold: n, grounded, grounded_kw_hit, grounded_kw_miss (confidently wrong), silence_gate and silence_drift. A question below the threshold is silent at the gate, whatever its draft."""
+    at = F.explode(F.array(*map(F.lit, thresholds)))
+    seen = rows.select("margin", "outcome", "kw_hit", at.alias("threshold")).withColumn("now", F.when(F.coalesce(F.col("margin") >= F.col("threshold"), F.lit(False)), F.col("outcome")).otherwise("silence_gate"))
+    is_ = lambda o: F.col("now") == o
+    return seen.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_("grounded")).alias("grounded"), F.count_if(is_("grounded") & F.col("kw_hit")).alias("grounded_kw_hit"), F.count_if(is_("grounded") & ~F.col("kw_hit")).alias("grounded_kw_miss"), F.count_if(is_("silence_gate")).alias("silence_gate"), F.count_if(is_("silence_drift")).alias("silence_drift"))
+
+
 def chunk_tallies(chunks: DataFrame, cutoff: float) -> DataFrame:
     """chunks: low_share, skipped, top1. Per kind of chunk (low: low_share from the cutoff on): total, retrieved, and the three most frequent first cells among the retrieved (by count, then name)."""
     low = F.when(F.col("low_share") >= cutoff, "low").otherwise("high")

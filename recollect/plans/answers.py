@@ -335,3 +335,15 @@ def json_in_answers(spark, d):
     """From the first brace to the last one of an answer with words around."""
     said = F.concat(F.lit('Sure: {"said": {"text": "'), F.regexp_replace("text", "[{}]", ""), F.lit('"}} and\nno more'))
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.first_json(said)).alias("json_md5"))
+
+
+@query(f"""WITH {RANKED.format(n=10)}, {_flow(-10, "fl")}, e AS (SELECT margin, {_OUTCOME} AS outcome, contains(lower(answer), 'und') OR contains(lower(answer), 'the') AS kw_hit FROM fl), t AS (SELECT unnest([0.0, 0.005, 0.01, 0.02, 0.05, 0.5]::DOUBLE[]) AS threshold),
+x AS (SELECT threshold, kw_hit, CASE WHEN coalesce(margin >= threshold, false) THEN outcome ELSE 'silence_gate' END AS now FROM e, t)
+SELECT threshold, count(*) AS n, count(*) FILTER (now = 'grounded') AS grounded, count(*) FILTER (now = 'grounded' AND kw_hit) AS grounded_kw_hit, count(*) FILTER (now = 'grounded' AND NOT kw_hit) AS grounded_kw_miss, count(*) FILTER (now = 'silence_gate') AS silence_gate, count(*) FILTER (now = 'silence_drift') AS silence_drift FROM x GROUP BY threshold""")
+def multihop_sweep(spark, d):
+    """What becomes of the pipeline's questions at several gates."""
+    e = table(spark, d, "embeddings")
+    found = R.topk(R.as_cells(e), R.as_queries(e), 10, by="act", include_silent=True)
+    said = _drafts(spark, d, found).select("query_id", (F.contains(F.lower("draft"), F.lit("und")) | F.contains(F.lower("draft"), F.lit("the"))).alias("kw_hit"))
+    rows = _asked(spark, d, -10.0).select("query_id", F.col("gate_margin").alias("margin"), "outcome").join(said, "query_id")
+    return reports.multihop_sweep(rows, [0.0, 0.005, 0.01, 0.02, 0.05, 0.5])
