@@ -135,22 +135,25 @@ class Trie:
     def __init__(self, key: np.ndarray, n: np.ndarray, order: int):
         """key: (order, context, byte) as _key packs them, each once; n: its count."""
         self.order = order
-        key, n = key.astype(np.uint64), n.astype(np.float64)
-        context = key >> np.uint64(8)
-        own, inverse = np.unique(context, return_inverse=True)
-        total, distinct = np.bincount(inverse, n, len(own)), np.bincount(inverse, minlength=len(own)).astype(float)
+        key, n = np.asarray(key, np.uint64), np.asarray(n, np.float64)
+        own, place = np.unique(key >> np.uint64(8), return_inverse=True)
+        self.place = place.astype(np.int32)  # of each pair's context
+        del place
+        total, distinct = np.bincount(self.place, n, len(own)), np.bincount(self.place, minlength=len(own)).astype(float)
         self.pairs, self.contexts = HashIndex(), HashIndex()
         self.pairs.add(mix(key + np.uint64(1)))
         self.contexts.add(mix(own + np.uint64(1)))
-        self.log_n, self.log_first = np.log10(n - 0.5), np.log10(total)[inverse]
-        self.escape = np.log10(distinct / 2) - np.log10(total)
+        self.log_n, self.log_total = np.log10(n - 0.5), np.log10(total)
+        self.escape = np.log10(distinct / 2) - self.log_total
         # in the parent, without what this context has seen
-        k = (key >> np.uint64(56)).astype(np.int64)
-        at = self.pairs.find(mix(_parent(key, k) + np.uint64(1)))
-        parent = self.contexts.find(mix((_parent(key, k) >> np.uint64(8)) + np.uint64(1)))
-        seen_there = np.bincount(inverse, np.where((at >= 0) & (k > 0), n[at], 0), len(own))
-        of = np.full(len(own), -1)
-        of[inverse] = np.where(k > 0, parent, -1)
+        longer = (key >> np.uint64(56)) > 0
+        up = _parent(key, (key >> np.uint64(56)).astype(np.int64))
+        at = self.pairs.find(mix(up + np.uint64(1)))
+        seen_there = np.bincount(self.place, np.where((at >= 0) & longer, n[at], 0), len(own))
+        del at
+        of = np.full(len(own), -1, np.int32)
+        of[self.place] = np.where(longer, self.contexts.find(mix((up >> np.uint64(8)) + np.uint64(1))), -1)
+        del up, longer
         left_n = np.where(of >= 0, total[of] - seen_there, 0)
         left_d = np.where(of >= 0, distinct[of] - distinct, 0)
         with np.errstate(divide="ignore"):
@@ -177,7 +180,7 @@ class Trie:
                 j = self.pairs.find(mix(_key(k, low, s[at]) + np.uint64(1)))
                 hit = j >= 0
                 a, jj = at[hit], j[hit]
-                out[a] += self.log_n[jj] - np.where(np.isnan(norm[a]), self.log_first[jj], norm[a])
+                out[a] += self.log_n[jj] - np.where(np.isnan(norm[a]), self.log_total[self.place[jj]], norm[a])
                 a, low = at[~hit], low[~hit]
                 c = self.contexts.find(mix(((np.uint64(k) << np.uint64(48)) | low) + np.uint64(1)))
                 known = c >= 0
@@ -203,7 +206,9 @@ class Model:
 
     @functools.cached_property
     def trie(self) -> Trie:
-        return Trie(self.key, self.n, self.order)
+        key, n = self.key, self.n
+        self.key = self.n = None  # the trie holds all of them
+        return Trie(key, n, self.order)
 
     @functools.cached_property
     def frequent(self) -> tuple[HashIndex, np.ndarray]:
@@ -309,7 +314,7 @@ def most_frequent(words: DataFrame, top: int) -> pa.Table:
     return words.where(bucket >= least if least is not None else F.lit(False)).select("key", "n").toArrow()
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000, top: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_500_000, top: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) and one end. base_score adds log10((c + 1) / (N + V + 1)) over
@@ -339,7 +344,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, (index, log_n) = sent.value.trie, sent.value.frequent
-        for part, data, offsets in chunks(batches, "text", 1 << 19):
+        for part, data, offsets in chunks(batches, "text", 1 << 18):
             count = len(offsets) - 1
             s, bounds, h, row = symbols(data, offsets)
             packed, most = contexts(s, bounds, trie.order)
