@@ -146,12 +146,16 @@ def rank_support(rows: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumn("validates", F.col("supports_all") & (F.size("anchors") > 0))
 
 
+# What an answer from verified cells says.
+NOTHING_VERIFIED, VERIFIED = "Memory is silent: no candidate was verified as a match.", "From verified memory:"
+
+
 def verified_answer(candidates: Column) -> Column:
     """candidates: structs (cell_id, text, accepted), in order. What may be said from those accepted: a struct of text, cited and refused. Others are neither said nor cited, however loudly they fired."""
     kept = F.filter(candidates, lambda c: c["accepted"])
     lines = F.transform(kept, lambda c: F.concat(F.lit("- ("), c["cell_id"].cast("string"), F.lit(") "), F.coalesce(c["text"], F.lit(""))))
     silent = F.size(kept) == 0
-    text = F.when(silent, "Memory is silent: no candidate was verified as a match.").otherwise(F.concat(F.lit("From verified memory:\n"), F.array_join(lines, "\n")))
+    text = F.when(silent, NOTHING_VERIFIED).otherwise(F.concat(F.lit(f"{VERIFIED}\n"), F.array_join(lines, "\n")))
     return F.struct(text.alias("text"), F.transform(kept, lambda c: c["cell_id"]).alias("cited"), silent.alias("refused"))
 
 

@@ -21,6 +21,7 @@ DELETE_FORM = r"\b(delete|forget|remove|unlearn|erase)\b"
 BIND_FORM = r"\b(bind|group|link|associate|combine)\b"
 WRITE_FORM = r"\b(remember|note that|store|save|memori[sz]e|keep in mind)\b"
 QUERY_FORM = r"(\bwhat\b|\bwho\b|\bwhen\b|\bwhere\b|\bwhy\b|\bhow\b|\bwhich\b|\brecall\b|\bdo you (?:remember|know)\b|\?\s*$)"
+# The verb before what is to be remembered.
 LEADING_WRITE = r"^\s*(please\s+)?(" + "|".join(sorted(WRITE_WORDS)) + r")(\s+that)?[:,]?\s*"
 
 _SPACE = " \t\n\x0b\f\r"
@@ -58,13 +59,16 @@ def memory_text(text: Column) -> Column:
     return F.when(bare != "", bare).otherwise(t)
 
 
+# How sure an intent is, by what speaks for it.
+SURE = {"delete with id": 0.9, "delete": 0.5, "bind": 0.7, "write": 0.85, "question": 0.8, "other": 0.4, "nothing": 0.0}
+
+
 def _routed(text: Column, delete: Column, bind: Column, write: Column, ask: Column) -> Column:
     t = _stripped(text)
     found = F.nullif(F.regexp_extract(t, MEMORY_ID, 1), F.lit(""))
     action = F.when(delete, "delete").when(bind, "bind").when(write, "write").when(t != "", "query").otherwise("unknown")
-    sure = (
-        F.when(delete, F.when(found.isNotNull(), 0.9).otherwise(0.5)).when(bind, 0.7).when(write, 0.85).when(ask, 0.8).when(t != "", 0.4).otherwise(0.0)
-    )
+    deleted = F.when(found.isNotNull(), SURE["delete with id"]).otherwise(SURE["delete"])
+    sure = F.when(delete, deleted).when(bind, SURE["bind"]).when(write, SURE["write"]).when(ask, SURE["question"]).when(t != "", SURE["other"]).otherwise(SURE["nothing"])
     return F.struct(action.alias("intent"), sure.alias("confidence"), F.when(action == "delete", found).alias("memory_id"), F.when(action == "write", memory_text(text)).alias("to_write"))
 
 

@@ -240,9 +240,13 @@ def memory_answer(fired: Column) -> Column:
     return F.struct(text.alias("text"), F.coalesce(F.transform(there, lambda c: c["cell_id"]), F.array().cast("array<long>")).alias("cited"), none.alias("refused"))
 
 
+# The label before a rewritten question.
+SUB_QUESTION = r"(?i)^\s*(SUB-?QUESTION\s*:?\s*)+"
+
+
 def sub_question(raw: Column, original: Column) -> Column:
     """The first line of a rewritten question that says something, without the label before it; the original where there is none."""
-    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r\n|[\n\r]", -1), lambda x: F.trim(F.regexp_replace(F.trim(x), r"(?i)^\s*(SUB-?QUESTION\s*:?\s*)+", "")))
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r\n|[\n\r]", -1), lambda x: F.trim(F.regexp_replace(F.trim(x), SUB_QUESTION, "")))
     return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), original)
 
 
