@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.evaluation import wilson
+from recollect.operators.intents import WRITE_WORDS, decision
 
 RERANK_TOP = 3
 
@@ -225,6 +226,39 @@ def routing_report(rows: DataFrame, by: str) -> DataFrame:
     )
 
 
+def controller_report(rows: DataFrame, by: str) -> DataFrame:
+    """rows: expected, routed (intents), answer, retry (a controller's JSON and, where that was malformed, the second one), to_write, proposed and known (arrays of ids).
+
+    Per configuration: turns, json_validity (of first answers), recovered (malformed ones mended by the retry), malformed_rate (malformed for
+    good), routing_accuracy (a turn malformed for good is routed wrong), write_quality (what a write turn keeps is there and doesn't begin with the verb)
+    and bind_precision (the mean share of known ids among those proposed). Null without cases.
+    """
+    first, second = decision(F.col("answer")).isNotNull(), decision(F.col("retry")).isNotNull()
+    write = F.col("routed") == "write"
+    said = F.btrim(F.coalesce("to_write", F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    kept = (said != "") & ~said.rlike("(?i)^(" + "|".join(WRITE_WORDS) + ")")
+    hits = F.size(F.filter("proposed", lambda i: F.array_contains("known", i)))
+    share = F.when((F.col("routed") == "bind") & (F.size("proposed") > 0), hits / F.size("proposed"))
+    rate = lambda hit, name: F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("int")), 6).alias(name)
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("turns"),
+        rate(first, "json_validity"),
+        F.count_if(~first & second).alias("recovered"),
+        rate(~first & ~second, "malformed_rate"),
+        rate((first | second) & (F.col("routed") == F.col("expected")), "routing_accuracy"),
+        F.round(F.avg(F.when(write & (first | second), kept.cast("int"))), 6).alias("write_quality"),
+        F.round(F.avg(share), 6).alias("bind_precision"),
+    )
+
+
+def extreme_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """pairs: query_id, cell_id, act. The n pairs of the greatest activation (end: top) and the n of the least (bottom), to 9 decimals, then by ids: end, place, query_id, cell_id, act. Each end is one ordered cut, for which a task keeps n rows."""
+    act = F.round("act", 9)
+    ends = {"top": act.desc(), "bottom": act.asc()}
+    made = [pairs.orderBy(o, "query_id", "cell_id").limit(n).withColumn("end", F.lit(e)).withColumn("place", F.row_number().over(Window.partitionBy("end").orderBy(o, "query_id", "cell_id"))) for e, o in ends.items()]
+    return made[0].unionByName(made[1]).select("end", "place", "query_id", "cell_id", "act")
+
+
 def judge_counts(rows: DataFrame) -> DataFrame:
     """rows: deterministic (a verdict), raw (the judge's answer). One row: calls, how many a deterministic rejection decided, how many answers were valid and how many malformed."""
     short = F.col("deterministic") == "reject"

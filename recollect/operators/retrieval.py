@@ -123,3 +123,11 @@ def reranked(found: DataFrame, scores: DataFrame, k: int, min_score: float | Non
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "cell_id")
     out = found.join(scores, ["query_id", "cell_id"]).withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k)
     return out if min_score is None else out.where(F.col("score") >= min_score)
+
+
+def reranked_texts(found: DataFrame, scores: DataFrame, texts: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    """reranked() where a cell without a text (cell_id, text) comes after all others, whatever its score; a floor takes it out. A null score counts as none too."""
+    there = texts.where(F.coalesce("text", F.lit("")) != "").select("cell_id", F.lit(True).alias("_text"))
+    least = F.lit(float("-inf"))
+    judged = scores.join(there, "cell_id", "left").withColumn("score", F.when(F.col("_text"), F.coalesce("score", least)).otherwise(least)).drop("_text")
+    return reranked(found, judged, k, min_score)
