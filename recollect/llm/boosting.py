@@ -1,10 +1,14 @@
-"""Gradient boosting on binned features, small enough to be trained in memory on a bounded sample: trees, and an additive model of lookup tables."""
+"""Gradient boosting on binned features: trees, grown by sums that Spark adds up over all rows, and an additive model of lookup tables, small enough to be trained in memory on a bounded sample."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -38,60 +42,138 @@ class Trees:
     border: list[np.ndarray] = field(default_factory=list)
     value: list[np.ndarray] = field(default_factory=list)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        b = binned(x, self.edges)
-        out, rows = np.full(len(x), self.bias), np.arange(len(x))
+    def raw(self, b: np.ndarray) -> np.ndarray:
+        """The sum of the leaves for rows of bins."""
+        out = np.full(len(b), self.bias)
         for f, t, v in zip(self.feature, self.border, self.value):
-            node = np.zeros(len(x), np.int64)
-            while len(f) and node[0] < len(f) if len(x) else False:
-                node = 2 * node + 1 + (b[rows, f[node]] > t[node])
-            out += v[node - len(f)] if len(x) else 0
-        return sigmoid(out)
+            out += v[_placed(b, f, t, len(v).bit_length() - 1)]
+        return out
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.raw(binned(x, self.edges)))
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> Trees:
-    """Logistic boosting; each level of a tree splits every node at its best border by second-order gain."""
-    edges = bin_edges(x)
-    b, width = binned(x, edges), max(len(e) for e in edges) + 1
-    p0 = (y.sum() + 0.5) / (len(y) + 1)
-    model = Trees(edges, float(np.log(p0 / (1 - p0))))
-    raw, n_f = np.full(len(y), model.bias), x.shape[1]
-    cell = b + np.arange(n_f) * width
+
+def spread_edges(rows: DataFrame, bins: int = 32) -> dict[str, list[np.ndarray]]:
+    """bin_edges of each kind from all of its rows (kind, x: the features as 8-byte numbers, n: how often), by counts that Spark adds up; `bins` borders a feature at most reach the driver."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("x"), np.float64)
+            for f in range(x.shape[1]):
+                yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(np.full(len(x), f)), pa.array(x[:, f]), b.column("n")], names=["kind", "f", "v", "n"])
+
+    each = rows.select("kind", "x", "n").mapInArrow(values, "kind string, f long, v double, n long").groupBy("kind", "f", "v").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("kind", "f")
+    upto = F.floor(F.sum("n").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) * bins / F.sum("n").over(by))
+    placed = each.select("kind", "f", "v", F.least(upto, F.lit(bins - 1)).alias("upto"), F.count(F.lit(1)).over(by).alias("m"))
+    before = placed.select("*", F.lag("v").over(by.orderBy("v")).alias("u"), F.lag("upto").over(by.orderBy("v")).alias("past"), F.row_number().over(by.orderBy("v")).alias("i"))
+    wanted = (F.col("m") <= bins) | (F.col("upto") > F.col("past")) | (F.col("i") == 2) & (F.col("past") > 0)
+    held = before.where(F.col("u").isNotNull() & wanted).select("kind", "f", ((F.col("u") + F.col("v")) / 2).alias("edge")).orderBy("kind", "f", "edge").collect()
+    seen = each.groupBy("kind").agg((F.max("f") + 1).alias("k")).collect()
+    out = {r["kind"]: [[] for _ in range(r["k"])] for r in seen}
+    for r in held:
+        out[r["kind"]][r["f"]].append(r["edge"])
+    return {k: [np.array(e) for e in edges] for k, edges in out.items()}
+
+
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def in_bins(rows: DataFrame, edges: dict[str, list[np.ndarray]], also: tuple[str, ...] = ()) -> DataFrame:
+    """kind, b (the bins of x, a byte each) and the columns of `also`, equal rows added up in n. Rows of kinds without edges go."""
+    sent = rows.sparkSession.sparkContext.broadcast(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = np.array(batch.column("kind").to_pylist(), object)
+            for k, e in sent.value.items():
+                own = pa.Table.from_batches([batch]).filter(pa.array(kinds == k, pa.bool_()))
+                if own.num_rows:
+                    b = binned(_matrix(own["x"].combine_chunks(), np.float64), e).astype(np.uint8)
+                    yield from own.drop_columns("x").append_column("b", pa.array([r.tobytes() for r in b], pa.binary())).combine_chunks().to_batches()
+
+    schema = rows.drop("x").select("kind", *also, "n").schema.add("b", "binary")
+    return rows.select("kind", *also, "n", "x").mapInArrow(run, schema).groupBy("kind", *also, "b").agg(F.sum("n").alias("n"))
+
+
+def spread_trees(rows: DataFrame, edges: dict[str, list[np.ndarray]], rounds: int = 60, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> dict[str, Trees]:
+    """Logistic boosting of each kind's trees on all rows (kind, y, n, b: bins by `edges`), which stay where they are: per level of a tree a pass adds up gradients by node, feature and bin, for all kinds at once, and these sums alone reach the driver.
+
+    Each level splits every node at its best border by second-order gain; the sums of the last one give the leaves. A kind without rows of both labels has no trees.
+    """
+    sums = {r["kind"]: (r["n"], r["p"]) for r in rows.groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("p")).collect()}
+    models = {k: Trees(edges[k], float(np.log((p + 0.5) / (n - p + 0.5)))) for k, (n, p) in sorted(sums.items()) if 0 < p < n}
+    if not models:
+        return {}
+    names = list(models)
+    n_f, width = len(next(iter(edges.values()))), max(len(e) for k in names for e in edges[k]) + 1
+    per, sc = (1 << depth) * n_f * width, rows.sparkSession.sparkContext
     for _ in range(rounds):
-        p = sigmoid(raw)
-        g, h = y - p, p * (1 - p)
-        node, features, borders = np.zeros(len(y), np.int64), [], []
+        grown: dict[str, tuple[list, list]] = {k: ([], []) for k in names}
         for level in range(depth):
-            nodes, first = 1 << level, (1 << level) - 1
-            at = ((node - first)[:, None] * (n_f * width) + cell).ravel()
-            gs = np.bincount(at, np.repeat(g, n_f), nodes * n_f * width).reshape(nodes, n_f, width).cumsum(2)
-            hs = np.bincount(at, np.repeat(h, n_f), nodes * n_f * width).reshape(nodes, n_f, width).cumsum(2)
-            gt, ht = gs[:, :, -1:], hs[:, :, -1:]
-            gain = gs**2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge)
-            gain[:, :, -1] = -1
-            best = gain.reshape(nodes, -1).argmax(1)
-            f, t = best // width, best % width
-            features.append(f)
-            borders.append(t)
-            node = 2 * node + 1 + (b[np.arange(len(y)), f[node - first]] > t[node - first])
-        leaf = node - ((1 << depth) - 1)
-        value = rate * np.bincount(leaf, g, 1 << depth) / (np.bincount(leaf, h, 1 << depth) + ridge)
-        raw += value[leaf]
-        model.feature.append(np.concatenate(features))
-        model.border.append(np.concatenate(borders))
-        model.value.append(value)
-    return model
+            nodes = 1 << level
+            sent = sc.broadcast((models, {k: (np.concatenate(f), np.concatenate(t)) if f else (np.zeros(0, int), np.zeros(0, int)) for k, (f, t) in grown.items()}))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, level=level, nodes=nodes) -> Iterator[pa.RecordBatch]:
+                trees, begun = sent.value
+                gs, hs = np.zeros((2, len(names) * per))
+                for batch in batches:
+                    kinds, y, n = (np.array(batch.column(c).to_pylist()) for c in ("kind", "y", "n"))
+                    b = _matrix(batch.column("b"), np.uint8).astype(np.int64)
+                    for i, k in enumerate(names):
+                        own = kinds == k
+                        if own.any():
+                            p, at = sigmoid(trees[k].raw(b[own])), _placed(b[own], *begun[k], level)
+                            cell = (i * per + (at * n_f)[:, None] * width + b[own] + np.arange(n_f) * width).ravel()
+                            gs += np.bincount(cell, np.repeat((y[own] - p) * n[own], n_f), len(gs))
+                            hs += np.bincount(cell, np.repeat(p * (1 - p) * n[own], n_f), len(hs))
+                at = np.flatnonzero(hs)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(gs[at]), pa.array(hs[at])], names=["cell", "g", "h"])
+
+            got = rows.mapInArrow(run, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+            gs, hs = np.zeros((2, len(names) * per))
+            gs[got["cell"]], hs[got["cell"]] = got["g"], got["h"]
+            for i, k in enumerate(names):
+                g, h = (v[i * per :][: nodes * n_f * width].reshape(nodes, n_f, width).cumsum(2) for v in (gs, hs))
+                gt, ht = g[:, :, -1:], h[:, :, -1:]
+                gain = g**2 / (h + ridge) + (gt - g) ** 2 / (ht - h + ridge)
+                gain[:, :, -1] = -1
+                best = np.round(gain, 9).reshape(nodes, -1).argmax(1)  # sums differ in their last digits from run to run
+                f, t = best // width, best % width
+                grown[k][0].append(f)
+                grown[k][1].append(t)
+                if level == depth - 1:
+                    here = np.arange(nodes), f, t
+                    left, whole = (g[here], h[here]), (g[:, 0, -1], h[:, 0, -1])
+                    sides = np.stack([left[0] / (left[1] + ridge), (whole[0] - left[0]) / (whole[1] - left[1] + ridge)], 1)
+                    models[k].value.append(rate * sides.ravel())
+            sent.unpersist()
+        for k in names:
+            models[k].feature.append(np.concatenate(grown[k][0]))
+            models[k].border.append(np.concatenate(grown[k][1]))
+    return models
+
+
+def _placed(b: np.ndarray, feature: np.ndarray, border: np.ndarray, depth: int) -> np.ndarray:
+    """The place of each row within a level of a tree."""
+    node, rows = np.zeros(len(b), np.int64), np.arange(len(b))
+    for _ in range(depth):
+        node = 2 * node + 1 + (b[rows, feature[node]] > border[node])
+    return node - ((1 << depth) - 1)
 
 
-def calibrated_threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The score from which isotonic regression of y on the score reaches `precision`, midway to the score below it; above 1 if it never does."""
+def calibrated_threshold(score: np.ndarray, y: np.ndarray, precision: float, n: np.ndarray | None = None) -> float:
+    """The score from which isotonic regression of y on the score reaches `precision`, midway to the score below it; above 1 if it never does. y: labels, or shares of label 1 where each score stands for `n` rows."""
     if not len(score):
         return 2.0
-    order = np.argsort(score, kind="stable")
-    s, means, counts, starts = score[order], [], [], []
-    for i, v in enumerate(y[order].astype(float)):
+    s, at = np.unique(score, return_inverse=True)
+    weight = np.ones(len(score)) if n is None else np.asarray(n, float)
+    total = np.bincount(at, weight)
+    means, counts, starts = [], [], []
+    for i, (v, c) in enumerate(zip((np.bincount(at, weight * y) / total).tolist(), total.tolist())):
         means.append(v)
-        counts.append(1)
+        counts.append(c)
         starts.append(i)
         while len(means) > 1 and means[-2] >= means[-1]:
             m, c = means.pop(), counts.pop()
