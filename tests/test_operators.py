@@ -350,3 +350,19 @@ def test_many_claims_take_time_in_proportion(spark):
     rows = answercheck.claims(spark.createDataFrame([(1, text), (1, "One\x01two and three of them. " * 2)], "id long, answer string"), "id").collect()
     assert time.time() - began < 20 and len(rows) == 16_002
     assert all(r["claim"] == (text if r["claim_index"] > 1 or "claim number" in r["claim"] else "One\x01two and three of them. " * 2)[r["start"] : r["end"]] for r in rows)
+
+
+def test_pairs_are_scored_by_tiles(spark):
+    """Cells of one batch that fill several tiles, with equal activations and a vector that isn't a number: the best of each query, and no more pairs at once than a tile's."""
+    rng = np.random.default_rng(5)
+    w, q = rng.integers(-3, 4, (1300, 4)) / 2, rng.integers(-3, 4, (40, 4)) / 2
+    vectors = [[float("nan")] * 4 if i == 700 else w[i].tolist() for i in range(1300)]
+    cells = spark.createDataFrame([(i, v, 0.0, i % 3) for i, v in enumerate(vectors)], "cell_id long, weight array<double>, theta double, label int").coalesce(1)
+    asked = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(q)], "query_id long, vector array<double>, query_label int")
+    acts = np.delete(np.arange(1300), 700), q @ np.delete(w, 700, 0).T
+    found = {(r["query_id"], r["rank"]): r["cell_id"] for r in R.topk(cells, asked, 7, by="act", include_silent=True).collect()}
+    assert found == {(i, k + 1): acts[0][j] for i in range(40) for k, j in enumerate(np.lexsort((acts[0], -acts[1][i]))[:7])}
+    sizes = activation.per_task(cells.where("cell_id <> 700"), asked, lambda ids, cell, act, kind: (np.array([0]), np.array([act.size])), "k long, n long", {"n": "max"})
+    assert sizes.agg({"n": "max"}).first()[0] <= 40 * R.TILE < 40 * 1299
+    counts = activation.fire_counts(cells.where("cell_id <> 700"), asked, 1.5).collect()
+    assert {r["query_id"]: r["fires"] for r in counts} == dict(enumerate((acts[1] > 1.5).sum(1).tolist()))
