@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recollect.functions import vector as V
 from recollect.operators import gates
 from recollect.operators.geometry import Whitening
-from recollect.operators.retrieval import matrix
+from recollect.operators.retrieval import matrix, query_blocks, tiles
 from recollect.session import stored
 
 POSITIVE = ("exact", "paraphrase")
@@ -26,54 +26,54 @@ def in_variants(rows: DataFrame, id_col: str, column: str, variants: dict[str, W
     return out.select(id_col, *keep, *[V.unit(F.col(name)).alias(name) for name in variants])
 
 
-def _sent(queries: DataFrame, names: list[str]):
-    """A broadcast of the stated query set: ids, targets and a matrix per variant."""
-    rows = queries.select("query_id", F.coalesce("target_id", F.lit(-1)).alias("t"), *names).toPandas()
-    stack = lambda n: np.stack([np.asarray(v, float) for v in rows[n]]) if len(rows) else np.zeros((0, 1))
-    return queries.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), rows["t"].to_numpy(np.int64), {n: stack(n) for n in names}))
+def _blocks(queries: DataFrame, names: list[str]) -> Iterator:
+    """Broadcasts of ids, the vectors of all variants side by side, and targets, for a block of the stated query set at a time."""
+    return query_blocks(queries.select("query_id", F.concat(*names).alias("vector"), F.coalesce("target_id", F.lit(-1)).alias("t")), "t")
 
 
 def variant_scores(cells: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:
-    """variant, query_id, target (its cell's activation; null without one), best (of all cells): one pass over the cells for all variants.
+    """variant, query_id, target (its cell's activation; null without one), best (of all cells): for each block of queries one pass over the cells for all variants.
 
-    cells: cell_id and a column per variant; queries: query_id, target_id and a column per variant (a stated set, sent whole).
+    cells: cell_id and a column per variant; queries: query_id, target_id and a column per variant (a stated set, sent in blocks).
     """
-    sent = _sent(queries, names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, target, q = sent.value
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            cell = batch.column(0).to_numpy(zero_copy_only=False)
-            own = cell[None, :] == target[:, None]
+    parts = None
+    for sent in _blocks(queries, names):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q, target = sent.value
+            hit, best = np.full((2, len(names), len(ids)), -np.inf)
+            for tile in tiles(batches) if len(ids) else ():
+                own = tile.column(0).to_numpy(zero_copy_only=False)[None, :] == target[:, None]
+                for k, of in enumerate(np.split(q, len(names), axis=1)):
+                    act = of @ matrix(tile.column(1 + k)).T
+                    hit[k] = np.maximum(hit[k], np.where(own, act, -np.inf).max(1))
+                    best[k] = np.maximum(best[k], act.max(1))
             for k, n in enumerate(names):
-                act = q[n] @ matrix(batch.column(1 + k)).T
-                hit = np.where(own, act, -np.inf).max(1)
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(ids)), pa.array(ids), pa.array(hit, mask=np.isinf(hit)), pa.array(act.max(1))], names=["variant", "query_id", "target", "best"])
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(ids), pa.string()), pa.array(ids), pa.array(hit[k], mask=np.isinf(hit[k])), pa.array(best[k], mask=np.isinf(best[k]))], names=["variant", "query_id", "target", "best"])
 
-    parts = cells.select("cell_id", *names).mapInArrow(run, "variant string, query_id long, target double, best double")
+        made = cells.select("cell_id", *names).mapInArrow(run, "variant string, query_id long, target double, best double").where("best IS NOT NULL")
+        parts = made if parts is None else parts.unionByName(made)
     return parts.groupBy("variant", "query_id").agg(F.max("target").alias("target"), F.max("best").alias("best"))
 
 
 def fired_overlap(cells: DataFrame, queries: DataFrame, bars: dict[str, float]) -> DataFrame:
     """a, b, in_both, in_either: over all queries, how many cells fire in both variants at their thresholds, and in one of them at least."""
-    names = list(bars)
-    sent = _sent(queries, names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, _, q = sent.value
-        both = np.zeros((len(names), len(names)), np.int64)
-        for batch in batches:
-            if batch.num_rows and len(ids):
+    names, parts = list(bars), None
+    for sent in _blocks(queries, names):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q, _ = sent.value
+            both = np.zeros((len(names), len(names)), np.int64)
+            for tile in tiles(batches) if len(ids) else ():
                 # a query's fired cells as bits, eight to a byte
-                bits = [np.packbits(q[n] @ matrix(batch.column(1 + k)).T > bars[n], axis=1) for k, n in enumerate(names)]
+                bits = [np.packbits(of @ matrix(tile.column(1 + k)).T > bars[n], axis=1) for k, (n, of) in enumerate(zip(names, np.split(q, len(names), axis=1)))]
                 both += np.array([[int(np.bitwise_count(x & y).sum()) for y in bits] for x in bits])
-        a, b = np.indices(both.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a.ravel()]), pa.array([names[i] for i in b.ravel()]), pa.array(both.ravel())], names=["a", "b", "in_both"])
+            a, b = np.indices(both.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a.ravel()]), pa.array([names[i] for i in b.ravel()]), pa.array(both.ravel())], names=["a", "b", "in_both"])
 
-    parts = cells.select("cell_id", *names).mapInArrow(run, "a string, b string, in_both long").groupBy("a", "b").agg(F.sum("in_both").alias("in_both"))
-    parts = stored(parts, "overlap")
+        made = cells.select("cell_id", *names).mapInArrow(run, "a string, b string, in_both long")
+        parts = made if parts is None else parts.unionByName(made)
+    parts = stored(parts.groupBy("a", "b").agg(F.sum("in_both").alias("in_both")), "overlap")
     alone = parts.where("a = b")
     sizes = alone.select("a", F.col("in_both").alias("of_a")), alone.select("b", F.col("in_both").alias("of_b"))
     return parts.join(F.broadcast(sizes[0]), "a").join(F.broadcast(sizes[1]), "b").select("a", "b", "in_both", (F.col("of_a") + F.col("of_b") - F.col("in_both")).alias("in_either"))

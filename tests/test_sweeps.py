@@ -74,3 +74,18 @@ def test_overlap_of_fired_cells(spark):
         for i in range(5):
             assert abs(scores[name, i]["best"] - act[v][i].max()) < 1e-9
             assert scores[name, i]["target"] is None if i % 2 == 0 else abs(scores[name, i]["target"] - act[v][i][i]) < 1e-9
+
+
+def test_variant_queries_go_in_blocks(spark):
+    """More queries than a block holds: each task gets blocks of them, and every query its scores."""
+    rng = np.random.default_rng(6)
+    w, q = rng.normal(size=(700, 3)), rng.normal(size=(2300, 3))
+    cells = spark.createDataFrame([(i, v.tolist(), (-v).tolist()) for i, v in enumerate(w)], "cell_id long, a array<double>, b array<double>")
+    asked = spark.createDataFrame([(i, i if i < 700 else None, v.tolist(), v.tolist()) for i, v in enumerate(q)], "query_id long, target_id long, a array<double>, b array<double>")
+    assert len(list(X._blocks(asked, ["a", "b"]))) == 2
+    got = {(r["variant"], r["query_id"]): (r["target"], r["best"]) for r in X.variant_scores(cells, asked, ["a", "b"]).collect()}
+    act = q @ w.T
+    assert len(got) == 4600 and np.allclose([got["a", i][1] for i in range(2300)], act.max(1)) and np.allclose([got["b", i][1] for i in range(2300)], -act.min(1))
+    assert np.allclose([got["a", i][0] for i in range(700)], act[np.arange(700), np.arange(700)]) and got["a", 900][0] is None
+    both = {(r["a"], r["b"]): r["in_both"] for r in X.fired_overlap(cells, asked, {"a": 0.5, "b": 0.5}).collect()}
+    assert both["a", "a"] == (act > 0.5).sum() and both["b", "b"] == (-act > 0.5).sum() and both["a", "b"] == 0
