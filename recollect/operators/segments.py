@@ -55,7 +55,7 @@ class Segments:
         return out
 
     def open(self) -> dict[str, DataFrame]:
-        """The tables that lexical.bm25 takes: postings (token, doc_id, dl, tf), terms (token, df) and stats (n, avgdl) of the live documents."""
+        """The tables that lexical.bm25_topk takes: postings (token, doc_id, dl, tf), terms (token, df) and stats (n, avgdl) of the live documents."""
         log = self.log()
         postings, terms, lengths = (self._parts(name, log) for name in ("postings", "terms", "lengths"))
         if postings is None:

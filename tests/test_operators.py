@@ -366,3 +366,27 @@ def test_pairs_are_scored_by_tiles(spark):
     assert sizes.agg({"n": "max"}).first()[0] <= 40 * R.TILE < 40 * 1299
     counts = activation.fire_counts(cells.where("cell_id <> 700"), asked, 1.5).collect()
     assert {r["query_id"]: r["fires"] for r in counts} == dict(enumerate((acts[1] > 1.5).sum(1).tolist()))
+
+
+def test_bm25_shuffles_no_pairs(spark, monkeypatch):
+    """Blocks of queries against tiles of documents that hold few hits at once: scores equal the formula's, and queries meet documents within tasks."""
+    for name, value in (("BLOCK", 3), ("BLOCK_WORDS", 8), ("TILE", 4), ("HITS", 5)):
+        monkeypatch.setattr(lexical, name, value)
+    rng = np.random.default_rng(8)
+    words = np.array("fox lake river stone cloud amber".split())
+    texts = {i: " ".join(rng.choice(words, rng.integers(0, 9))) for i in range(60)}
+    index = lexical.build_index(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    asked = {i: " ".join(rng.choice(words, 3)) for i in range(8)}
+    found = lexical.bm25_topk(index, spark.createDataFrame(list(asked.items()), "query_id long, text string"), 5)
+    assert "query_id" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate" in line)
+    split = {i: t.split() for i, t in texts.items()}
+    df = {w: sum(w in t for t in split.values()) for w in words}
+    raw = {w: np.log((60 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    idf = {w: v if v >= 0 else 0.25 * np.mean(list(raw.values())) for w, v in raw.items()}
+    mean = np.mean([len(t) for t in split.values()])
+    score = lambda q, t: sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in q.split() if w in t)
+    expected = {i: sorted(((-round(score(q, t), 6), d) for d, t in split.items() if score(q, t) > 0))[:5] for i, q in asked.items()}
+    got = {i: [] for i in asked}
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-round(r["score"], 6), r["doc_id"]))
+    assert got == expected and any(got.values())
