@@ -12,6 +12,7 @@ from recollect.operators import lexical, multihop
 from recollect.operators import token_chunks as T
 from recollect.operators.segments import Segments
 from recollect.sources import token_files
+from recollect.sources.token_files import read_token_cells, write_token_cells
 
 
 def test_names_of_the_first_pass(spark):
@@ -139,3 +140,19 @@ def test_held_out_paragraphs(spark):
     p = T.article_paragraphs(df, 3, 4, 60).orderBy("paragraph_id").collect()
     assert [r["paragraph_id"] for r in p] == list(range(8)) and [r["doc_id"] for r in p] == [3, 3, 4, 4, 5, 5, 6, 6]
     assert p[1]["text"] == f"also long enough {'x ' * 40}3" and T.held_out_tokens(df, 3, 4, 60).count() == 8
+
+
+def test_tokens_are_made_once(spark, tmp_path):
+    """Neither the sort nor the second stream makes the tokens of a cell again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    cells = spark.range(40).selectExpr("id AS cell_id", "array_repeat(cast(id AS int), cast(id % 9 AS int)) AS tokens").mapInArrow(run, "cell_id long, tokens array<int>")
+    write_token_cells(cells, str(tmp_path))
+    assert made.value == 40
+    back = T.cell_tokens(read_token_cells(spark, str(tmp_path), 7, True)).collect()
+    assert {r["cell_id"]: r["tokens"] for r in back} == {i: [i] * (i % 9) for i in range(40) if i % 9}
