@@ -5,11 +5,12 @@ longest context of the trie that it knows. Of T bytes seen there, D distinct one
 (n - 1/2) / T, and an escape D / 2T; after an escape the next shorter context is asked, without the bytes that the longer
 one has seen (symbol exclusion). The last resort is uniform over the bytes never seen.
 
-Counts cover all training documents: each task counts its own blocks, Spark adds them up. Contexts enter the trie that
-is sent whole, the most frequent first, until `max_nodes` (context, byte) pairs. A byte whose longest context is not among them
-is looked up in the table of all pairs by joins, so that the model is that of all pairs whatever `max_nodes` is. As a longer
-context's bytes are all known to the shorter one, what exclusion leaves over is a constant of each context and is
-computed once.
+Counts cover all training documents: each task counts its own blocks, Spark adds them up. The trie that is sent holds whole
+contexts, those of at least `share` of all training symbols. Their number has a bound whatever the corpus' size, and the part of
+a text outside them stays the same as the corpus grows; `max_nodes` (context, byte) pairs are a ceiling. A byte whose longest
+context is not sent is looked up in the table of all pairs by joins, once for each block of texts and different key, so that the
+model is that of all pairs whatever is sent. As a longer context's bytes are all known to the shorter one, what exclusion leaves
+over is a constant of each context and is computed once.
 
 Words are counted by a 64-bit hash. The `top` most frequent are looked up where the text is read; the others are joined.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,28 +228,31 @@ def _parent(key: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (shorter << np.uint64(56)) | (body & keep)
 
 
-def train_trie(counted: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray, tuple[DataFrame, DataFrame] | None]:
-    """Keys and counts of the trie of the counted bytes, of the contexts of the largest counts beyond `max_nodes` pairs; and, if it isn't all, the tables of all pairs (key, n) and contexts (c, total, distinct, sent: whether it is in the trie)."""
+def train_trie(counted: DataFrame, max_nodes: int, share: float = 2**-19) -> tuple[np.ndarray, np.ndarray, tuple[DataFrame, DataFrame] | None]:
+    """Keys and counts of the trie of the counted bytes: of the contexts of at least `share` of all symbols, and if these have more than `max_nodes` pairs, of the largest counts among them; and, if it isn't all, the tables of all pairs (key, n) and contexts (c, total, distinct, sent: whether it is in the trie)."""
     key, n = F.col("key"), F.col("n")
     # a byte in a context counts in each shorter context too
     every = counted.where("kind = 0").select(F.explode(F.expr(_shorter(0))).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     every = stored(every, "trie")
     context = F.shiftright(key, 8)
     sizes = stored(every.groupBy(context.alias("c")).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("distinct")), "contexts")
+    root = sizes.where("c = 0").first()  # all symbols are counted in the empty context
+    if root is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+    often = F.col("total") >= share * root["total"]
     # buckets of half a power of two of the context's count: their number is fixed
-    buckets = sizes.groupBy(F.floor(2 * F.log2("total")).cast("int").alias("b")).agg(F.sum("distinct").alias("m")).orderBy(F.desc("b")).collect()
+    bucket = F.floor(2 * F.log2("total")).cast("int")
+    buckets = sizes.groupBy(bucket.alias("b")).agg(F.sum(F.when(often, F.col("distinct")).otherwise(0)).alias("m"), F.sum("distinct").alias("pairs")).orderBy(F.desc("b")).collect()
     held, least = 0, None
-    for b, m in buckets:
+    for b, m, _ in buckets:
         if held + m > max_nodes and held:
             break
         held, least = held + m, b
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), None
     # a shorter context's count is no smaller, so the trie holds all shorter contexts of those it holds
-    sizes = sizes.withColumn("sent", F.floor(2 * F.log2("total")) >= least)
+    sizes = sizes.withColumn("sent", often & (bucket >= least))
     kept = every.join(sizes.where("sent").select("c"), context == F.col("c"), "left_semi")
     rows = kept.select("key", "n").toArrow()
-    return rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), None if held == sum(m for _, m in buckets) else (every, sizes)
+    return rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), None if held == sum(pairs for _, _, pairs in buckets) else (every, sizes)
 
 
 def _shorter(least: int) -> str:
@@ -314,13 +319,14 @@ def most_frequent(words: DataFrame, top: int) -> pa.Table:
     return words.where(bucket >= least if least is not None else F.lit(False)).select("key", "n").toArrow()
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000, top: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000, top: int = 400_000, id_col: str = "doc_id", text_col: str = "text", share: float = 2**-19, block: int = 1 << 21) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) and one end. base_score adds log10((c + 1) / (N + V + 1)) over
     them, c, N and V counted over the training documents (crc32 of the id as text mod 7 is not 2). score is the log10
     probability that the byte model gives the words, the spaces between them and the end. A null, empty or blank text is its end
-    alone. max_nodes and top bound what is sent, not what is known. A null id trains and isn't held out. Repeated rows are documents of their own. Without training documents
+    alone. share, max_nodes and top bound what is sent, not what is known; about `block` bytes that are looked up elsewhere make a
+    block, in which equal ones are asked for once. A null id trains and isn't held out. Repeated rows are documents of their own. Without training documents
     words are unknown (N = V = 0) and bytes uniform. No rows give none. Other columns are dropped. order: 5 at most.
     """
     if not 0 < order <= 5:
@@ -331,7 +337,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
     words = counted.where("kind = 1").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = most_frequent(words, top)
-    key, n, tables = train_trie(counted, max_nodes)
+    key, n, tables = train_trie(counted, max_nodes, share)
     sent = spark.sparkContext.broadcast(Model(key, n, order, frequent["key"].to_numpy(), frequent["n"].to_numpy()))
     del key, n
     whole = distinct == frequent.num_rows
@@ -342,8 +348,27 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
         values = values[np.argsort(rows, kind="stable")]
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=count))]).astype(np.int32)), pa.array(values.view(np.int64)))
 
+    fields = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.int64()), "block": pa.int64(), "at": pa.list_(pa.int32()), "start": pa.int64(), "keys": pa.list_(pa.int64())}
+
+    def table(count: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(count, kind)) for name, kind in fields.items()], names=list(fields))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, (index, log_n) = sent.value.trie, sent.value.frequent
+        number = TaskContext.get().partitionId() << 32  # of the block
+        held, asked, size = [], 0, 0  # rows of the block, with the keys that they look up; their keys and their bytes
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own, at = np.unique(np.concatenate([keys for *_, keys in held]), return_inverse=True)
+            first = 0
+            for count, columns, ends, keys in held:
+                places = pa.array(at[first : first + len(keys)].astype(np.int32))
+                first += len(keys)
+                yield table(count, **columns, block=pa.array(np.full(count, number)), at=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places))
+            cuts = np.append(np.arange(0, len(own), 1 << 12), len(own))
+            if len(own):
+                yield table(len(cuts) - 1, block=pa.array(np.full(len(cuts) - 1, number)), start=pa.array(cuts[:-1]), keys=pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(own.view(np.int64))))
+
         for part, data, offsets in chunks(batches, "text", 1 << 18):
             count = len(offsets) - 1
             s, bounds, h, row = symbols(data, offsets)
@@ -351,7 +376,6 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
             beyond = None if complete else np.zeros(len(s), bool)
             bits = np.concatenate([[0], np.cumsum(trie.log10(s, packed, most, beyond=beyond))])
             far = np.zeros(0, np.int64) if complete else np.flatnonzero(beyond)
-            far_row = np.searchsorted(bounds, far, "right") - 1
             h, row = np.concatenate([h, np.full(count, _END_WORD)]), np.concatenate([row, np.arange(count)])
             at = index.find(h)
             here = at >= 0
@@ -360,18 +384,37 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
             rest, where = h[~here], row[~here]
             if whole:  # words beyond the list were never seen
                 rest, where = rest[:0], where[:0]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, minlength=count)), pa.array(known), pa.array(base), pa.array(bits[bounds[1:]] - bits[bounds[:-1]]), lists(where, rest, count), lists(far_row, _key(most[far], packed[far], s[far]), count)], names=["doc_id", "n_tokens", "known", "base", "score", "rare", "far"])
-
-    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, far array<long>")
+            columns = {"doc_id": part.column(0), "n_tokens": pa.array(np.bincount(row, minlength=count)), "known": pa.array(known), "base": pa.array(base), "score": pa.array(bits[bounds[1:]] - bits[bounds[:-1]]), "rare": lists(where, rest, count)}
+            held.append((count, columns, np.searchsorted(far, bounds), _key(most[far], packed[far], s[far])))
+            asked, size = asked + len(far), size + len(data)
+            if asked >= block or size >= 1 << 25:
+                yield from out()
+                number, held, asked, size = number + 1, [], 0, 0
+        if held:
+            yield from out()
+
+    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, block long, at array<int>, start long, keys array<long>")
     scored = stored(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
+    keys, scored = scored.where("keys is not null").select(F.col("block").alias("of"), "start", "keys"), scored.where("keys is null").drop("start", "keys")
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")).join(words, "key")
     more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))
-    joined = scored.drop("rare", "far").join(more, "row", "left")
+    joined = scored.drop("rare", "block", "at").join(more, "row", "left")
     score = F.col("score")
     if tables:
-        far = stored(scored.select("row", F.explode("far").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")), "far")
-        deep = far.join(stored(beyond_trie(far.select("key").distinct(), *tables, order, sent), "beyond"), "key")
-        joined = joined.join(deep.groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("deep")), "row", "left")
+        far = keys.select("of", "start", F.posexplode("keys").alias("pos", "key")).select("of", (F.col("start") + F.col("pos")).cast("int").alias("pos"), "key")
+        found = far.join(stored(beyond_trie(far.select("key").distinct(), *tables, order, sent), "beyond"), "key").select("of", "pos", "log10")
+
+        def add(texts: pa.Table, keys: pa.Table) -> pa.Table:
+            value = np.full(keys.num_rows, np.nan)
+            value[keys["pos"].to_numpy()] = keys["log10"].to_numpy()
+            at = texts["at"].combine_chunks()
+            ends = at.offsets.to_numpy()
+            sums = np.add.reduceat(value[at.values.to_numpy()[: ends[-1]]], ends[:-1])  # no row is without a place
+            return pa.table({"row": texts["row"], "deep": sums})
+
+        asking = scored.where(F.size("at") > 0).select("block", "row", "at")
+        deep = asking.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(add, "row long, deep double")
+        joined = joined.join(deep, "row", "left")
         score = score + F.coalesce("deep", F.lit(0.0))
     sent.destroy()  # all that reads it is stored
     return joined.select(

@@ -401,6 +401,32 @@ def test_scores_do_not_depend_on_what_is_sent(spark):
     assert {r["doc_id"]: r["score"] for r in ppm.score_texts(documents(spark, texts), order=2, max_nodes=100).collect()} == pytest.approx(low)
 
 
+def test_scores_do_not_depend_on_share_and_block(spark):
+    texts = made_texts(random.Random(14), 60) + ["entirely new ñ words", "", "W1"]
+    expected = dict(enumerate(plain_ppm(texts, [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))])))
+    for options in ({"share": 1e-2}, {"share": 1e-3, "block": 40}, {"share": 1.0, "block": 1}):
+        got = {r["doc_id"]: r["score"] for r in ppm.score_texts(documents(spark, texts).repartition(2), **options).collect()}
+        assert got == pytest.approx(expected, rel=1e-9)
+
+
+def test_what_is_looked_up_grows_with_the_input(spark):
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(6000)]
+    often = [1 / (i + 1) for i in range(len(words))]
+    texts = [" ".join(rng.choices(words, often, k=40)) for _ in range(2500)]
+
+    def away(texts: list[str]) -> int:
+        key, n, _ = ppm.train_trie(ppm._counts(documents(spark, texts), 5), 40_000, share=2**-12)
+        s, bounds, _, _ = ppm.symbols(*bytes_np.texts(pa.array(texts)))
+        packed, most = ppm.contexts(s, bounds)
+        beyond = np.zeros(len(s), bool)
+        ppm.Trie(key, n, 5).log10(s, packed, most, beyond=beyond)
+        return int(beyond.sum())
+
+    small, large = away(texts[:500]), away(texts)
+    assert 0 < small and 4.5 * small < large < 5.5 * small
+
+
 def test_quality_model(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     scored = quality_model.score_quality(docs, labels)
