@@ -416,7 +416,7 @@ def test_what_is_looked_up_grows_with_the_input(spark):
     texts = [" ".join(rng.choices(words, often, k=40)) for _ in range(2500)]
 
     def away(texts: list[str]) -> int:
-        key, n, _ = ppm.train_trie(ppm._counts(documents(spark, texts), 5), 40_000, share=2**-12)
+        key, n, _ = ppm.train_trie(ppm._counts(documents(spark, texts), 5), 80_000, share=2**-12)
         s, bounds, _, _ = ppm.symbols(*bytes_np.texts(pa.array(texts)))
         packed, most = ppm.contexts(s, bounds)
         beyond = np.zeros(len(s), bool)
