@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.bytes_np import LOWER, HashIndex, chunks, mix, span_hashes, word_spans
-from recollect.session import stored
+from recollect.session import small_batches, stored
 
 ORDER = 5
 END = 10  # a byte that no word holds
@@ -93,40 +93,45 @@ def _key(k, packed: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (np.asarray(k, np.uint64) << np.uint64(56)) | (packed << np.uint64(8)) | s.astype(np.uint64)
 
 
-def _counts(docs: DataFrame, order: int, block: int = 1 << 23) -> DataFrame:
-    """kind (0: bytes at their longest order, 1: words), key, n over all rows of `docs`."""
+def _counts(docs: DataFrame, order: int, block: int = 1 << 20) -> DataFrame:
+    """kind (0: bytes at their longest order, 1: words), key, n over all rows of `docs`.
+
+    A task holds about `block` keys of each kind at most. When different ones fill half of it, the frequent ones stay and the
+    others are passed on; Spark adds up what is passed on, before the shuffle and after it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
 
-        def squeeze(kind: int) -> None:
+        def squeeze(kind: int) -> tuple[np.ndarray, np.ndarray]:
             keys, n = np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]])
+            held[kind] = []
             at = np.argsort(keys)
             keys, n = keys[at], n[at]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            held[kind] = [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
+            return keys[first], np.add.reduceat(n, first) if len(first) else n
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for kind in held:
-                if held[kind]:
-                    squeeze(kind)
-                    keys, n = held[kind][0]
-                    for a in range(0, len(keys), 1 << 17):
-                        k = keys[a : a + (1 << 17)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + len(k)])], names=["kind", "key", "n"])
-                    held[kind] = []
-
-        for _, data, offsets in chunks(batches, "text"):
+        def out(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(keys), 1 << 15):
+                k = keys[a : a + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + len(k)])], names=["kind", "key", "n"])
+
+        for _, data, offsets in chunks(batches, "text", 1 << 18):
             s, bounds, h, _ = symbols(data, offsets)
             packed, most = contexts(s, bounds, order)
             for kind, keys in ((0, (most.astype(np.uint64) << np.uint64(56)) | (packed << np.uint64(8)) | s), (1, np.concatenate([h, np.full(len(offsets) - 1, _END_WORD)]))):
                 u, n = np.unique(keys, return_counts=True)
                 held[kind].append((u, n.astype(np.int64)))
-                if len(held[kind]) > 8 and sum(len(k) for k, _ in held[kind]) > block:
-                    squeeze(kind)
-                    if len(held[kind][0][0]) > block // 2:
-                        yield from out()
-        yield from out()
+                if len(held[kind]) > 1 and sum(len(k) for k, _ in held[kind]) > block:
+                    u, n = squeeze(kind)
+                    if len(u) > block // 2:
+                        stay = n > np.partition(n, -(block // 4))[-(block // 4)]
+                        yield from out(kind, u[~stay], n[~stay])
+                        u, n = u[stay], n[stay]
+                    held[kind] = [(u, n)]
+        for kind in held:
+            if held[kind]:
+                yield from out(kind, *squeeze(kind))
 
     return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -215,9 +220,11 @@ class Model:
     @functools.cached_property
     def frequent(self) -> tuple[HashIndex, np.ndarray]:
         """(words to their places, log10 of the count at each place, plus one)."""
+        words, times = self.words, self.times
+        self.words = self.times = None
         index = HashIndex()
-        index.add(self.words.view(np.uint64))
-        return index, np.log10(self.times + 1.0)
+        index.add(words.view(np.uint64))
+        return index, np.log10(times + 1.0)
 
 
 def _parent(key: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -333,7 +340,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
         raise ValueError("order must be 1 to 5: keys hold five bytes of context")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = stored(_counts(rows.where(is_training()), order), "counts")
+    with small_batches(spark):
+        counted = stored(_counts(rows.where(is_training()), order), "counts")
     words = counted.where("kind = 1").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = most_frequent(words, top)
@@ -356,14 +364,22 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, (index, log_n) = sent.value.trie, sent.value.frequent
         number = TaskContext.get().partitionId() << 32  # of the block
-        held, asked, size = [], 0, 0  # rows of the block, with the keys that they look up; their keys and their bytes
+        held, looked_up, asked, size = [], [], 0, 0  # rows of the block, and the keys that they look up; the keys' number and the rows' bytes
 
         def out() -> Iterator[pa.RecordBatch]:
-            own, at = np.unique(np.concatenate([keys for *_, keys in held]), return_inverse=True)
+            keys = np.concatenate(looked_up)
+            looked_up.clear()
+            by = np.argsort(keys)
+            keys = keys[by]
+            new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+            own, at = keys[new], np.zeros(len(keys), np.int32)
+            del keys
+            at[by] = np.cumsum(new, dtype=np.int32) - 1
+            del by, new
             first = 0
-            for count, columns, ends, keys in held:
-                places = pa.array(at[first : first + len(keys)].astype(np.int32))
-                first += len(keys)
+            for count, columns, ends in held:
+                places = pa.array(at[first : first + ends[-1]])
+                first += ends[-1]
                 yield table(count, **columns, block=pa.array(np.full(count, number)), at=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places))
             cuts = np.append(np.arange(0, len(own), 1 << 12), len(own))
             if len(own):
@@ -384,8 +400,10 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
             rest, where = h[~here], row[~here]
             if whole:  # words beyond the list were never seen
                 rest, where = rest[:0], where[:0]
-            columns = {"doc_id": part.column(0), "n_tokens": pa.array(np.bincount(row, minlength=count)), "known": pa.array(known), "base": pa.array(base), "score": pa.array(bits[bounds[1:]] - bits[bounds[:-1]]), "rare": lists(where, rest, count)}
-            held.append((count, columns, np.searchsorted(far, bounds), _key(most[far], packed[far], s[far])))
+            ids = part.column(0).take(pa.array(np.arange(count)))  # a slice would hold all texts of its batch
+            columns = {"doc_id": ids, "n_tokens": pa.array(np.bincount(row, minlength=count)), "known": pa.array(known), "base": pa.array(base), "score": pa.array(bits[bounds[1:]] - bits[bounds[:-1]]), "rare": lists(where, rest, count)}
+            held.append((count, columns, np.searchsorted(far, bounds)))
+            looked_up.append(_key(most[far], packed[far], s[far]))
             asked, size = asked + len(far), size + len(data)
             if asked >= block or size >= 1 << 25:
                 yield from out()
@@ -394,7 +412,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = 1_000_000,
             yield from out()
 
     scored = rows.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, block long, at array<int>, start long, keys array<long>")
-    scored = stored(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
+    with small_batches(spark):
+        scored = stored(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
     keys, scored = scored.where("keys is not null").select(F.col("block").alias("of"), "start", "keys"), scored.where("keys is null").drop("start", "keys")
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")).join(words, "key")
     more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -427,6 +428,51 @@ def test_what_is_looked_up_grows_with_the_input(spark):
     assert 0 < small and 4.5 * small < large < 5.5 * small
 
 
+class Plan:
+    """Takes the place of a DataFrame and keeps what its tasks would run."""
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = select
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def counted(texts, rows=100, **options):
+    """What one task passes on of the counts."""
+    plan = Plan()
+    ppm._counts(plan, 5, **options)
+    return plan.run(pa.RecordBatch.from_pydict({"text": texts[a : a + rows]}) for a in range(0, len(texts), rows))
+
+
+def test_memory_of_counts_does_not_grow_with_a_task(spark):
+    rng = np.random.default_rng(8)
+    texts = [bytes(x).decode() for x in rng.integers(97, 123, (400, 20_000), np.uint8)]  # 8 MB, nearly all keys different
+    most = []
+    for part in (texts[:100], texts):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in counted(part)) > 0.9 * 20_000 * len(part)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 1.3 * most[0] and most[1] < 150e6
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000, 20_000])
+def test_counts_do_not_depend_on_what_a_task_holds(spark, block):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "bc", "the", "x" * rng.randint(1, 40), str(rng.random())]) for _ in range(3000)) for _ in range(30)] + ["", None]
+    sums = [pa.Table.from_batches(out).group_by(["kind", "key"]).aggregate([("n", "sum")]).sort_by([("kind", "ascending"), ("key", "ascending")]) for out in (counted(texts, 3, block=block), counted(texts, 3))]
+    assert sums[0].equals(sums[1])
+    # over Spark too, against the symbols themselves
+    if block == 1000:
+        s, *_ = ppm.symbols(*bytes_np.texts(pa.array(texts)))
+        kinds = {r["kind"]: r["n"] for r in ppm._counts(documents(spark, texts), 5, block).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+        assert kinds == {0: len(s), 1: sum(len(lower(t or "").split()) + 1 for t in texts)}
+
+
 def test_quality_model(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     scored = quality_model.score_quality(docs, labels)
