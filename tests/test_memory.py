@@ -156,3 +156,86 @@ def test_tokens_are_made_once(spark, tmp_path):
     assert made.value == 40
     back = T.cell_tokens(read_token_cells(spark, str(tmp_path), 7, True)).collect()
     assert {r["cell_id"]: r["tokens"] for r in back} == {i: [i] * (i % 9) for i in range(40) if i % 9}
+
+
+def test_ranks_give_the_ids_of_tokenizers():
+    import numpy as np
+
+    from recollect.functions.tokens import decoded, encoded
+
+    t, draw = tokenizer(), np.random.default_rng(0)
+    texts = ["", "<|endoftext|> x<|endoftext|>", " " * 600_000, "a" * 5000, "é東\u0085　​ ́'s 'LL x_1,2"] + ["".join(draw.choice(list(" \t\n\r\x0b\xa0'stmaA1,.é東ß"), 20)) for _ in range(300)]
+    for x in texts:
+        ids = encoded(x).tolist()
+        assert ids == t.encode(x, add_special_tokens=False).ids and decoded(ids) == x
+    for ids in [[60_000, 31373, 50256], [], *draw.integers(0, 256, (50, 6)).tolist()]:  # unknown ones, and bytes that are no text
+        assert decoded(ids) == t.decode(ids, skip_special_tokens=False)
+
+
+def split_rows(spark, docs, folder):
+    """What token_split_files and its SQL say of documents."""
+    from recollect.plans import tokens as P
+
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    got = P.token_split_files(spark, str(folder)).select("part", "n_cells", "n_chars", "digest").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    return sorted(map(tuple, got)), sorted(con.sql(P.ORACLES["token_split_files"]).fetchall())
+
+
+def test_split_files_make_tokens_once(spark, tmp_path, monkeypatch):
+    """Each text is given to the tokenizer once, not once for each part, and a part without cells is no row."""
+    from recollect.plans import tokens as P
+
+    given = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            given.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(P, "token_ids", lambda rows, *a: token_ids(rows.mapInArrow(count, rows.schema), *a))
+    texts = [None, "", "<|endoftext|> is text", "grün 東京 "] + [f"row {i} " * (i % 7) for i in range(56)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, expected = split_rows(spark, docs, tmp_path)
+    assert got == expected and [r[:2] for r in got] == [("train", 57), ("val", 3)]
+    assert given.value == 60
+    few, expected = split_rows(spark, docs.where("doc_id < 9"), tmp_path)
+    assert few == expected and [r[:2] for r in few] == [("train", 9)]
+    assert split_rows(spark, docs.where("false"), tmp_path) == ([], [])
+
+
+def test_first_share_is_that_of_the_split(spark):
+    from recollect.operators import splits
+
+    ids = spark.range(7, 400, 3).withColumnRenamed("id", "doc_id").repartition(5)
+    for share in (0.0, 0.05, 0.5, 1.0):
+        want = {r["doc_id"] for r in splits.row_split(ids, "doc_id", share).where("part = 'val'").collect()}
+        got = ids.where(splits.in_first_share(ids, "doc_id", share)).collect()
+        assert len(got) == int(131 * share) and {r["doc_id"] for r in got} == want
+        assert ids.where(~splits.in_first_share(ids, "doc_id", share)).count() == 131 - len(got)
+
+
+def test_cells_are_read_as_written(spark, tmp_path):
+    """Cells come back whole whatever a task's part of the file, also equal ids and one that is longer than a batch; the order is checked."""
+    rows = [(2, [7, 8]), (3, []), (3, [1]), (3, [2, 3]), (5_000_000_000, [9] * (token_files.BATCH + 5)), (5_000_000_001, [4])]
+    cells = spark.createDataFrame(rows, "cell_id long, tokens array<int>")
+    folder = str(tmp_path / "s")
+    token_files.write_token_cells(cells.repartition(4), folder)
+    want = sorted(x for x in rows if x[1])
+    spark.dataSource.register(token_files.TokenCells)
+    for per_task in (100_000, 1 << 21):
+        back = spark.read.format("token_cells").option("per_task", per_task).load(f"{folder}/tokens")
+        assert sorted(map(tuple, back.collect())) == want
+    assert sorted(map(tuple, token_files.read_cells(spark, folder).collect())) == want
+    short = [r for r in rows if len(r[1]) < 9]
+    token_files.write_token_cells(cells.where("size(tokens) < 9"), str(tmp_path / "t"))
+    for per_task in (1, 2, 3):
+        back = spark.read.format("token_cells").option("per_task", per_task).load(f"{tmp_path}/t/tokens")
+        assert sorted(map(tuple, back.collect())) == sorted(x for x in short if x[1])
+    for bad in ([(2, [1]), (1, [1])], [(None, [1])], [(1, [70_000])], [(1, [-1])], [(1, [None])]):
+        with pytest.raises(Exception):  # noqa: B017
+            token_files.write_sorted_cells(spark.createDataFrame(bad, "cell_id long, tokens array<int>").coalesce(1), folder)
+    with pytest.raises(Exception, match="stands after"):
+        token_files.write_sorted_cells(spark.range(0, 2, 1, 2).selectExpr("1 - id AS cell_id", "array(1) AS tokens"), folder)
+    assert sorted(map(tuple, token_files.read_cells(spark, folder).collect())) == want
