@@ -239,3 +239,28 @@ def test_cells_are_read_as_written(spark, tmp_path):
     with pytest.raises(Exception, match="stands after"):
         token_files.write_sorted_cells(spark.range(0, 2, 1, 2).selectExpr("1 - id AS cell_id", "array(1) AS tokens"), folder)
     assert sorted(map(tuple, token_files.read_cells(spark, folder).collect())) == want
+
+
+def test_round_trip_stores_the_files_alone(spark, tmp_path, monkeypatch):
+    """Beside the token files (2 bytes for each token, 16 for each cell) nothing but the result is stored, and they go; equal ids are documents of their own."""
+    from recollect.plans import tokens as P
+    from recollect.session import release, scratch_root
+
+    root, sizes = scratch_root(spark).removeprefix("file://"), []
+    in_folder = lambda top: sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(top) for f in fs if f.startswith("part-"))
+
+    def released(*tables):
+        sizes.extend(in_folder(t.stored_at.removeprefix("file://")) for t in tables)
+        return release(*tables)
+
+    monkeypatch.setattr(P, "release", released, raising=False)
+    texts = [None, "", "grün 東京 "] + [f"row {i} " * i for i in range(60)]
+    spark.createDataFrame([(i // 2, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    got = P.token_files_round_trip(spark, str(tmp_path)).select("doc_id", "text_md5").collect()
+    assert [x.split("-")[0] for x in set(os.listdir(root)) - before] == ["said"]
+    n = sum(len(tokenizer().encode(x or "", add_special_tokens=False).ids) + 1 for x in texts)
+    assert sizes == [2 * n + 16 * len(texts)]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.sql(P.ORACLES["token_files_round_trip"]).fetchall())
