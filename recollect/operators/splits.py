@@ -78,13 +78,13 @@ def row_split(rows: DataFrame, key: str, share: float = 0.05, seed: int = 0) ->
 
 
 def in_first_share(rows: DataFrame, key: str, share: float = 0.05, seed: int = 0) -> Column:
-    """Whether a row is of row_split's val, as a column of the row's own key: only the key at the border is looked for, so that no table has to be joined. Equal keys are on one side; null ones aren't in val."""
+    """Whether a row is of row_split's val, as a column of the row's own key: only the key at the border is looked for, so that no table has to be joined. Equal keys are on one side; a null one stands where an empty text does."""
     n_val = int(rows.count() * share)
-    placed = running_sums(rows.where(F.col(key).isNotNull()).select(key, shuffled_key(seed, F.col(key)).alias("_k"), F.lit(1).alias("_one")), ["_k", key], "_one")
+    k = shuffled_key(seed, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    placed = running_sums(rows.select(key, k.alias("_k"), F.lit(1).alias("_one")), ["_k", key], "_one")
     border = placed.where(F.col("start") == n_val).select("_k", key).first()
     if border is None:
-        return F.col(key).isNotNull() & F.lit(n_val > 0)
-    k = shuffled_key(seed, F.col(key))
+        return F.lit(n_val > 0)
     return F.coalesce((k < border[0]) | ((k == border[0]) & (F.col(key) < border[1])), F.lit(False))
 
 
